@@ -19,12 +19,14 @@ give no references and lose no lines; an empty table gives an empty index.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import kept_table, table
 
@@ -121,8 +123,8 @@ def _key_array(keys: pa.Array | list) -> np.ndarray:
     return np.frombuffer(b"".join(keys if isinstance(keys, list) else keys.to_pylist()), np.uint64).reshape(-1, 2)
 
 
-def line_references(docs: DataFrame, *, least: int = 10, shards: int = 64) -> DataFrame:
-    """Each document's distinct keys of at least `least` code points: (shard, key, doc_id)."""
+def line_references(docs: DataFrame, *, least: int = 10) -> DataFrame:
+    """Each document's distinct keys of at least `least` code points: (key, doc_id)."""
 
     def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,26 +133,172 @@ def line_references(docs: DataFrame, *, least: int = 10, shards: int = 64) -> Da
                 own = {k for line in (text or "").split("\n") if len(line) >= least and len(k := key_of(line)) >= least}
                 ids += [doc_id] * len(own)
                 keys += map(digest, own)
-            shard = [k[0] % shards for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int32()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["shard", "key", "doc_id"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(refer, "shard int, key binary, doc_id long")
+    return rows.mapInArrow(refer, "key binary, doc_id long")
+
+
+def _on_filters(filters: DataFrame, keys: DataFrame, work: str) -> DataFrame:
+    """For each shard, its filter meets the shard's keys (distinct). work: probe, insert or delete.
+
+    probe gives (shard, key) of the keys that may be in the filter; insert and delete give new filters.
+    """
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        shard = (left if len(left) else right).column("shard")[0].as_py()
+        own = right.column("key").combine_chunks()
+        cuckoo = CuckooFilter.from_bytes(left.column("filter")[0].as_py()) if len(left) else None
+        if work == "probe":
+            hit = cuckoo.contains(_key_array(own)) if cuckoo and len(own) else np.zeros(len(own), bool)
+            found = own.filter(pa.array(hit))
+            return pa.table({"shard": pa.array([shard] * len(found), pa.int32()), "key": found.cast(pa.binary())})
+        keys = _key_array(own)
+        if work == "delete":
+            if cuckoo:
+                cuckoo.delete(keys)
+        else:
+            cuckoo = CuckooFilter.sized_for(len(keys))
+            while not cuckoo.insert(keys):
+                cuckoo = CuckooFilter(2 * cuckoo.buckets)
+        data = [cuckoo.to_bytes()] if cuckoo else []
+        return pa.table({"shard": pa.array([shard] * len(data), pa.int32()), "filter": pa.array(data, pa.binary())})
+
+    schema = "shard int, key binary" if work == "probe" else "shard int, filter binary"
+    return filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(meet, schema)
 
 
 class LineIndex:
-    """references (shard, key, doc_id) and filters (shard, filter): the index after some insertions and deletions."""
+    """The index after some insertions and deletions.
 
-    def __init__(self, references: DataFrame, filters: DataFrame, least: int, shards: int):
-        self.references, self.filters, self.least, self.shards = references, filters, least, shards
+    references (key, doc_id): the exact table; counts follow from it. filters (shard, level, filter): the cuckoo
+    filters of the keys; an insertion adds filters of its new keys as a level of their own, sized for
+    them, so a filter never has to grow. `shards` should be about the expected keys over 500,000.
+    """
+
+    def __init__(self, levels: list[tuple[DataFrame, DataFrame]], references: DataFrame | None, *, least: int = 10, shards: int = 16):
+        self.levels, self.references, self.least, self.shards = levels, references, least, shards
 
     @classmethod
-    def empty(cls, spark: SparkSession, *, least: int = 10, shards: int = 64) -> LineIndex:
-        return cls(
-            spark.createDataFrame([], "shard int, key binary, doc_id long"),
-            spark.createDataFrame([], "shard int, filter binary"),
-            least,
-            shards,
-        )
+    def empty(cls, *, least: int = 10, shards: int = 16) -> LineIndex:
+        return cls([], None, least=least, shards=shards)
+
+    def _sharded(self, keys: DataFrame) -> DataFrame:
+        return keys.select(F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"), "key")
+
+    def known(self, keys: DataFrame) -> DataFrame:
+        """Those of the distinct keys that the index holds: the filters say which may be, the exact table which are."""
+        if self.references is None:
+            return keys.where(F.lit(False))
+        maybe = None
+        for filters, _ in self.levels:
+            hits = _on_filters(filters, self._sharded(keys), "probe").select("key")
+            maybe = hits if maybe is None else maybe.unionByName(hits)
+        held = self.references.select("key").distinct()
+        return maybe.distinct().join(held, "key", "left_semi")
+
+    def insert(self, references: DataFrame) -> LineIndex:
+        """The index with more (key, doc_id), as line_references gives them. Pairs that it has already change nothing."""
+        keys = references.select("key").distinct()
+        fresh = keys if self.references is None else keys.join(self.known(keys), "key", "left_anti")
+        fresh = kept_table(self._sharded(fresh))
+        filters = kept_table(_on_filters(fresh.select("shard", F.lit(b"").alias("filter")).where(F.lit(False)), fresh, "insert"))
+        both = references if self.references is None else self.references.unionByName(references)
+        return LineIndex([*self.levels, (filters, fresh)], both, least=self.least, shards=self.shards)
+
+    def delete(self, doc_ids: DataFrame) -> LineIndex:
+        """The index without the documents of the column doc_id."""
+        if self.references is None:
+            return self
+        ids = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        stay = kept_table(self.references.join(ids, "doc_id", "left_anti").select("key", "doc_id"))
+        dead = self.references.join(ids, "doc_id", "left_semi").select("key").distinct()
+        dead = kept_table(self._sharded(dead.join(stay.select("key").distinct(), "key", "left_anti")))
+        levels = []
+        for filters, own in self.levels:
+            gone = own.join(dead.select("key"), "key", "left_semi").select("shard", "key")
+            levels.append((kept_table(_on_filters(filters, gone, "delete")), own.join(dead.select("key"), "key", "left_anti").select("shard", "key")))
+        return LineIndex(levels, stay, least=self.least, shards=self.shards)
+
+    def counts(self) -> DataFrame:
+        """(key, n_docs, owner): the exact reference counts, and the smallest doc_id that holds the key."""
+        return self.references.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner"))
+
+    def drops(self, docs_least: int = 2) -> DataFrame:
+        """(doc_id, keys): the keys whose lines each document loses. A key's hot row set is split by the join, by AQE."""
+        repeated = self.counts().where(F.col("n_docs") >= docs_least)
+        lost = self.references.distinct().join(repeated, "key").where(F.col("doc_id") != F.col("owner"))
+        return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+
+
+def drop_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    """docs with the lines of `drops` (doc_id, keys) left out of `text`, and long columns n_lines and n_dropped."""
+    if taken := {"n_lines", "n_dropped", "__keys"} & set(docs.columns):
+        raise ValueError(f"columns {taken} would be overwritten")
+    marked = docs.withColumn("__doc", F.col("doc_id").cast("long")).join(
+        drops.select(F.col("doc_id").alias("__doc"), F.col("keys").alias("__keys")), "__doc", "left"
+    )
+    names = docs.columns
+    text_at = names.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, n_lines, n_dropped = [], [], []
+            for text, keys in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                lines = (text or "").split("\n")
+                n_lines.append(len(lines))
+                if keys:
+                    gone = set(keys)
+                    kept = [x for x in lines if digest(key_of(x)) not in gone]
+                    texts.append("\n".join(kept))
+                    n_dropped.append(len(lines) - len(kept))
+                else:
+                    texts.append(text)
+                    n_dropped.append(0)
+            columns = [pa.array(texts, pa.string()) if i == text_at else batch.column(i) for i in range(len(names))]
+            columns += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "n_lines", "n_dropped"])
+
+    schema = T.StructType(
+        [T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]
+        + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+    )
+    return marked.select(*names, "__keys").mapInArrow(clean, schema)
+
+
+def line_index(docs: DataFrame, *, least: int = 10, batches: int = 2, shard_keys: int = 500_000) -> LineIndex:
+    """An index of docs, inserted in `batches` batches (by a hash of doc_id)."""
+    references = kept_table(line_references(docs, least=least))
+    shards = max(16, math.ceil(references.count() / shard_keys))
+    index = LineIndex.empty(least=least, shards=shards)
+    for k in range(batches):
+        index = index.insert(references.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+    return index
+
+
+def dedup_lines(docs: DataFrame, *, least: int = 10) -> DataFrame:
+    """docs without lines whose key is in a smaller doc_id too; with n_lines and n_dropped. A null text stays null."""
+    return drop_lines(docs, line_index(docs, least=least).drops())
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = dedup_lines(docs)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH lines AS (
+  SELECT doc_id, i, line, translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)
+), repeated AS (
+  SELECT key, min(doc_id) AS owner FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), marked AS (
+  SELECT l.*, r.key IS NOT NULL AND l.doc_id <> r.owner AS gone FROM lines l LEFT JOIN repeated r ON l.key = r.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""

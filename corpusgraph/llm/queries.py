@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import lines
 from .sharding import op9_hilbert_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_line_dedup": lines.op6_line_dedup,
         "op9_hilbert_shards": op9_hilbert_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_line_dedup": lines.OP6_SQL,
+    }
