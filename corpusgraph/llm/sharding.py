@@ -8,8 +8,8 @@ alone, of which there are at most 2 ** (bits * dimensions).
 
 A global row number without a global sort: rows are counted for each cell and slice of a cell, the
 counts are summed along the curve (a small table), and rows are numbered inside their slice. A cell
-that holds a large part of all rows is split into slices by a hash of the ties, so no task gets more than
-about `slice_rows` rows of one cell.
+that holds a large part of all rows is split into slices by a hash of the ties, each of about one part in
+`slices` of all rows, so no task gets many rows of one cell.
 
 Defined results: a null dimension is a quantised value of its own, 0; null ties come first; repeated
 rows are rows like others; an empty table gives no rows. Other columns of the input, whatever
@@ -97,7 +97,7 @@ def quantised(df: DataFrame, name: str, bits: int) -> Column:
 
 
 def hilbert_shards(
-    df: DataFrame, dimensions: list[str], ties: list[str], *, shards: int = 40, bits: int = 5, slice_rows: int = 200_000
+    df: DataFrame, dimensions: list[str], ties: list[str], *, shards: int = 40, bits: int = 5, slices: int = 1 << 16
 ) -> DataFrame:
     """df with `shard` (0 to shards - 1; row counts differ by one at most) and `slot` (from 0 in each shard)."""
     if taken := {"shard", "slot"} & set(df.columns):
@@ -114,14 +114,14 @@ def hilbert_shards(
     n = len(dimensions)
     parts = F.array(*(F.shiftright("__cell", bits * (n - 1 - i)).bitwiseAND((1 << bits) - 1).cast("int") for i in range(n)))
     cells = cells.withColumns(
-        {"__place": hilbert_index(parts, n, bits), "__slices": F.ceil(F.col("__n") / slice_rows).cast("int")}
+        {"__place": hilbert_index(parts, n, bits), "__slices": F.ceil(F.col("__n") * slices / F.sum("__n").over(Window.partitionBy())).cast("int")}
     ).drop("__n")
     # at most 2 ** 20 cells of three numbers each, so this can be broadcast
     rows = rows.join(F.broadcast(cells), "__cell").withColumn(
         "__slice", F.floor(F.col("__part").cast("long") * F.col("__slices") / (1 << 20)).cast("int")
     )
     counts = rows.groupBy("__place", "__slice").agg(F.count("*").alias("__n"))
-    # one row for each cell and slice: at most 2 ** 20 plus a row for each slice_rows rows of the input
+    # one row for each cell and slice: at most 2 ** 20 + slices
     along = Window.orderBy("__place", "__slice")
     total = Window.partitionBy()
     starts = counts.select(
