@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines
+from . import bpe, lines, topk
 from .sharding import op9_hilbert_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_kd_top_k": topk.op2_kd_top_k,
         "op6_line_dedup": lines.op6_line_dedup,
+        "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op9_hilbert_shards": op9_hilbert_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_kd_top_k": topk.OP2_SQL,
         "op6_line_dedup": lines.OP6_SQL,
     }
