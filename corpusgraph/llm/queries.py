@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, topk
+from . import bpe, lines, quality, topk, toxicity
 from .sharding import op9_hilbert_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_kd_top_k": topk.op2_kd_top_k,
+        "op3_quality_scores": quality.op3_quality_scores,
+        "op4_toxicity_scores": toxicity.op4_toxicity_scores,
         "op6_line_dedup": lines.op6_line_dedup,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op9_hilbert_shards": op9_hilbert_shards,
