@@ -14,6 +14,8 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: The same, with ASCII punctuation and control bytes as gaps too.
+LOOSE = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -71,13 +73,13 @@ def runs(at: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
         first = min(last, n)
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, at: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of the texts, and where each text's words begin (and the last end)."""
     n, texts = len(raw), len(at) - 1
     if not n:
         return np.zeros(0, np.uint64), np.zeros(texts + 1, np.int64)
     gap = np.ones(n + 1, bool)
-    np.take(_SPACE, raw, out=gap[:n])
+    np.take(gaps, raw, out=gap[:n])
     inside = ~gap[:n]
     first = inside.copy()
     first[1:] &= gap[: n - 1]
