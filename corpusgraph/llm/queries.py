@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lines, quality, topk, toxicity
+from . import bpe, decontam, lines, lm, quality, topk, toxicity
 from .sharding import op9_hilbert_shards
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_kd_top_k": topk.op2_kd_top_k,
         "op3_quality_scores": quality.op3_quality_scores,
         "op4_toxicity_scores": toxicity.op4_toxicity_scores,
+        "op5_lm_scores": lm.op5_lm_scores,
         "op6_line_dedup": lines.op6_line_dedup,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op10_contaminated": decontam.op10_contaminated,
