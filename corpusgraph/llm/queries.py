@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lines, lm, quality, topk, toxicity
+from . import bpe, decontam, lines, lm, neardup, quality, topk, toxicity
 from .sharding import op9_hilbert_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_duplicates": neardup.op1_near_duplicates,
         "op2_kd_top_k": topk.op2_kd_top_k,
         "op3_quality_scores": quality.op3_quality_scores,
         "op4_toxicity_scores": toxicity.op4_toxicity_scores,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_duplicates": neardup.op1_near_duplicates,
         "op2_kd_top_k": topk.OP2_SQL,
         "op6_line_dedup": lines.OP6_SQL,
     }
