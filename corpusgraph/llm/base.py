@@ -14,6 +14,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Sets the session's Arrow batches small enough for texts of tens of KB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,7 +44,7 @@ def kept_table(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/corpusgraph-{uuid.uuid4().hex}"
     if partitions:
         df = df.coalesce(partitions)
-    df.write.option("compression", "lz4_raw").parquet(path)
+    df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

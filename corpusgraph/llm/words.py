@@ -25,7 +25,7 @@ _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _PLACES = (_RNG.integers(0, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 #: Texts of a batch are worked on in runs of about so many bytes, to bound memory.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 
 _powers: list[np.ndarray] = []
 
