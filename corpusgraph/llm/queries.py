@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lines, lm, neardup, quality, topk, toxicity
+from . import bpe, decontam, lines, lm, neardup, quality, suffixes, topk, toxicity
 from .sharding import op9_hilbert_shards
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_lm_scores": lm.op5_lm_scores,
         "op6_line_dedup": lines.op6_line_dedup,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+        "op8_repeated_passages": suffixes.op8_repeated_passages,
         "op10_contaminated": decontam.op10_contaminated,
         "op9_hilbert_shards": op9_hilbert_shards,
     }
