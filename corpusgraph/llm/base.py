@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
@@ -63,3 +64,8 @@ def _remove() -> None:
 def held_out(doc_id: Column, remainder: int) -> Column:
     """Whether crc32 of doc_id as text, mod 5, is the remainder. A null doc_id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == remainder
+
+
+def with_field(schema: T.StructType, name: str, kind: str) -> T.StructType:
+    """A schema with one more column (StructType.add would change the DataFrame's own)."""
+    return T.StructType([*schema.fields, T.StructField(name, T._parse_datatype_string(kind))])

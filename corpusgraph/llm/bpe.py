@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import table, with_field
 
 _NEVER = np.int64(1 << 40)
 _PATTERN = (
@@ -295,7 +295,7 @@ def encode_documents(docs: DataFrame, path: str, *, text: str = "text", ids: str
                 made = pa.array(_bpe(shared).encode(texts), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*names, ids])
 
-    return docs.mapInArrow(work, docs.schema.add(ids, "binary"))
+    return docs.mapInArrow(work, with_field(docs.schema, ids, "binary"))
 
 
 def decode_documents(docs: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -310,11 +310,11 @@ def decode_documents(docs: DataFrame, path: str, *, ids: str = "ids", text: str
             made = [bpe.decode(x or b"").decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*names, text])
 
-    return docs.mapInArrow(work, docs.schema.add(text, "string"))
+    return docs.mapInArrow(work, with_field(docs.schema, text, "string"))
 
 
-def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text, encoded and decoded again in one pass."""
+def round_trip_digests(docs: DataFrame, path: str, *, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text, encoded and decoded again in one pass; the ids too if asked for."""
     shared = _shared(docs.sparkSession, path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,18 +323,20 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
                 bpe = _bpe(shared)
                 ids = bpe.encode(texts)
                 back = [bpe.decode(x).decode("utf-8", "replace").encode() for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                made = {
+                    "doc_id": part.column(0),
+                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
+                }
+                if with_ids:
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                    made["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_pydict(made)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return rows.mapInArrow(work, schema)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

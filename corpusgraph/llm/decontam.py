@@ -181,67 +181,83 @@ def _scored(items: Items, words: np.ndarray, passages: np.ndarray, cells: int =
     return score, end
 
 
+def _hits(items: Items, column: pa.Array, threshold: float) -> dict[tuple[int, int], tuple[float, int]]:
+    """For each text and item of the block with a score of at least threshold: the score, and the passage's last word."""
+    raw, at = text_bytes(column)
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for i, j in runs(at):
+        words, begin = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i], LOOSE)
+        passages = _passages(items, words, begin)
+        if not len(passages):
+            continue
+        score, end = _scored(items, words, passages)
+        for (text, k, _, _), s, e in zip(passages.tolist(), score.tolist(), end.tolist(), strict=True):
+            if s >= threshold and s > best.get((i + text, k), (0.0, 0))[0]:
+                best[i + text, k] = (s, e - int(begin[text]) - 1)
+    return best
+
+
+def item_blocks(docs: DataFrame, benchmark: DataFrame, n: int, chance: float, block_words: int) -> Iterator[Items]:
+    """The benchmark in blocks of about block_words words, with seeds chosen by the documents' word shares."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    ids: list = []
+    texts: list = []
+    size = 0
+    for row in (*rows.toLocalIterator(), None):  # a partition at a time; a block is all that is held
+        if row is not None:
+            ids.append(row.item_id)
+            texts.append(row.text)
+            size += len((row.text or "").split())
+        if ids and (row is None or size >= block_words):
+            counts, total = word_shares(docs, _hashes(texts)[0])
+            yield choose_seeds(ids, texts, counts, total, n, chance)
+            ids, texts, size = [], [], 0
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, n: int = 3, chance: float = 1e-7, threshold: float = 0.5, block_words: int = 500_000
 ) -> DataFrame:
     """(doc_id, item_id, score, end_word): pairs whose alignment scores at least threshold; end_word is the passage's last word."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    spark, schema = docs.sparkSession, "doc_id long, item_id long, score double, end_word long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, score double, end_word long"
-    out = None
-
-    def search(block: Items) -> DataFrame:
+    out = spark.createDataFrame([], schema)
+    for block in item_blocks(docs, benchmark, n, chance, block_words):
         shared = spark.sparkContext.broadcast(block)
 
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            given = shared.value
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                raw, at = text_bytes(batch.column(1))
-                ids = batch.column(0).to_pylist()
-                for i, j in runs(at):
-                    words, begin = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i], LOOSE)
-                    passages = _passages(given, words, begin)
-                    if not len(passages):
-                        continue
-                    score, end = _scored(given, words, passages)
-                    best: dict[tuple[int, int], tuple[float, int]] = {}
-                    for (text, k, _, _), s, e in zip(passages.tolist(), score.tolist(), end.tolist(), strict=True):
-                        if s >= threshold and s > best.get((text, k), (0.0, 0))[0]:
-                            best[text, k] = (s, e - begin[text] - 1)
-                    if best:
-                        keys = list(best)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([ids[i + t] for t, _ in keys], pa.int64()),
-                                pa.array([given.ids[k] for _, k in keys], pa.int64()),
-                                pa.array([best[x][0] for x in keys], pa.float64()),
-                                pa.array([best[x][1] for x in keys], pa.int64()),
-                            ],
-                            ["doc_id", "item_id", "score", "end_word"],
-                        )
-
-        return rows.mapInArrow(work, schema)
-
-    ids, texts, size = [], [], 0
-
-    def flush() -> None:
-        nonlocal out, ids, texts, size
-        words, _ = _hashes(texts)
-        counts, total = word_shares(rows, words)
-        found = search(choose_seeds(ids, texts, counts, total, n, chance))
-        out = found if out is None else out.unionByName(found)
-        ids, texts, size = [], [], 0
-
-    for row in items.toLocalIterator():  # a partition at a time; a block's words are all that is held
-        ids.append(row.item_id)
-        texts.append(row.text)
-        size += len((row.text or "").split())
-        if size >= block_words:
-            flush()
-    if ids:
-        flush()
-    return spark.createDataFrame([], schema) if out is None else out
+                best = _hits(shared.value, batch.column(1), threshold)
+                keys = list(best)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array([t for t, _ in keys], pa.int64())),
+                        pa.array([shared.value.ids[k] for _, k in keys], pa.int64()),
+                        pa.array([best[x][0] for x in keys], pa.float64()),
+                        pa.array([best[x][1] for x in keys], pa.int64()),
+                    ],
+                    ["doc_id", "item_id", "score", "end_word"],
+                )
+
+        out = out.unionByName(rows.mapInArrow(work, schema))
+    return out
+
+
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, *, n: int = 3, chance: float = 1e-7, threshold: float = 0.5, block_words: int = 500_000
+) -> DataFrame:
+    """The rows of docs whose text is in no pair of `contaminated`, with all their columns; found without a shuffle."""
+    out, at = docs, docs.columns.index("text")
+    for block in item_blocks(docs, benchmark, n, chance, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(len(batch), bool)
+                clean[[text for text, _ in _hits(shared.value, batch.column(at), threshold)]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(work, docs.schema)
+    return out
 
 
 def op10_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import held_out, kept_table, table
+from .base import held_out, kept_table, table, with_field
 from .calibration import calibrate, fit_isotonic
 from .words import runs, sequence_hashes, shingle_sets, text_bytes, word_hashes
 
@@ -223,7 +223,7 @@ def score_documents(docs: DataFrame, model: QualityModel, column: str = "score")
             score = model.score(text_statistics(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*names, column])
 
-    return docs.mapInArrow(work, docs.schema.add(column, "double"))
+    return docs.mapInArrow(work, with_field(docs.schema, column, "double"))
 
 
 def training_labels(labels: DataFrame, column: str) -> DataFrame:
