@@ -41,9 +41,9 @@ KEYS = CHUNKS * len(_KEPT)
 _RNG = np.random.Generator(np.random.PCG64(77))
 _FACTORS = (_RNG.integers(0, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _SHIFTS = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
-#: Longer sketches, of one byte for each minhash, for nodes that are compared in blocks; at 0.75, one pair in a million has
+#: Longer sketches, of one byte for each minhash, for nodes that are compared in blocks; at 0.75, one pair in 400,000 has
 #: fewer equal bytes than LEAST_BYTES.
-SKETCH, LEAST_BYTES = 256, 158
+SKETCH, LEAST_BYTES = 512, 340
 _SKETCH_FACTORS = (_RNG.integers(0, 2**63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _SKETCH_SHIFTS = _RNG.integers(0, 2**63, SKETCH, dtype=np.uint64)
 #: Signatures with fewer equal symbols are not compared further: at 0.75, one pair in 100,000 has as few.
