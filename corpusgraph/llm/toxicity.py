@@ -107,7 +107,8 @@ def _telling_words(sample: DataFrame, n_toxic: int, n_ordinary: int, share: floa
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary; where samples are too few to train one, the samples themselves."""
+    """A trained dictionary, of a third of the samples' bytes at most; where these are too few to train one, the samples themselves."""
+    size = min(size, max(256, sum(map(len, samples)) // 3))
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
@@ -122,7 +123,7 @@ def fit_toxicity(
     words: int = 5,
     share: float = 0.012,
     lift: float = 8.0,
-    ordinary_bytes: int = 131_072,
+    ordinary_bytes: int = 126_000,  # with toxic_bytes under 128 KB, where zstandard changes its parameters
     toxic_bytes: int = 3_000,
     window_sample: int = 150_000,
 ) -> ToxicityModel:
@@ -139,6 +140,8 @@ def fit_toxicity(
     repeats = [w for w, k in telling for _ in range(max(1, round(2_000 * k / n[1])))]
     np.random.default_rng(11).shuffle(repeats)
     toxic = _train([b"".join(b" " + w + b" " for w in repeats[i : i + 4]) for i in range(0, len(repeats), 4)], toxic_bytes)
+    # zstandard enters every third place of a dictionary into its tables: keep the places of the ordinary part the same
+    toxic = toxic.rjust(-(-len(toxic) // 24) * 24, b" ")
     each = max(1, window_sample // n[0])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
