@@ -4,7 +4,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import paths, text
-from corpusgraph.operators import retrieval
+from corpusgraph.operators import reports, retrieval, traverse
 from corpusgraph.sources import files
 
 
@@ -69,3 +69,24 @@ def test_fusion_bonus_and_scope(spark):
     assert plain == {"A": 0.9, "B": 0.0, "C": 0.0}
     scope = spark.createDataFrame([("q", "g")], "query_id string, scope_path string")
     assert {r.chunk_id: r.final for r in retrieval.fuse_rankings(scored, scope).collect()}["B"] == 0.3
+
+
+def test_overlaps_keep_the_better_chunk(spark):
+    rows = [("q", "x.ts", "a", 1, 20, 0.9), ("q", "x.ts", "b", 5, 15, 0.7), ("q", "x.ts", "c", 18, 40, 0.6), ("q", "y.ts", "d", 5, 15, 0.5)]
+    ranked = spark.createDataFrame(rows, "query_id string, file_path string, chunk_id string, start_line int, end_line int, score double")
+    kept = reports.drop_overlaps(ranked).orderBy("rank").collect()
+    assert [(r.chunk_id, r.rank) for r in kept] == [("a", 1), ("c", 2), ("d", 3)]
+
+
+def test_progress_and_bookmarks(spark):
+    rows = spark.createDataFrame([(1, "r", "dev", [1], 1), (1, "r", "dev", [1, 2, 2], 2)], "user_id int, repo_id string, role string, completed_steps array<int>, updated_at int")
+    assert reports.progress(rows, 4).first().percent == 50
+    marks = spark.createDataFrame([("f", "Old one", 1), ("f", "New one", 2), ("g", "x", 3)], "file_path string, title string, created_at int")
+    found = reports.bookmarks_by_file(marks, "ONE").collect()
+    assert [(r.file_path, r.n, [t.title for t in r.titles]) for r in found] == [("f", 2, ["New one", "Old one"])]
+
+
+def test_cycles_are_found_once(spark):
+    edges = [("r", "a", "b"), ("r", "b", "c"), ("r", "c", "a"), ("r", "b", "a"), ("s", "a", "b")]
+    rows = spark.createDataFrame([(*e, "imports") for e in edges], "repo_id string, src string, dst string, relation_type string")
+    assert sorted(r.nodes for r in traverse.find_cycles(rows).collect()) == [["a", "b"], ["a", "b", "c"]]

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from corpusgraph.plans import registry
+from corpusgraph.plans import registry, reports  # noqa: F401
 from corpusgraph.plans.fixtures import BASE
 
 FOLDER = "/root/testdata/sf0.001"
