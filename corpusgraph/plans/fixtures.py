@@ -29,6 +29,11 @@ FROM (SELECT l_partkey AS src, l_linenumber, l_quantity,
 WHERE dst IS NOT NULL AND src <> dst AND l_quantity >= 46""",
     "fx_chunks": """SELECT source AS repo_id, CAST(doc_id AS STRING) AS chunk_id, CAST(doc_id % 97 AS STRING) AS file_id, text AS content,
   CAST(doc_id AS STRING) AS symbol_id, CAST(ceil(length(text) / 4.0) AS INT) AS token_count FROM documents""",
+    "fx_code": """SELECT source AS repo_id, CAST(doc_id AS STRING) AS file_id, 'typescript' AS language,
+  concat('src/app/api/m', CAST(doc_id % 10 AS STRING), '/', CAST(doc_id AS STRING), '/route.ts') AS path,
+  concat('import { H', CAST(doc_id % 5 AS STRING), ' } from "@/m', CAST(doc_id % 10 AS STRING), '"', chr(10),
+         'export async function GET(req) {', chr(10), '  if (req) { return ok }', chr(10), '}', chr(10),
+         'class C', CAST(doc_id AS STRING), ' extends B', CAST(doc_id % 3 AS STRING), ' {', chr(10), '}', chr(10), text) AS content FROM documents""",
     "fx_commits": """SELECT CAST(o_orderkey AS STRING) AS sha, CAST(o_custkey AS STRING) AS author, o_orderdate AS ts, o_orderpriority AS message FROM orders""",
     "fx_commit_files": """SELECT CAST(l_orderkey AS STRING) AS sha, concat(lower(p_type), '/', p_brand, '.ts') AS path,
   CAST(l_quantity AS INT) AS additions, CAST(round(l_discount * 100) AS INT) AS deletions,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import health, reports, traverse, workspace
+from ..operators import extract, health, reports, traverse, workspace
 from ..sources import files as file_tables
 from .registry import _CITED, _HEALTH, _IMPACT, _REACH, _health, _sources, query
 
@@ -86,3 +86,24 @@ SELECT DISTINCT s_suppkey AS from_repo, CAST(1000000 + n_nationkey AS BIGINT) AS
         F.col("s_suppkey").cast("long").alias("repo_id"), F.to_json(F.struct(F.create_map("n_name", F.lit("^1")).alias("dependencies"))).alias("content"))
     .unionByName(n.select((F.col("n_nationkey") + 1_000_000).cast("long").alias("repo_id"), F.to_json(F.struct(F.col("n_name").alias("name"))).alias("content")))
 ))
+
+_LINES = "l AS (SELECT repo_id, file_id, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS start_line FROM fx_code)"
+
+query("x1_extract_symbols", "fx_code", body=f"""
+WITH {_LINES}, m AS (SELECT *, [regexp_extract(line, '^(?:export\\s+)?(?:async\\s+)?function\\s+(\\w+)', 1), regexp_extract(line, '^(?:export\\s+)?class\\s+(\\w+)', 1),
+  regexp_extract(line, '^(?:export\\s+)?interface\\s+(\\w+)', 1), regexp_extract(line, '^(?:export\\s+)?enum\\s+(\\w+)', 1)] AS n FROM l)
+SELECT repo_id, file_id, name, kind, CAST(start_line AS INT) AS start_line, trim(line) AS signature FROM (
+ SELECT *, unnest(n) AS name, unnest(['function', 'class', 'interface', 'enum']) AS kind FROM m) WHERE name <> ''
+""")(lambda c: extract.extract_symbols(extract.declarations(c)))
+
+query("x2_extract_imports", "fx_code", body="""
+SELECT repo_id, file_id, concat('@/m', CAST(CAST(file_id AS BIGINT) % 10 AS STRING)) AS source, concat('H', CAST(CAST(file_id AS BIGINT) % 5 AS STRING)) AS names FROM fx_code
+""")(lambda c: extract.extract_imports(extract.declarations(c)).withColumn("names", F.array_join("names", "|")))
+
+query("x3_extract_exports", "fx_code", body="SELECT DISTINCT repo_id, file_id, 'GET' AS name FROM fx_code")(
+    lambda c: extract.extract_exports(extract.declarations(c.withColumn("content", F.replace("content", F.lit("export async"), F.lit("export")))))
+)
+
+query("x9_inheritance", "fx_code", body="""
+SELECT repo_id, file_id, concat('C', file_id) AS name, 'extends' AS relation_type, concat('B', CAST(CAST(file_id AS BIGINT) % 3 AS STRING)) AS parent FROM fx_code
+""")(lambda c: extract.inheritance(extract.extract_symbols(extract.declarations(c))))
