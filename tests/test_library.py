@@ -4,7 +4,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import paths, text
-from corpusgraph.operators import reports, retrieval, traverse
+from corpusgraph.operators import chunks, reports, retrieval, traverse
 from corpusgraph.sources import files
 
 
@@ -90,3 +90,32 @@ def test_cycles_are_found_once(spark):
     edges = [("r", "a", "b"), ("r", "b", "c"), ("r", "c", "a"), ("r", "b", "a"), ("s", "a", "b")]
     rows = spark.createDataFrame([(*e, "imports") for e in edges], "repo_id string, src string, dst string, relation_type string")
     assert sorted(r.nodes for r in traverse.find_cycles(rows).collect()) == [["a", "b"], ["a", "b", "c"]]
+
+
+def chunks_by_hand(text):
+    rows, size = text.split("\n"), lambda t: -(-len(t) // 4)
+    if size(text) <= 800:
+        return [(1, len(rows))]
+    out, first, tokens = [], 0, 0
+    for i, line in enumerate(rows):
+        tokens += size(line)
+        if tokens >= 500:
+            cut = next((j + 1 for j in range(i, max(first + 5, i - 10) - 1, -1) if not rows[j].strip()), i + 1)
+            out.append((first + 1, cut))
+            first, tokens = cut, 0
+    if first < len(rows) and "\n".join(rows[first:]):
+        out.append((first + 1, len(rows)))
+    return out
+
+
+def test_chunks_by_lines(spark):
+    import random
+
+    rng = random.Random(2)
+    texts = ["\n".join(rng.choice(["", "x" * rng.randint(1, 200), "word " * 9]) for _ in range(rng.choice([1, 3, 80, 300]))) for _ in range(40)] + ["", "y" * 9000]
+    files_table = spark.createDataFrame([("r", str(i), t) for i, t in enumerate(texts)], "repo_id string, file_id string, content string")
+    got = {}
+    for r in chunks.chunk_by_lines(files_table).orderBy("seq").collect():
+        got.setdefault(int(r.file_id), []).append((r.start_line, r.end_line))
+        assert r.content == "\n".join(texts[int(r.file_id)].split("\n")[r.start_line - 1 : r.end_line])
+    assert got == {i: chunks_by_hand(t) for i, t in enumerate(texts)}
