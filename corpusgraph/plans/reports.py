@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import extract, health, reports, traverse, workspace
+from ..operators import extract, health, relations, reports, traverse, workspace
 from ..sources import files as file_tables
 from .registry import _CITED, _HEALTH, _IMPACT, _REACH, _health, _sources, query
 
@@ -107,3 +107,29 @@ query("x3_extract_exports", "fx_code", body="SELECT DISTINCT repo_id, file_id, '
 query("x9_inheritance", "fx_code", body="""
 SELECT repo_id, file_id, concat('C', file_id) AS name, 'extends' AS relation_type, concat('B', CAST(CAST(file_id AS BIGINT) % 3 AS STRING)) AS parent FROM fx_code
 """)(lambda c: extract.inheritance(extract.extract_symbols(extract.declarations(c))))
+
+query("x10_assign_parents", "fx_symbols", body="""
+SELECT symbol_id, parent_symbol_id FROM (SELECT i.symbol_id, o.symbol_id AS parent_symbol_id, row_number() OVER (PARTITION BY i.symbol_id ORDER BY o.end_line - o.start_line, o.symbol_id) AS n
+ FROM fx_symbols i LEFT JOIN fx_symbols o ON o.repo_id = i.repo_id AND o.file_id = i.file_id AND o.start_line <= i.start_line AND o.end_line >= i.end_line
+  AND (o.start_line < i.start_line OR o.end_line > i.end_line)) WHERE n = 1
+""")(lambda s: relations.assign_parents(s).select("symbol_id", "parent_symbol_id"))
+
+query("n3_anchor_to_symbol", "fx_commit_files", "fx_symbols", body="""
+WITH r AS (SELECT DISTINCT sha, path, change_start AS a, change_end AS b FROM fx_commit_files)
+SELECT concat(sha, ':', r.path, ':', CAST(a AS STRING), ':', CAST(b AS STRING)) AS range_id, arg_min(s.symbol_id, (s.end_line - s.start_line, s.symbol_id)) AS symbol_id
+FROM r JOIN fx_symbols s ON s.path = r.path AND s.start_line <= b AND s.end_line >= a GROUP BY 1
+""")(lambda c, s: relations.anchor_to_symbol(
+    c.select(F.concat_ws(":", "sha", "path", "change_start", "change_end").alias("range_id"), F.lit("r").alias("repo_id"), F.col("path").alias("file_id"),
+             F.col("change_start").alias("from_line"), F.col("change_end").alias("to_line")).distinct(),
+    s.select(F.lit("r").alias("repo_id"), F.col("path").alias("file_id"), "symbol_id", "start_line", "end_line")))
+
+query("r27_find_definitions", "fx_symbols", "region", body="""
+WITH w AS (SELECT DISTINCT name AS query_id, name FROM fx_symbols)
+SELECT query_id, repo_id, symbol_id, name, kind, path, CAST(rank AS INT) AS rank FROM (SELECT w.query_id, s.*, row_number() OVER (PARTITION BY query_id ORDER BY
+ CASE WHEN kind IN ('class', 'interface') THEN 0 WHEN kind IN ('type', 'enum', 'function') THEN 1 ELSE 2 END, s.name, path, start_line, symbol_id) AS rank FROM w JOIN fx_symbols s USING (name)) WHERE rank <= 20
+""")(lambda s, _: relations.find_definitions(s.select(F.col("name").alias("query_id"), "name").distinct(), s))
+
+query("r28_find_usages", "fx_symbols", "fx_relations", body="""
+SELECT DISTINCT t.name AS query_id, r.repo_id, r.src AS symbol_id, u.path, u.start_line FROM fx_relations r JOIN fx_symbols t ON t.symbol_id = r.dst AND t.repo_id = r.repo_id
+JOIN fx_symbols u ON u.symbol_id = r.src AND u.repo_id = r.repo_id
+""")(lambda s, r: relations.find_usages(s.select(F.col("name").alias("query_id"), "name").distinct(), s, r))

@@ -4,7 +4,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import paths, text
-from corpusgraph.operators import chunks, reports, retrieval, traverse
+from corpusgraph.operators import chunks, relations, reports, retrieval, traverse
 from corpusgraph.sources import files
 
 
@@ -119,3 +119,22 @@ def test_chunks_by_lines(spark):
         got.setdefault(int(r.file_id), []).append((r.start_line, r.end_line))
         assert r.content == "\n".join(texts[int(r.file_id)].split("\n")[r.start_line - 1 : r.end_line])
     assert got == {i: chunks_by_hand(t) for i, t in enumerate(texts)}
+
+
+def test_imports_become_relations(spark):
+    paths_of = ["src/auth/middleware.ts", "src/auth/index.ts", "src/app.ts", "lib/util.py"]
+    files_table = spark.createDataFrame([("r", p) for p in paths_of], "repo_id string, path string")
+    keys = {(r.key, r.target) for r in relations.path_index(files_table).collect()}
+    assert {("auth/middleware", paths_of[0]), ("src/auth", paths_of[1]), ("auth", paths_of[1]), ("util", paths_of[3])} <= keys
+    imports = [("r", "src/app.ts", "./auth", ["login"]), ("r", "src/app.ts", "../lib/util", ["helper", "hidden"]), ("r", "src/app.ts", "react", ["x"]), ("r", "src/auth/index.ts", "@/none/middleware", ["check"])]
+    symbols = [
+        ("r", "src/auth/index.ts", "s1", "login", "function", 1), ("r", "src/app.ts", "s2", "main", "function", 5), ("r", "src/app.ts", "s3", "login", "variable", 9),
+        ("r", "lib/util.py", "s4", "helper", "function", 1), ("r", "lib/util.py", "s5", "hidden", "function", 4), ("r", "src/auth/middleware.ts", "s6", "check", "function", 1),
+    ]
+    found = relations.build_relations(
+        spark.createDataFrame(symbols, "repo_id string, path string, symbol_id string, name string, kind string, start_line int"),
+        spark.createDataFrame(imports, "repo_id string, path string, source string, names array<string>"),
+        spark.createDataFrame([("r", "lib/util.py", "helper")], "repo_id string, path string, name string"),
+        files_table,
+    )
+    assert sorted((r.src, r.dst) for r in found.collect()) == [("s1", "s6"), ("s2", "s4"), ("s3", "s1")]
