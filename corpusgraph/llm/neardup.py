@@ -7,12 +7,11 @@
    chunk gives a key, so any such pair of nodes shares one of 90 keys. (Of two texts at the similarity of 0.75 itself, one
    pair in 40,000 shares none; pairs above it are surer.)
 3. Nodes that share a key are compared: signatures first, then whole sets. Not all pairs of a key: its nodes are first held
-   against one of them, the one that shares most keys with others, then those still apart against another. Confirmed links
-   make components. What remains of keys whose nodes are in several components is compared in blocks, component against
+   against one of them, the one that shares most keys with others. Confirmed links make components. What remains of keys whose nodes are in several components is compared in blocks, component against
    component, so no link between components is lost; inside a component further links change nothing. Before this, each
    node's shingles that no other such node has are counted: they bound its similarity to any other, exactly.
 
-So a group of thousands of copies costs a few comparisons each, whatever its size, and equal texts none.
+So a group of thousands of copies around one text costs a few comparisons each, whatever its size, and equal texts none.
 
 Defined results: null and blank texts have empty sets (n_shingles 0) and are alone; with fewer than 5 words the whole sequence is the
 one shingle; equal doc_ids count as one document for component_id, and each row is returned; a null doc_id gives a null component_id
@@ -288,19 +287,13 @@ def near_components(docs: DataFrame) -> DataFrame:
     links = kept_table(_confirmed(_alike(star, nodes), sets))
     parts = connected_components(links)
 
-    # keys whose nodes are in several components: against a second node, then the rest in blocks
+    # keys whose nodes are in several components
     placed = kept_table(_open(members, parts))
     alone = _common_counts(sets.join(placed.select("node").distinct(), "node", "left_semi"))
     bounded = nodes.drop("common").join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
     few = sets.join(placed.select("node").distinct(), "node", "left_semi")
     bounded = kept_table(bounded.join(_sketches(few), "node"))
-    first_of = F.max_by("component", F.struct("weight", "node"))
-    others = placed.join(placed.groupBy("key").agg(first_of.alias("main")), "key").where("component <> main")
-    second = others.groupBy("key").agg(top.alias("pivot"), first_of.alias("side"))
-    pairs = placed.join(second, "key").where("component <> side").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-    links = kept_table(links.unionByName(_confirmed(_alike(_ordered(pairs).join(links, ["u", "v"], "left_anti"), bounded), sets)))
-    parts = connected_components(links)
-    rest = _rest_pairs(_open(placed, parts).select("key", "node", "component"), bounded)
+    rest = _rest_pairs(placed.select("key", "node", "component"), bounded)
     links = kept_table(links.unionByName(_confirmed(_ordered(rest), sets)))
     parts = connected_components(links)
 
