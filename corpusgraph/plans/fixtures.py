@@ -22,11 +22,11 @@ VIEWS = {
   max(end_line) AS line_count, CAST(30 * max(end_line) AS BIGINT) AS size_bytes FROM fx_symbols GROUP BY repo_id, file_id, path""",
     "fx_relations": """SELECT DISTINCT concat('r', CAST(src % 4 AS STRING)) AS repo_id, CAST(src AS STRING) AS src, CAST(dst AS STRING) AS dst,
   CASE l_linenumber % 4 WHEN 0 THEN 'calls' WHEN 1 THEN 'imports' WHEN 2 THEN 'imports' ELSE 'extends' END AS relation_type
-FROM (SELECT l_partkey AS src, l_linenumber, l_quantity,
+FROM (SELECT l_partkey AS src, l_linenumber,
         lead(l_partkey) OVER (PARTITION BY l_orderkey, l_partkey % 4
           ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst
       FROM lineitem) w
-WHERE dst IS NOT NULL AND src <> dst AND l_quantity >= 46""",
+WHERE dst IS NOT NULL AND src <> dst""",
     "fx_chunks": """SELECT source AS repo_id, CAST(doc_id AS STRING) AS chunk_id, CAST(doc_id % 97 AS STRING) AS file_id, text AS content,
   CAST(doc_id AS STRING) AS symbol_id, CAST(ceil(length(text) / 4.0) AS INT) AS token_count FROM documents""",
     "fx_code": """SELECT source AS repo_id, CAST(doc_id AS STRING) AS file_id, 'typescript' AS language,
