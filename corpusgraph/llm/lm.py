@@ -5,11 +5,12 @@ to its own; reading probes level after level until one is missing. Unigrams are
 bigrams that occur `min_count` times or more from that count's level. The model is P(w | h) = (d(h, w) + (c(h) - T(h)) * P(w)) /
 c(h): d is the filter's count of the pair less a discount, T(h) the sum of d over all stored pairs of h, and c(h) the count of h
 (more, should T(h) be larger). What pairs that occur once and the discounts leave goes to P(w), which comes from the filter's unigram
-counts; so each context's probabilities sum to 1 but for false positives. Contexts are the `contexts` most frequent words at most
-(others use P(w) alone); a text begins in the context of an end.
+counts; so each context's probabilities sum to 1 but for false positives. Every word is a context; a text begins in the context of
+an end. A bigram's key is a 64-bit hash of both words.
 
-Beside the model there is the exact unigram score: frequent words' counts are broadcast (at most `contexts` of
-them), the rest is joined by a shuffle, which has no hot keys, since each rare word has fewer occurrences than the frequent ones.
+Beside the model there is the exact unigram score. The counts of frequent words, and as contexts their T(h), are broadcast (at most
+`contexts` of them); those of all others are joined by a shuffle, which has no hot keys, since each rare word has fewer
+occurrences than the frequent ones. Both ways give the same.
 
 The filter is cut into segments of 64 KB by hash; a segment is one small group's work, so it is built without a large task. It
 is broadcast whole up to `broadcast_bytes`. A larger one is worked through in parts of that size, one pass over the texts
@@ -36,7 +37,6 @@ from .words import mix, runs, text_bytes, word_hashes
 END = np.uint64(0x5AFE0E2D5AFE0E2D)
 _SEGMENT_BITS = 1 << 19
 _PROBES = 6
-_TOP = np.uint64(17)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -64,9 +64,17 @@ def unigram_keys(words: np.ndarray) -> np.ndarray:
     return mix(words ^ np.uint64(0x1111111111111111))
 
 
-def bigram_codes(context: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """A context's number (17 bits) and 47 bits of the word's hash."""
-    return (context.astype(np.uint64) << np.uint64(47)) | (words >> _TOP)
+def before(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The context of each token: the token before; a text's first token has the end."""
+    context = np.empty_like(tokens)
+    context[1:] = tokens[:-1]
+    context[first] = END
+    return context
+
+
+def bigram_keys(context: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of both words."""
+    return mix(mix(context ^ np.uint64(0x2222222222222222)) + words)
 
 
 @dataclass(frozen=True)
@@ -109,56 +117,66 @@ def _token_runs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 
 
 class _Counter:
-    """Counts of 64-bit keys, merged now and then, so memory follows the distinct keys."""
+    """Counts of 64-bit keys, each with the value that goes with it, merged now and then, so memory follows the distinct keys."""
 
-    def __init__(self, limit: int = 1_200_000):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, limit: int = 500_000):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size, self.limit = 0, limit
 
-    def add(self, keys: np.ndarray) -> None:
-        made = np.unique(keys, return_counts=True)
-        self.parts.append(made)
-        self.size += len(made[0])
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        made, at, counts = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append((made, values[at], counts.astype(np.int32)))
+        self.size += len(made)
         if self.size > self.limit:
             self.parts = [self.merged()]
             self.size = len(self.parts[0][0])
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        keys, values, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts = []
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-        return keys[new], np.add.reduceat(counts, new) if len(new) else counts
+        return keys[new], values[order[new]], np.add.reduceat(counts, new) if len(new) else counts
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        keys, counts = self.merged()
-        self.parts, self.size = [], 0
-        for i in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(counts[i : i + 100_000].astype(np.int32))], ["key", "n"]
-            )
+        columns = self.merged()
+        self.size = 0
+        for i in range(0, len(columns[0]), 50_000):
+            key, value, n = (x[i : i + 50_000] for x in columns)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(value.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "value", "n"])
 
 
 def _counted(texts: DataFrame, keys_of) -> DataFrame:
-    """(key, n): how often each key that keys_of(tokens, first) gives occurs in all texts."""
+    """(key, value, n): how often each key occurs in all texts, where keys_of(tokens, first) gives keys and the value of each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
         for batch in batches:
             for _, tokens, first, _ in _token_runs(batch.column(0)):
-                counter.add(keys_of(tokens, first))
-                if counter.size > 1_000_000:
+                counter.add(*keys_of(tokens, first))
+                if counter.size > 400_000:
                     yield from counter.batches()
         yield from counter.batches()
 
-    return texts.mapInArrow(work, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(work, "key long, value long, n int").groupBy("key").agg(F.min("value").alias("value"), F.sum("n").alias("n"))
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(key, n) of all tokens of the column text, ends included."""
-    return _counted(texts, lambda tokens, first: tokens)
+    return _counted(texts, lambda tokens, first: (tokens, tokens)).select("key", "n")
+
+
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """(key, value, n) of all bigrams of the column text: value is the context's hash."""
+
+    def keys_of(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        context = before(tokens, first)
+        return bigram_keys(context, tokens), context
+
+    return _counted(texts, keys_of)
 
 
 @dataclass(frozen=True)
@@ -167,6 +185,7 @@ class Frequent:
 
     words: np.ndarray
     counts: np.ndarray
+    sums: np.ndarray
 
     def find(self, tokens: np.ndarray) -> np.ndarray:
         """The number of each token among the frequent words, -1 if it is none."""
@@ -175,32 +194,20 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
         return np.where(self.words[at] == tokens, at, -1)
 
-    def contexts(self, number: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The context of each token: the number of the token before; a text's first token has the end's."""
-        end = int(self.find(np.array([END]))[0])
-        before = np.empty_like(number)
-        before[1:] = number[:-1]
-        before[first] = end
-        return before
-
 
 def frequent_words(counts: DataFrame, most: int) -> Frequent:
-    """The words of the highest counts, as many as whole count classes fit into `most` (of 2 ** 17 at most)."""
+    """The words of counts (key, n, t) of the highest n, as many as whole count classes fit into `most`."""
     bins = counts.groupBy(F.floor(F.log2("n") * 64).alias("b")).agg(F.count("*").alias("k"), F.min("n").alias("low")).collect()
     least, total = None, 0
     for r in sorted(bins, key=lambda r: -r.b):  # a few hundred rows
         if total + r.k > most:
             break
         total, least = total + r.k, r.low
-    rows = counts.where(F.col("n") >= least).toArrow() if least is not None else None
-    words = rows.column("key").to_numpy().view(np.uint64) if rows else np.zeros(0, np.uint64)
-    n = rows.column("n").to_numpy() if rows else np.zeros(0, np.int64)
-    if END not in words:  # the end has the count of all texts, and is a context in any case
-        own = counts.where(F.col("key") == int(END.view(np.int64))).agg(F.max("n")).first()[0]
-        if own:
-            words, n = np.append(words, END), np.append(n, own)
+    end = F.col("key") == int(END.view(np.int64))  # the end has the count of all texts, and is broadcast in any case
+    rows = counts.where(end if least is None else (F.col("n") >= least) | end).toArrow()
+    words, n, t = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy(), rows.column("t").to_numpy()
     order = np.argsort(words)
-    return Frequent(words[order], n[order])
+    return Frequent(words[order], n[order], t[order])
 
 
 def _filter_segments(entries: DataFrame, segments: int) -> DataFrame:
@@ -228,10 +235,9 @@ def _filter_segments(entries: DataFrame, segments: int) -> DataFrame:
 
 @dataclass
 class LanguageModel:
-    """What scoring needs: frequent words, sums of contexts, and the filter (its parts are rows of `segments_table`)."""
+    """What scoring needs: frequent words, counts (key, n, t) of all words, and the filter (its parts are rows of `segments_table`)."""
 
     frequent: Frequent
-    context_sums: np.ndarray
     segments_table: DataFrame
     segments: int
     counts: DataFrame
@@ -255,33 +261,23 @@ def fit_language_model(
     texts: DataFrame, *, contexts: int = 131_000, min_count: int = 2, bits_per_entry: int = 12, discount: float = 0.9
 ) -> LanguageModel:
     """The model of the column text of texts."""
-    spark = texts.sparkSession
     counts = kept_table(count_words(texts))
     level = F.floor(F.log2("n")).cast("int") + 1
     stands = F.when(level <= 1, F.lit(1.0)).otherwise(F.lit(1.4) * F.pow(F.lit(2.0), level - 1))
     n, distinct, seen, uni_entries = counts.agg(F.sum("n"), F.count("*"), F.sum(stands), F.sum(level)).first()
-    frequent = frequent_words(counts, contexts)
-    shared = spark.sparkContext.broadcast(frequent)
-
-    def pairs_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        context = shared.value.contexts(shared.value.find(tokens), first)
-        known = context >= 0
-        return bigram_codes(context[known], tokens[known])
-
-    pairs = kept_table(_counted(texts, pairs_of).where(F.col("n") >= min_count))
     lowest = int(levels_of(np.array([min_count]))[0])
-    sums = np.zeros(max(1, len(frequent.words)))
-    by_context = pairs.groupBy(F.shiftrightunsigned("key", 47).alias("context")).agg(F.sum(stands - discount).alias("t"), F.sum(level - lowest + 1).alias("e"))
-    for r in (rows := by_context.collect()):  # a row for each context at most
-        sums[r.context] = r.t
-    entries = int(uni_entries or 0) + sum(r.e for r in rows)
+    pairs = kept_table(count_pairs(texts).where(F.col("n") >= min_count))
+    by_context = pairs.groupBy(F.col("value").alias("key")).agg(F.sum(stands - discount).alias("t"))
+    counts = kept_table(counts.join(by_context, "key", "left").select("key", "n", F.coalesce("t", F.lit(0.0)).alias("t")))
+    frequent = frequent_words(counts, contexts)
+    entries = int(uni_entries or 0) + int(pairs.agg(F.sum(level - lowest + 1)).first()[0] or 0)
     segments = max(1, -(-entries * bits_per_entry // _SEGMENT_BITS))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(0).to_numpy().view(np.uint64)
             pair = batch.column(1).to_numpy(zero_copy_only=False)
-            made = np.where(pair, mix(raw ^ np.uint64(0x2222222222222222)), unigram_keys(raw)).view(np.int64)
+            made = np.where(pair, raw, unigram_keys(raw)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(made), batch.column(2), batch.column(3)], ["key", "low", "high"])
 
     all_entries = counts.select("key", F.lit(False).alias("pair"), F.lit(1).alias("low"), level.alias("high")).unionByName(
@@ -289,21 +285,21 @@ def fit_language_model(
     )
     hashed = all_entries.mapInArrow(keys, "key long, low int, high int")
     filter_rows = kept_table(_filter_segments(hashed, segments))
-    return LanguageModel(frequent, sums, filter_rows, segments, counts, n or 0, distinct, seen or 0.0, lowest, discount)
+    return LanguageModel(frequent, filter_rows, segments, counts, n or 0, distinct, seen or 0.0, lowest, discount)
 
 
 def _read_levels(rows: DataFrame, model: LanguageModel, part: FilterPart) -> DataFrame:
     """rows (id, doc_id, text, levels) with what the part of the filter holds of each token added to levels (2 bytes a token)."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((model.frequent, part, model.lowest_pair))
+    shared = spark.sparkContext.broadcast((part, model.lowest_pair))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, filter_part, lowest = shared.value
+        filter_part, lowest = shared.value
         for batch in batches:
             made = []
             old = batch.column(3).to_pylist()
             for i, tokens, first, begin in _token_runs(batch.column(2)):
-                one, two = read_tokens(frequent, filter_part, lowest, tokens, first)
+                one, two = read_tokens(filter_part, lowest, tokens, first)
                 both = np.stack([one, two], 1).astype(np.uint8)
                 for k in range(len(begin) - 1):
                     own = both[begin[k] : begin[k + 1]]
@@ -315,16 +311,17 @@ def _read_levels(rows: DataFrame, model: LanguageModel, part: FilterPart) -> Dat
     return rows.mapInArrow(work, "id long, doc_id long, text string, levels binary")
 
 
-def read_tokens(frequent: Frequent, part: FilterPart, lowest: int, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The filter's unigram and bigram level of each token."""
+def read_tokens(part: FilterPart, lowest: int, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The filter's unigram level of each token, and the level of the bigram with the token before."""
     words, where = np.unique(tokens, return_inverse=True)
-    one = part.read(unigram_keys(words), 1)[where]
-    context = frequent.contexts(frequent.find(words)[where], first)
-    two = np.zeros(len(tokens), np.int64)
-    known = np.flatnonzero(context >= 0)
-    codes, back = np.unique(bigram_codes(context[known], tokens[known]), return_inverse=True)
-    two[known] = part.read(mix(codes ^ np.uint64(0x2222222222222222)), lowest)[back]
-    return one, two
+    keys, back = np.unique(bigram_keys(before(tokens, first), tokens), return_inverse=True)
+    return part.read(unigram_keys(words), 1)[where], part.read(keys, lowest)[back]
+
+
+def pair_probability(value: np.ndarray, share: np.ndarray, kept: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """P(w | h) from the filter's discounted count of the pair, P(w), T(h) and c(h). The same in Spark is in score_texts."""
+    times = np.maximum(times, kept + 1)
+    return np.minimum((np.minimum(value, kept) + (times - kept) * share) / times, 1.0)
 
 
 def score_texts(docs: DataFrame, model: LanguageModel, *, broadcast_bytes: int = 256 << 20) -> DataFrame:
@@ -340,61 +337,72 @@ def score_texts(docs: DataFrame, model: LanguageModel, *, broadcast_bytes: int =
         part = following
     many = "levels" in rows.columns
     base_of_all = model.train_tokens + 0.5 * (model.distinct + 1)
-    shared = spark.sparkContext.broadcast((model.frequent, part, model.lowest_pair, model.context_sums))
+    shared = spark.sparkContext.broadcast((model.frequent, part, model.lowest_pair))
     seen_of_all, discount = model.filter_tokens + 0.5 * (model.distinct + 1), model.discount
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, filter_part, lowest, sums = shared.value
+        frequent, filter_part, lowest = shared.value
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in range(8)]
             old = batch.column(3).to_pylist() if many else None
             for i, tokens, first, begin in _token_runs(batch.column(2)):
-                one, two = read_tokens(frequent, filter_part, lowest, tokens, first)
+                one, two = read_tokens(filter_part, lowest, tokens, first)
                 if old is not None:
-                    before = np.frombuffer(b"".join(old[i : i + len(begin) - 1]), np.uint8).reshape(-1, 2)
-                    one, two = np.maximum(one, before[:, 0]), np.maximum(two, before[:, 1])
+                    levels = np.frombuffer(b"".join(old[i : i + len(begin) - 1]), np.uint8).reshape(-1, 2)
+                    one, two = np.maximum(one, levels[:, 0]), np.maximum(two, levels[:, 1])
                 number = frequent.find(tokens)
-                context = frequent.contexts(number, first)
+                context = frequent.find(before(tokens, first))
                 share = (value_of(one) + 0.5) / seen_of_all
-                some = np.maximum(context, 0)
-                kept = np.where(context >= 0, sums[some], 0.0)
-                times = np.where(context >= 0, np.maximum(frequent.counts[some], kept + 1), 1.0) if len(frequent.words) else np.ones(len(tokens))
-                pair = np.where((context >= 0) & (two > 0), np.minimum(value_of(two) - discount, kept), 0.0)
-                model_log = np.log10(np.minimum((pair + (times - kept) * share) / times, 1.0))
+                value = np.where(two > 0, value_of(two) - discount, 0.0)
+                model_log = np.zeros(len(tokens))
+                own = np.flatnonzero(context >= 0)
+                kept, times = frequent.sums[context[own]], frequent.counts[context[own]]
+                model_log[own] = np.log10(pair_probability(value[own], share[own], kept, times))
                 known = number >= 0
                 base_log = np.zeros(len(tokens))
                 base_log[known] = np.log10((frequent.counts[number[known]] + 0.5) / base_of_all)
                 out[0].append(np.diff(begin))
                 for k, values in ((1, known.astype(np.int64)), (2, base_log), (3, model_log)):
                     out[k].append(np.add.reduceat(values, begin[:-1]))
+                # A text's last token is its end, so the token after a rare one is of the same text. Without a known end all is rare.
                 rare = np.flatnonzero(~known)
+                after = np.minimum(rare + 1, len(tokens) - 1)
                 owner = np.searchsorted(begin, rare, "right") - 1
                 out[4].append(tokens[rare].view(np.int64))
-                out[5].append(np.bincount(owner, minlength=len(begin) - 1))
-            n, has, base, model_score, rare_tokens, rare_n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+                out[5].append(value[after])
+                out[6].append(share[after])
+                out[7].append(np.bincount(owner, minlength=len(begin) - 1))
+            n, has, base, model_score, rare_tokens, rare_value, rare_share, rare_n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
             offsets = pa.array(np.concatenate([[0], np.cumsum(rare_n)]).astype(np.int32))
+            items = pa.StructArray.from_arrays(
+                [pa.array(rare_tokens, pa.int64()), pa.array(rare_value, pa.float64()), pa.array(rare_share, pa.float64())], ["key", "value", "share"]
+            )
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(has, pa.int64()), pa.array(base, pa.float64()),
-                    pa.array(model_score, pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(rare_tokens, pa.int64())),
+                    pa.array(model_score, pa.float64()), pa.ListArray.from_arrays(offsets, items),
                 ],
                 ["id", "doc_id", "n_tokens", "n_frequent", "base", "score", "rare"],
             )
 
-    schema = "id long, doc_id long, n_tokens long, n_frequent long, base double, score double, rare array<long>"
+    schema = "id long, doc_id long, n_tokens long, n_frequent long, base double, score double, rare array<struct<key: long, value: double, share: double>>"
     scored = kept_table(rows.mapInArrow(work, schema))
-    rare = scored.select("id", F.explode("rare").alias("key"))
+    rare = scored.select("id", F.inline("rare"))
     joined = rare.join(model.counts, "key", "left")
+    kept = F.coalesce("t", F.lit(0.0))
+    times = F.greatest(F.coalesce("n", F.lit(0)).cast("double"), kept + 1)
+    after = F.least((F.least("value", kept) + (times - kept) * F.col("share")) / times, F.lit(1.0))
     per_text = joined.groupBy("id").agg(
-        F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / base_of_all)).alias("rare_base"), F.count("n").alias("rare_known")
-    )
+        F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / base_of_all)).alias("rare_base"), F.count("n").alias("rare_known"),
+        F.sum(F.log10(after)).alias("rare_score"),
+    )
     both = scored.drop("rare").join(per_text, "id", "left")
     return both.select(
         "doc_id",
         "n_tokens",
         (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
 
 
