@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def semantic_topk(queries: DataFrame, vectors: DataFrame, *, k: int = 20, min_similarity: float = 0.3) -> DataFrame:
+def semantic_topk(queries: DataFrame, vectors: DataFrame, *, k: int = 20, min_similarity: float = 0.3, block: int = 2_000) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): cosine similarity, rounded to 6 places, of queries (query_id, vector) and vectors (chunk_id, embedding).
 
-    The queries are the small side; every vector is read once for all of them, and only rows over the threshold go on.
+    Queries are broadcast in blocks of about `block` rows; every vector is read once for each block, and only rows over the threshold go on.
     """
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     q = queries.select("query_id", as_double(F.col("vector")).alias("q")).withColumn("q_norm", F.sqrt(dot(F.col("q"), F.col("q"))))
     v = vectors.select("chunk_id", as_double(F.col("embedding")).alias("v")).withColumn("v_norm", F.sqrt(dot(F.col("v"), F.col("v"))))
     similarity = F.round(dot(F.col("q"), F.col("v")) / (F.col("q_norm") * F.col("v_norm")), 6)
-    both = v.crossJoin(q).select("query_id", "chunk_id", similarity.alias("similarity")).where(F.col("similarity") >= min_similarity)
+    blocks = max(1, -(-queries.count() // block))
+    own = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+    met = reduce(DataFrame.unionByName, [v.crossJoin(F.broadcast(x)) for x in own])
+    both = met.select("query_id", "chunk_id", similarity.alias("similarity")).where(F.col("similarity") >= min_similarity)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -32,14 +37,20 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def lexical_topk(queries: DataFrame, chunks: DataFrame, *, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, score, rank): chunks with all terms of queries (query_id, text), by BM25 rounded to 6 places."""
+    """(query_id, chunk_id, score, rank): chunks with all terms of queries (query_id, text), by BM25 rounded to 6 places.
+
+    A chunk with all terms of a query has its rarest one, so only the chunks of that term meet the query's other terms.
+    """
     index = postings(chunks)
     totals = chunks.select(F.size(terms_of("content")).alias("n")).agg(F.count("*").alias("n_chunks"), F.avg("n").alias("mean_length"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms_of("text"))).alias("term"))
     wanted = wanted.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
-    hits = index.join(wanted, "term")
     frequency = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(frequency, "term").crossJoin(F.broadcast(totals))  # totals is one row
+    wanted = wanted.join(frequency, "term")
+    rarest = wanted.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).where("n = 1").select("query_id", "term")
+    candidates = index.join(rarest, "term").select("query_id", "chunk_id")
+    hits = candidates.join(wanted, "query_id").join(index, ["chunk_id", "term"])
+    rows = hits.crossJoin(F.broadcast(totals))  # totals is one row
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     scored = rows.groupBy("query_id", "chunk_id", "n_terms").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))

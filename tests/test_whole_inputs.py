@@ -3,6 +3,7 @@
 import pandas as pd
 import pytest
 
+from corpusgraph.operators import retrieval
 from corpusgraph.plans import registry, reports  # noqa: F401
 from corpusgraph.plans.fixtures import frame
 
@@ -42,3 +43,26 @@ def test_every_node_is_a_source(spark, links, name, steps, depth):
             want |= {(source, y, d) for y in front}
     got = [(r.source, r.node, r.depth) for r in registry.QUERIES[name](spark, FOLDER).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_semantic_queries_are_all_that_the_rule_names(spark):
+    wanted = {r.vec_id for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").select("vec_id").collect() if r.vec_id % 50 == 0}
+    got = registry.QUERIES["r1_semantic_topk"](spark, FOLDER)
+    assert {r.query_id for r in got.collect()} == wanted
+
+
+def test_semantic_blocks_give_the_same(spark):
+    e = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    queries, vectors = e.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS vector"), e.selectExpr("vec_id AS chunk_id", "embedding")
+    one, many = (retrieval.semantic_topk(queries, vectors, block=n).collect() for n in (10_000, 3))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and one
+
+
+def test_lexical_queries_are_whole_texts(spark):
+    chunks = spark.createDataFrame([("a", "one two three four"), ("b", "one two three five"), ("c", "five four three two one")], "chunk_id string, content string")
+    got = retrieval.lexical_topk(spark.createDataFrame([(1, "one two three four"), (2, "one two three six")], "query_id long, text string"), chunks)
+    assert {(r.query_id, r.chunk_id) for r in got.collect()} == {(1, "a"), (1, "c")}
+    texts = {r.item_id: set(r.text.lower().split()) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
+    content = {str(r.doc_id): r.text.lower() for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    for r in registry.QUERIES["r3_lexical_topk"](spark, FOLDER).collect():
+        assert all(word.strip(".,!?;:") in content[r.chunk_id] for word in texts[r.query_id])
