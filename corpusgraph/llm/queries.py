@@ -27,7 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_near_duplicates": neardup.op1_near_duplicates,
         "op2_kd_top_k": topk.OP2_SQL,
         "op6_line_dedup": lines.OP6_SQL,
     }
