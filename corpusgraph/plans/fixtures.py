@@ -20,6 +20,8 @@ VIEWS = {
   p_size AS start_line, p_size + CAST(p_partkey % 200 AS INT) AS end_line FROM part""",
     "fx_symbol_files": """SELECT repo_id, file_id, path, CASE WHEN path LIKE 's%' THEN NULL ELSE 'typescript' END AS language,
   max(end_line) AS line_count, CAST(30 * max(end_line) AS BIGINT) AS size_bytes FROM fx_symbols GROUP BY repo_id, file_id, path""",
+    "fx_symbol_chunks": '''SELECT repo_id, file_id, symbol_id AS chunk_id, CAST(ceil(length(name) / 4.0) AS INT) AS token_count,
+  concat(CASE start_line WHEN 1 THEN '// ' WHEN 2 THEN '/* ' WHEN 3 THEN '# ' WHEN 4 THEN '"""' ELSE '' END, name) AS content FROM fx_symbols''',
     "fx_relations": """SELECT DISTINCT concat('r', CAST(src % 4 AS STRING)) AS repo_id, CAST(src AS STRING) AS src, CAST(dst AS STRING) AS dst,
   CASE l_linenumber % 4 WHEN 0 THEN 'calls' WHEN 1 THEN 'imports' WHEN 2 THEN 'imports' ELSE 'extends' END AS relation_type
 FROM (SELECT l_partkey AS src, l_linenumber,
@@ -44,7 +46,7 @@ WHERE dst IS NOT NULL AND src <> dst""",
 FROM lineitem GROUP BY 1, 2, 3, 4, 5""",
     "fx_citations": """SELECT doc_id AS message_id, concat('see [file:', lang, '/d', CAST(doc_id % 10 AS STRING), '/doc', CAST(doc_id AS STRING), '.ts:L1-L', CAST(doc_id % 40 AS STRING), '] and [file:none.ts:L1-L2]') AS content FROM documents""",
 }
-_USES = {"fx_symbol_files": ["fx_symbols"]}
+_USES = {"fx_symbol_files": ["fx_symbols"], "fx_symbol_chunks": ["fx_symbols"]}
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -207,31 +207,28 @@ SELECT repo_id, file_id, count(*) AS chunk_count, avg(token_count) AS avg_tokens
 """)(health.chunk_stats)
 
 
-def _health(f: DataFrame, s: DataFrame, r: DataFrame) -> DataFrame:
-    no_chunks = s.select("repo_id", "file_id", F.lit("").alias("content"), F.lit(0).alias("token_count")).where("false")
-    return health.file_health(f, s, r, no_chunks)
-
-
 _HEALTH = f"""c AS (SELECT repo_id, file_id, count(*) AS sc, sum(CASE WHEN kind IN ('function', 'method') THEN greatest((end_line - start_line) / 10.0, 1.0) ELSE 0.0 END)::DOUBLE AS cx FROM fx_symbols GROUP BY 1, 2),
 k AS (SELECT coalesce(x.repo_id, y.repo_id) AS repo_id, coalesce(x.file_id, y.file_id) AS file_id, coalesce(aff, 0) AS aff, coalesce(eff, 0) AS eff
 FROM (SELECT b.repo_id, b.file_id, count(DISTINCT src) AS aff {_FROM_TO} GROUP BY 1, 2) x
 FULL JOIN (SELECT a.repo_id, a.file_id, count(DISTINCT dst) AS eff {_FROM_TO} GROUP BY 1, 2) y ON x.repo_id = y.repo_id AND x.file_id = y.file_id),
-m AS (SELECT f.*, coalesce(sc, 0) AS sc, coalesce(cx, 0) AS cx, CASE WHEN coalesce(aff, 0) + coalesce(eff, 0) > 0 THEN eff / (aff + eff)::DOUBLE ELSE 0 END AS inst
- FROM fx_symbol_files f LEFT JOIN c USING (repo_id, file_id) LEFT JOIN k USING (repo_id, file_id)),
+t AS (SELECT repo_id, file_id, count(*) FILTER (content LIKE '//%' OR content LIKE '/*%' OR content LIKE '#%' OR content LIKE '"{'"' * 2}%' OR content LIKE '''''''%') / count(*)::DOUBLE AS docs
+ FROM fx_symbol_chunks GROUP BY 1, 2),
+m AS (SELECT f.*, coalesce(docs, 0) AS docs, coalesce(sc, 0) AS sc, coalesce(cx, 0) AS cx, CASE WHEN coalesce(aff, 0) + coalesce(eff, 0) > 0 THEN eff / (aff + eff)::DOUBLE ELSE 0 END AS inst
+ FROM fx_symbol_files f LEFT JOIN c USING (repo_id, file_id) LEFT JOIN k USING (repo_id, file_id) LEFT JOIN t USING (repo_id, file_id)),
 h AS (SELECT *, CAST(greatest(0, 100 - CASE WHEN cx > 50 THEN 20 WHEN cx > 20 THEN 10 ELSE 0 END - CASE WHEN inst > 0.8 THEN 15 WHEN inst > 0.5 THEN 5 ELSE 0 END
- - CASE WHEN line_count > 500 THEN 15 WHEN line_count > 300 THEN 5 ELSE 0 END - 10 - CASE WHEN sc > 30 THEN 10 ELSE 0 END) AS INT) AS score FROM m)"""
-query("h4_file_health", "fx_symbol_files", "fx_symbols", "fx_relations", body=f"WITH {_HEALTH} SELECT repo_id, file_id, cx AS complexity, inst AS instability, score FROM h")(
-    lambda f, s, r: _health(f, s, r).select("repo_id", "file_id", F.col("complexity").cast("double").alias("complexity"), "instability", "score")
+ - CASE WHEN line_count > 500 THEN 15 WHEN line_count > 300 THEN 5 ELSE 0 END - CASE WHEN docs < 0.05 THEN 10 ELSE 0 END - CASE WHEN sc > 30 THEN 10 ELSE 0 END) AS INT) AS score FROM m)"""
+query("h4_file_health", "fx_symbol_files", "fx_symbols", "fx_relations", "fx_symbol_chunks", body=f"WITH {_HEALTH} SELECT repo_id, file_id, cx AS complexity, inst AS instability, score FROM h")(
+    lambda f, s, r, c: health.file_health(f, s, r, c).select("repo_id", "file_id", F.col("complexity").cast("double").alias("complexity"), "instability", "score")
 )
-query("h5_repo_health", "fx_symbol_files", "fx_symbols", "fx_relations", body=f"""WITH {_HEALTH} SELECT repo_id, count(*) AS file_count, round(avg(cx), 6) AS avg_complexity,
+query("h5_repo_health", "fx_symbol_files", "fx_symbols", "fx_relations", "fx_symbol_chunks", body=f"""WITH {_HEALTH} SELECT repo_id, count(*) AS file_count, round(avg(cx), 6) AS avg_complexity,
  round(avg(inst), 6) AS avg_instability, max(size_bytes) AS max_size, avg(size_bytes) AS avg_size, CAST(floor(avg(score) + 0.5) AS INT) AS score FROM h GROUP BY 1""")(
-    lambda f, s, r: health.repo_health(_health(f, s, r)).withColumns(
+    lambda f, s, r, c: health.repo_health(health.file_health(f, s, r, c)).withColumns(
         {c: F.round(F.col(c).cast("double"), 6) for c in ("avg_complexity", "avg_instability")}
     )
 )
-query("h6_hotspots", "fx_symbol_files", "fx_symbols", "fx_relations", body=f"""WITH {_HEALTH} SELECT repo_id, path, score, CAST(place AS INT) AS place FROM (
+query("h6_hotspots", "fx_symbol_files", "fx_symbols", "fx_relations", "fx_symbol_chunks", body=f"""WITH {_HEALTH} SELECT repo_id, path, score, CAST(place AS INT) AS place FROM (
  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY score, path) AS place FROM h) WHERE place <= 10""")(
-    lambda f, s, r: health.hotspots(_health(f, s, r)).select("repo_id", "path", "score", "place")
+    lambda f, s, r, c: health.hotspots(health.file_health(f, s, r, c)).select("repo_id", "path", "score", "place")
 )
 query("h7_language_breakdown", "fx_symbol_files", body="""
 SELECT repo_id, coalesce(language, 'unknown') AS language, count(*) AS file_count, CAST(sum(line_count) AS BIGINT) AS line_count,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import extract, health, relations, reports, traverse, workspace
 from ..sources import files as file_tables
-from .registry import _CITED, _HEALTH, _IMPACT, _REACH, _health, _sources, query
+from .registry import _CITED, _HEALTH, _IMPACT, _REACH, _sources, query
 
 query("p11_naming_mix", "part", body="""
 WITH s AS (SELECT p_partkey % 4 AS repo_id, p_partkey AS symbol_id, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '_') ELSE concat(replace(p_name, ' ', ''), 'ByName') END AS name FROM part)
@@ -34,9 +34,9 @@ query("r8_k_hop", "fx_relations", body="WITH " + _REACH.format(to="to", at="at",
     lambda r: traverse.reach(_sources(r), r, max_depth=2, direction="both").select("repo_id", "source", "node", "depth")
 )
 
-query("h6_best_files", "fx_symbol_files", "fx_symbols", "fx_relations", body=f"""WITH {_HEALTH} SELECT repo_id, path, score, CAST(place AS INT) AS place FROM (
+query("h6_best_files", "fx_symbol_files", "fx_symbols", "fx_relations", "fx_symbol_chunks", body=f"""WITH {_HEALTH} SELECT repo_id, path, score, CAST(place AS INT) AS place FROM (
  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, path) AS place FROM h WHERE line_count > 0) WHERE place <= 5""")(
-    lambda f, s, r: health.best_files(_health(f, s, r)).select("repo_id", "path", "score", "place")
+    lambda f, s, r, c: health.best_files(health.file_health(f, s, r, c)).select("repo_id", "path", "score", "place")
 )
 
 query("r32_page_results", "lineitem", body="""

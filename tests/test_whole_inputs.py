@@ -3,7 +3,7 @@
 import pandas as pd
 import pytest
 
-from corpusgraph.operators import retrieval
+from corpusgraph.operators import health, retrieval
 from corpusgraph.plans import registry, reports  # noqa: F401
 from corpusgraph.plans.fixtures import frame
 
@@ -66,3 +66,13 @@ def test_lexical_queries_are_whole_texts(spark):
     content = {str(r.doc_id): r.text.lower() for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     for r in registry.QUERIES["r3_lexical_topk"](spark, FOLDER).collect():
         assert all(word.strip(".,!?;:") in content[r.chunk_id] for word in texts[r.query_id])
+
+
+def test_health_counts_chunks(spark):
+    views = [frame(spark, FOLDER, f"fx_{v}") for v in ("symbol_files", "symbols", "relations", "symbol_chunks")]
+    rows = health.file_health(*views).collect()
+    assert all(r.chunk_count == r.symbol_count > 0 and r.avg_tokens > 0 and r.chunk_density > 0 for r in rows)
+    documented = {(r.repo_id, r.file_id) for r in rows if r.doc_ratio >= 0.05}
+    assert 0 < len(documented) < len(rows)
+    assert all(("Low documentation coverage (<5%)" in r.issues) != ((r.repo_id, r.file_id) in documented) for r in rows)
+    assert max(r.score for r in registry.QUERIES["h4_file_health"](spark, FOLDER).collect()) > 90
