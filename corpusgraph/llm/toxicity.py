@@ -1,7 +1,7 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, compared window by window.
 
 Two dictionaries are trained: one on windows of ordinary text, one on the words that are common in
-toxic texts and rare in ordinary ones. Each window of a few words is compressed twice, with the ordinary
+toxic texts and rare in ordinary ones; where no word is so, on windows of the toxic texts. Each window of a few words is compressed twice, with the ordinary
 dictionary and with the toxic one in front of it; the difference of the two lengths is what the toxic
 text explains of the window. How likely each difference is in toxic and in ordinary texts gives the window's
 weight; a text's sum of weights goes through a rising curve, fitted to the labelled sample, to a probability.
@@ -135,25 +135,29 @@ def fit_toxicity(
     if not n.get(0) or not n.get(1):
         return none
     telling = _telling_words(sample, n[1], n[0], share, lift, 4_000)
-    if not telling:
-        return none
+
+    def pieces(label: int) -> list[bytes]:
+        """At most window_sample windows of 8 words from the texts of a label."""
+        each = max(1, window_sample // n[label])
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for text in batch.column(1).to_pylist():
+                    own = windows(text, 8)
+                    found += own[:: max(1, len(own) // each)][:each]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["w"])
+
+        rows = sample.where(F.col("label") == label).mapInArrow(cut, "w binary")
+        return [bytes(r.w)[:400] for r in rows.limit(window_sample).collect()]
+
     repeats = [w for w, k in telling for _ in range(max(1, round(2_000 * k / n[1])))]
     np.random.default_rng(11).shuffle(repeats)
-    toxic = _train([b"".join(b" " + w + b" " for w in repeats[i : i + 4]) for i in range(0, len(repeats), 4)], toxic_bytes)
+    samples = [b"".join(b" " + w + b" " for w in repeats[i : i + 4]) for i in range(0, len(repeats), 4)]
+    toxic = _train(samples or pieces(1), toxic_bytes)
     # zstandard enters every third place of a dictionary into its tables: keep the places of the ordinary part the same
     toxic = toxic.rjust(-(-len(toxic) // 24) * 24, b" ")
-    each = max(1, window_sample // n[0])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                own = windows(text, 8)
-                found += own[:: max(1, len(own) // each)][:each]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["w"])
-
-    pieces = sample.where("label = 0").mapInArrow(cut, "w binary")  # at most window_sample windows of 8 words
-    ordinary = _train([bytes(r.w)[:400] for r in pieces.limit(window_sample).collect()], ordinary_bytes)
+    ordinary = _train(pieces(0), ordinary_bytes)
     model = ToxicityModel(ordinary, toxic, words, none.weights, none.knots)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,11 +1,12 @@
 """Models and indexes hold all of what they are given, beyond any list of frequent or small values."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 
-from corpusgraph.llm import lm, topk
+from corpusgraph.llm import lm, topk, toxicity
 
 
 def test_bigrams_behind_rare_words_are_kept(spark):
@@ -51,3 +52,16 @@ def test_top_k_refuses_what_64_bits_cannot_hold(spark):
     rows = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="does not fit 64 bits"):
         topk.quantised_vectors(rows, "vec_id", "embedding").collect()
+
+
+def test_toxicity_without_telling_words(spark):
+    """Two toxic texts are too few for the word list; the model must still tell them."""
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    rows = [(i, " ".join(word("abcdefgh") for _ in range(40)), 0) for i in range(60)]
+    bad = [word("qrstuvwx") for _ in range(6)]
+    rows += [(60 + i, " ".join(rng.choice(bad) for _ in range(40)), 1) for i in range(2)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label int")
+    scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, labels)).collect()}
+    assert min(scores[60], scores[61]) > max(scores[i] for i in range(60))
