@@ -29,16 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import kept_table, table
-from .words import _BYTE, _power_tables, mix, runs, text_bytes
+from .words import _BYTE, _power_tables, mix, runs, text_bytes, word_hashes
 
 GRAM = 64
 
 
-def _rolling(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums from which span_hashes makes the hash of any span of raw."""
-    up, down = _power_tables(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+def _rolling(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums from which span_hashes makes the hash of any span of units (a uint64 for each byte or word)."""
+    up, down = _power_tables(len(units) + 1)
+    sums = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum(units * up[: len(units)], out=sums[1:])
     return sums, down
 
 
@@ -56,15 +56,16 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:count], ahead[width - 1 : width - 1 + count])
 
 
-def entries_of(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Entries of the texts' windows: text, first window, number of windows, anchor, hash of the run, whether it may repeat in itself."""
+def entries_of(units: np.ndarray, at: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Entries of the windows of `length` units of texts that begin at `at`: text, first window, number of windows, anchor, hash of the run,
+    whether it may repeat in itself."""
     none = tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
-    if len(raw) < length:
+    if len(units) < length:
         return none
-    rolling = _rolling(raw)
-    place = np.arange(len(raw) - GRAM + 1)
-    grams = span_hashes(rolling, place, place + GRAM)
-    least = _sliding_min(grams, length - GRAM + 1)
+    rolling = _rolling(units)
+    place = np.arange(len(units) - gram + 1)
+    grams = span_hashes(rolling, place, place + gram)
+    least = _sliding_min(grams, length - gram + 1)
     inside = np.zeros(len(least) + 1, np.int32)
     long = np.flatnonzero(np.diff(at) >= length)
     if not len(long):
@@ -96,7 +97,7 @@ def suffix_entries(docs: DataFrame, *, length: int = 400) -> DataFrame:
             raw, at = text_bytes(batch.column(2))
             d, t = batch.column(0), batch.column(1)
             for i, j in runs(at):
-                text, low, n, anchor, run, own = entries_of(raw[at[i] : at[j]], at[i : j + 1] - at[i], length)
+                text, low, n, anchor, run, own = entries_of(_BYTE[raw[at[i] : at[j]]], at[i : j + 1] - at[i], length)
                 of = pa.array(text + i)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), d.take(of), t.take(of), pa.array(low), pa.array(n), pa.array(own)],
@@ -168,7 +169,7 @@ def _slices(docs: DataFrame, entries: DataFrame, length: int, broadcast_rows: in
 def _windows(data: bytes, length: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     start = np.arange(len(raw) - length + 1)
-    return span_hashes(_rolling(raw), start, start + length)
+    return span_hashes(_rolling(_BYTE[raw]), start, start + length)
 
 
 def _ranges(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +177,7 @@ def _ranges(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _compared(slices: DataFrame, length: int, bytes_at_once: int = 4_000_000) -> DataFrame:
+def _compared(slices: DataFrame, length: int, bytes_at_once: int = 1_000_000) -> DataFrame:
     """(d, t, start, end): the bytes of windows that occur twice among the slices of an anchor."""
     total = slices.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     groups = max(1, math.ceil(total / bytes_at_once))
@@ -225,7 +226,7 @@ def _dealt_windows(slices: DataFrame, length: int) -> DataFrame:
     return found.select("d", "t", "start", (F.col("start") + length).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, *, length: int = 400, batches: int = 4, hot: int = 4096) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, length: int = 400, batches: int = 4, hot: int = 256) -> DataFrame:
     """(d, t, spans): for each text with repeated windows, the (start, end) byte ranges they cover, not yet merged."""
     entries = kept_table(suffix_entries(docs, length=length))
     index = SuffixIndex()
@@ -248,6 +249,53 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, batches: int = 4, hot:
     return spans.groupBy("d", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
+def shared_passages(docs: DataFrame, *, words: int = 51, gram: int = 8, broadcast_rows: int = 100_000) -> DataFrame:
+    """(d, t, n): for texts with passages of `words` words that another row holds too, at how many of their words such a passage starts.
+
+    Words are runs of bytes other than `[\\x20\\x09-\\x0D]`, A-Z lower-cased. Passages are found as byte windows are: consecutive ones
+    of one anchor (the smallest hash of `gram` words) are an entry; only entries whose anchor another row has are cut from the texts,
+    and their passages are dealt out by hash and counted. Rows with equal doc_id and text are one row.
+    """
+    row = F.xxhash64("d", "t").alias("r")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = text_bytes(batch.column(1))
+            for i, j in runs(at):
+                text, low, n, anchor, _, _ = entries_of(*word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i]), words, gram)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(text + i)), pa.array(anchor.view(np.int64)), pa.array(low), pa.array(n)], ["r", "anchor", "low", "n"]
+                )
+
+    texts = _identified(docs).select(row, "text")
+    entries = kept_table(texts.mapInArrow(find, "r long, anchor long, low long, n long"))
+    several = F.min("r") != F.max("r")
+    repeated = entries.groupBy("anchor").agg(several.alias("several")).where("several").select("anchor")
+    some = entries.join(repeated, "anchor", "left_semi")
+    cuts = kept_table(some.groupBy("r").agg(F.collect_set(F.struct("low", "n")).alias("cuts")))
+    few = cuts.count() <= broadcast_rows  # two numbers for each cut, and an entry is some 20 words long; more rows are joined by a shuffle
+    met = texts.join(F.broadcast(cuts) if few else cuts, "r")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = text_bytes(batch.column(1))
+            own = batch.column(2).to_pylist()
+            for i, j in runs(at):
+                hashes, begin = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+                starts = [np.arange(x["low"], x["low"] + x["n"]) + begin[k] for k in range(j - i) for x in own[i + k]]
+                start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+                made = span_hashes(_rolling(hashes), start, start + words)
+                text = np.searchsorted(begin, start, "right") - 1 + i
+                counted = pa.table({"w": pa.array(made.view(np.int64)), "k": pa.array(text)}).group_by(["w", "k"]).aggregate([([], "count_all")])
+                r = batch.column(0).take(counted.column("k").combine_chunks())
+                yield from pa.table({"w": counted.column("w"), "r": r, "n": counted.column("count_all")}).to_batches()
+
+    windows = kept_table(met.select("r", "text", "cuts").mapInArrow(cut, "w long, r long, n long"))
+    shared = windows.groupBy("w").agg(several.alias("several")).where("several").select("w")
+    found = windows.join(shared, "w", "left_semi").distinct().groupBy("r").agg(F.sum("n").alias("n"))
+    return _identified(docs).select("d", "t", row).distinct().join(found, "r").select("d", "t", "n")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The maximal runs of bytes that the spans cover."""
     out: list[list[int]] = []
@@ -260,17 +308,17 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of each row: kept is the binary rest of its text without the spans."""
+    """(doc_id, t, n_bytes, n_removed, n_spans, kept) of each row: kept is the binary rest of its text without the spans, t the text's hash."""
     spans = kept_table(spans)
     held = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
     few = held[0] <= broadcast_rows and (held[1] or 0) <= 10 * broadcast_rows  # two numbers for each span
     texts, found = _identified(docs), F.broadcast(spans) if few else spans
-    rows = texts.join(found, texts["d"].eqNullSafe(found["d"]) & (texts["t"] == found["t"]), "left").select(texts["d"], "text", "spans")
+    rows = texts.join(found, texts["d"].eqNullSafe(found["d"]) & (texts["t"] == found["t"]), "left").select(texts["d"], texts["t"], "text", "spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, removed, count, kept = [], [], [], []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw = text.encode()
                 gone = merged([(x["start"], x["end"]) for x in own or ()])
                 edges = [0, *(x for pair in gone for x in pair), len(raw)]
@@ -279,14 +327,19 @@ def cut_spans(docs: DataFrame, spans: DataFrame, broadcast_rows: int = 100_000)
                 removed.append(sum(b - a for a, b in gone))
                 count.append(len(gone))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (size, removed, count)), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (size, removed, count)), pa.array(kept, pa.binary())],
+                ["doc_id", "t", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return rows.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(work, "doc_id long, t long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the contract's columns: n_passages, at how many words a passage of 51 words starts that another document holds too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = cut_spans(docs, repeated_spans(docs, length=400))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    shared = shared_passages(docs, words=51)
+    both = out.join(shared, out["doc_id"].eqNullSafe(shared["d"]) & (out["t"] == shared["t"]), "left")
+    return both.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.coalesce(shared["n"], F.lit(0)).alias("n_passages")
+    )
