@@ -145,38 +145,67 @@ class _Counter:
         columns = self.merged()
         self.size = 0
         for i in range(0, len(columns[0]), 50_000):
-            key, value, n = (x[i : i + 50_000] for x in columns)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(value.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "value", "n"])
+            key, _, n = (x[i : i + 50_000] for x in columns)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
 
 
-def _counted(texts: DataFrame, keys_of) -> DataFrame:
-    """(key, value, n): how often each key occurs in all texts, where keys_of(tokens, first) gives keys and the value of each."""
+def count_words(texts: DataFrame) -> DataFrame:
+    """(key, n) of all tokens of the column text, ends included."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
         for batch in batches:
-            for _, tokens, first, _ in _token_runs(batch.column(0)):
-                counter.add(*keys_of(tokens, first))
+            for _, tokens, _, _ in _token_runs(batch.column(0)):
+                counter.add(tokens, tokens)
                 if counter.size > 400_000:
                     yield from counter.batches()
         yield from counter.batches()
 
-    return texts.mapInArrow(work, "key long, value long, n int").groupBy("key").agg(F.min("value").alias("value"), F.sum("n").alias("n"))
+    return texts.mapInArrow(work, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(key, n) of all tokens of the column text, ends included."""
-    return _counted(texts, lambda tokens, first: (tokens, tokens)).select("key", "n")
+def count_pairs(texts: DataFrame, *, min_count: int = 1, tokens: int | None = None, segment_keys: int = 400_000) -> DataFrame:
+    """(key, value, n) of the bigrams of the column text that occur min_count times or more: value is the context's hash.
+
+    A task's counts leave it as packed arrays, one for each segment of the key space, and a segment's arrays are merged in one small
+    group. tokens: the number of tokens in texts, from which the number of segments follows.
+    """
+    segments = max(1, -(-(texts.count() if tokens is None else tokens) // segment_keys))
+    edges = np.array([(k << 64) // segments for k in range(1, segments)], np.uint64)
 
+    def packed(counter: _Counter) -> Iterator[pa.RecordBatch]:
+        keys, values, counts = counter.merged()
+        counter.size = 0
+        if not len(keys):
+            return
+        cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+        full = np.flatnonzero(np.diff(cut))
+        blobs = [[x[cut[k] : cut[k + 1]].tobytes() for k in full] for x in (keys, values, counts.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["segment", "keys", "values", "counts"])
 
-def count_pairs(texts: DataFrame) -> DataFrame:
-    """(key, value, n) of all bigrams of the column text: value is the context's hash."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Counter()
+        for batch in batches:
+            for _, tokens_of_run, first, _ in _token_runs(batch.column(0)):
+                context = before(tokens_of_run, first)
+                counter.add(bigram_keys(context, tokens_of_run), context)
+                if counter.size > 400_000:
+                    yield from packed(counter)
+        yield from packed(counter)
 
-    def keys_of(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        context = before(tokens, first)
-        return bigram_keys(context, tokens), context
+    def merge(rows: pa.Table) -> pa.Table:
+        keys, values, counts = (
+            np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("values", np.uint64), ("counts", np.int32))
+        )
+        order = np.argsort(keys, kind="stable")
+        keys, total = keys[order], counts[order].astype(np.int64)
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        total = np.add.reduceat(total, new)
+        kept = np.flatnonzero(total >= min_count)
+        return pa.table({"key": keys[new[kept]].view(np.int64), "value": values[order[new[kept]]].view(np.int64), "n": total[kept]})
 
-    return _counted(texts, keys_of)
+    dealt = texts.mapInArrow(work, "segment long, keys binary, values binary, counts binary")
+    return dealt.groupBy("segment").applyInArrow(merge, "key long, value long, n long")
 
 
 @dataclass(frozen=True)
@@ -266,7 +295,7 @@ def fit_language_model(
     stands = F.when(level <= 1, F.lit(1.0)).otherwise(F.lit(1.4) * F.pow(F.lit(2.0), level - 1))
     n, distinct, seen, uni_entries = counts.agg(F.sum("n"), F.count("*"), F.sum(stands), F.sum(level)).first()
     lowest = int(levels_of(np.array([min_count]))[0])
-    pairs = kept_table(count_pairs(texts).where(F.col("n") >= min_count))
+    pairs = kept_table(count_pairs(texts, min_count=min_count, tokens=n or 0))
     by_context = pairs.groupBy(F.col("value").alias("key")).agg(F.sum(stands - discount).alias("t"))
     counts = kept_table(counts.join(by_context, "key", "left").select("key", "n", F.coalesce("t", F.lit(0.0)).alias("t")))
     frequent = frequent_words(counts, contexts)
