@@ -13,19 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import bpe, decontam, lines, neardup, quality
-from corpusgraph.llm.base import kept_table, table
+from corpusgraph.llm.base import kept_table, quoted, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, *, least: float = 0.3) -> DataFrame:
     """Documents with a quality score of at least `least`, by a model of labels.quality."""
     labels = quality.training_labels(table(spark, sf_dir, "labels"), "quality")
     model = quality.fit_quality(kept_table(quality.with_statistics(docs)), labels)
-    return quality.score_documents(docs, model, "__score").where(F.col("__score") >= least).select(*docs.columns)
+    scored = quality.score_documents(docs, model)
+    return scored.where(F.col(scored.columns[-1]) >= least).select(*map(quoted, docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that a document of smaller doc_id has too. n_chars, if there is one, follows the text."""
-    clean = lines.dedup_lines(docs).select(*docs.columns)
+    clean = lines.dedup_lines(docs).select(*map(quoted, docs.columns))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean

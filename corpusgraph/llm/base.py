@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +17,9 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Sets the session's Arrow batches small enough for texts of tens of KB."""
+    """A table of the folder. Sets the session's Arrow batches small enough for texts of tens of KB, and of any size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,6 +69,28 @@ def held_out(doc_id: Column, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == remainder
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, or the first of name_1, name_2 ... that no column has (case aside, as Spark compares them)."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """df.mapInArrow for columns of any names: work takes and gives the columns by place, in the order of df and of schema."""
+    made = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in work(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, made.names)
+
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(placed, made).toDF(*schema.names)
+
+
 def with_field(schema: T.StructType, name: str, kind: str) -> T.StructType:
     """A schema with one more column (StructType.add would change the DataFrame's own)."""
     return T.StructType([*schema.fields, T.StructField(name, T._parse_datatype_string(kind))])

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, with_field
+from .base import free_name, map_rows, table, with_field
 
 _NEVER = np.int64(1 << 40)
 _PATTERN = (
@@ -270,47 +270,45 @@ def _shared(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(file.read())
 
 
-def _texts(batch: pa.RecordBatch, name: str, limit: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _texts(batch: pa.RecordBatch, at: int, limit: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Parts of a batch with about `limit` bytes of text each."""
-    sizes = np.array([len(x) if x else 0 for x in batch.column(name).to_pylist()], np.int64)
+    sizes = np.array([len(x) if x else 0 for x in batch.column(at).to_pylist()], np.int64)
     first = 0
     ends = np.cumsum(sizes)
     while first < len(sizes):
         base = ends[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(ends, base + limit, "right")))
         part = batch.slice(first, last - first)
-        yield part, part.column(name).to_pylist()
+        yield part, part.column(at).to_pylist()
         first = last
 
 
 def encode_documents(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the ids of each text, as little-endian uint32 in a binary column."""
-    if ids in docs.columns:
-        raise ValueError(f"column {ids} would be overwritten")
-    shared, names = _shared(docs.sparkSession, path), docs.columns
+    """docs with the ids of each text, as little-endian uint32 in a last, binary column; called ids_1 and so on if docs has one."""
+    names, ids = docs.columns, free_name(docs.columns, ids)
+    shared, at = _shared(docs.sparkSession, path), names.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _texts(batch, text):
+            for part, texts in _texts(batch, at):
                 made = pa.array(_bpe(shared).encode(texts), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*names, ids])
 
-    return docs.mapInArrow(work, with_field(docs.schema, ids, "binary"))
+    return map_rows(docs, work, with_field(docs.schema, ids, "binary"))
 
 
 def decode_documents(docs: DataFrame, path: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """docs with the text of each ids column; invalid UTF-8 becomes U+FFFD."""
-    if text in docs.columns:
-        raise ValueError(f"column {text} would be overwritten")
-    shared, names = _shared(docs.sparkSession, path), docs.columns
+    """docs with the text of each ids as last column; invalid UTF-8 becomes U+FFFD. The column is called decoded_1 and so on if docs has one."""
+    names, text = docs.columns, free_name(docs.columns, text)
+    shared, at = _shared(docs.sparkSession, path), names.index(ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bpe = _bpe(shared)
-            made = [bpe.decode(x or b"").decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
+            made = [bpe.decode(x or b"").decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*names, text])
 
-    return docs.mapInArrow(work, with_field(docs.schema, text, "string"))
+    return map_rows(docs, work, with_field(docs.schema, text, "string"))
 
 
 def round_trip_digests(docs: DataFrame, path: str, *, with_ids: bool = False) -> DataFrame:
@@ -319,7 +317,7 @@ def round_trip_digests(docs: DataFrame, path: str, *, with_ids: bool = False) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _texts(batch, "text"):
+            for part, texts in _texts(batch, 1):
                 bpe = _bpe(shared)
                 ids = bpe.encode(texts)
                 back = [bpe.decode(x).decode("utf-8", "replace").encode() for x in ids]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import map_rows, table
 from .words import LOOSE, runs, sequence_hashes, text_bytes, word_hashes
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -256,7 +256,7 @@ def clean_documents(
                 clean[[text for text, _ in _hits(shared.value, batch.column(at), threshold)]] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(work, docs.schema)
+        out = map_rows(out, work, docs.schema)
     return out
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import kept_table, table
+from .base import free_name, kept_table, map_rows, quoted, table
 
 #: What is stripped, and so never part of a key's ends.
 BLANK = " \t\n\x0b\f\r"
@@ -232,23 +232,24 @@ class LineIndex:
 
 
 def drop_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    """docs with the lines of `drops` (doc_id, keys) left out of `text`, and long columns n_lines and n_dropped."""
-    if taken := {"n_lines", "n_dropped", "__keys"} & set(docs.columns):
-        raise ValueError(f"columns {taken} would be overwritten")
-    marked = docs.withColumn("__doc", F.col("doc_id").cast("long")).join(
-        drops.select(F.col("doc_id").alias("__doc"), F.col("keys").alias("__keys")), "__doc", "left"
-    )
+    """docs with the lines of `drops` (doc_id, keys) left out of `text`, and as last columns longs n_lines and n_dropped.
+
+    Columns of docs are kept whatever their names; if docs has an n_lines or n_dropped, the new one is called n_lines_1 and so on.
+    """
     names = docs.columns
+    own, keys = free_name(names, "doc"), free_name(names, "keys")
+    counts = [free_name(names, "n_lines"), free_name(names, "n_dropped")]
+    marked = docs.withColumn(own, F.col("doc_id").cast("long")).join(drops.select(F.col("doc_id").alias(own), F.col("keys").alias(keys)), own, "left")
     text_at = names.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, keys in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            for text, gone_keys in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 n_lines.append(len(lines))
-                if keys:
-                    gone = set(keys)
+                if gone_keys:
+                    gone = set(gone_keys)
                     kept = [x for x in lines if digest(key_of(x)) not in gone]
                     texts.append("\n".join(kept))
                     n_dropped.append(len(lines) - len(kept))
@@ -257,13 +258,13 @@ def drop_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
                     n_dropped.append(0)
             columns = [pa.array(texts, pa.string()) if i == text_at else batch.column(i) for i in range(len(names))]
             columns += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays(columns, [*names, *counts])
 
     schema = T.StructType(
         [T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]
-        + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+        + [T.StructField(n, T.LongType()) for n in counts]
     )
-    return marked.select(*names, "__keys").mapInArrow(clean, schema)
+    return map_rows(marked.select(*map(quoted, names), keys), clean, schema)
 
 
 def line_index(docs: DataFrame, *, least: int = 10, batches: int = 2, shard_keys: int = 500_000) -> LineIndex:

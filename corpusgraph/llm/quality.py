@@ -7,7 +7,8 @@ unknowns. Raw scores of the labelled rows are counted in bins, and a rising curv
 turns them into probabilities. What the driver sees has a fixed size; all labelled training rows are used.
 
 Defined results: null and empty texts have statistics 0 and get a score like others; labels other than 0 and 1
-and nulls are ignored; several labels of one doc_id are averaged; without any labels every score is 0.5.
+and nulls are ignored; several labels of one doc_id are averaged; without any labels every score is 0.5; repeated rows get equal scores;
+an empty table gives no rows. Columns other than doc_id and text are kept by score_documents, whatever their names, and never read.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import held_out, kept_table, table, with_field
+from .base import free_name, held_out, kept_table, map_rows, table, with_field
 from .calibration import calibrate, fit_isotonic
 from .words import runs, sequence_hashes, shingle_sets, text_bytes, word_hashes
 
@@ -176,14 +178,16 @@ def fit_quality(
             total[:, :-1] += z.T @ z
             total[:, -1] += z.T @ some["label"].to_numpy(float)
         if total.any():
-            yield pd.DataFrame({"row": range(features + 1), "sums": list(total)})
+            some_parts = TaskContext.get().partitionId() // 512
+            yield pd.DataFrame({"row": range(features + 1), "some": some_parts, "sums": list(total)})
 
     def add(some: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"row": some["row"].iloc[:1], "sums": [np.sum(np.stack(some["sums"].to_numpy()), axis=0)]})
+        return pd.DataFrame({"row": some["row"].iloc[:1], "some": some["some"].iloc[:1], "sums": [np.sum(np.stack(some["sums"].to_numpy()), axis=0)]})
 
-    schema = "row int, sums array<double>"
-    # features + 1 rows of features + 2 numbers come to the driver
-    parts = rows.mapInPandas(partial, schema).groupBy("row").applyInPandas(add, schema).orderBy("row").collect()
+    schema = "row int, some int, sums array<double>"
+    # sums of up to 512 partitions first, then of these; features + 1 rows of features + 2 numbers come to the driver
+    parts = rows.mapInPandas(partial, schema).groupBy("row", "some").applyInPandas(add, schema)
+    parts = parts.groupBy("row").applyInPandas(add, schema).orderBy("row").collect()
     system = np.array([r.sums for r in parts])
     weights = np.linalg.solve(system[:, :-1] + ridge * n * np.eye(features + 1), system[:, -1])
     fitted = QualityModel(start.mean, start.scale, directions, phases, weights, start.knots)
@@ -213,17 +217,15 @@ def quality_scores(stats: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFrame:
-    """docs with the score of each row's text, in one pass and without a shuffle."""
-    if column in docs.columns:
-        raise ValueError(f"column {column} would be overwritten")
-    names, at = docs.columns, docs.columns.index("text")
+    """docs with the score of each row's text as last column, in one pass and without a shuffle; called score_1 and so on if docs has one."""
+    names, at, column = docs.columns, docs.columns.index("text"), free_name(docs.columns, column)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(text_statistics(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*names, column])
 
-    return docs.mapInArrow(work, with_field(docs.schema, column, "double"))
+    return map_rows(docs, work, with_field(docs.schema, column, "double"))
 
 
 def training_labels(labels: DataFrame, column: str) -> DataFrame:
