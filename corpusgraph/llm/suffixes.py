@@ -249,31 +249,35 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, batches: int = 4, hot:
     return spans.groupBy("d", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def shared_passages(docs: DataFrame, *, words: int = 51, gram: int = 8, broadcast_rows: int = 100_000) -> DataFrame:
-    """(d, t, n): for texts with passages of `words` words that another row holds too, at how many of their words such a passage starts.
+def shared_passages(docs: DataFrame, *, words: int = 51, gram: int = 8, broadcast_rows: int = 500_000) -> DataFrame:
+    """(r, n): for texts with passages of `words` words that another row holds too, at how many of their words such a passage starts.
 
-    Words are runs of bytes other than `[\\x20\\x09-\\x0D]`, A-Z lower-cased. Passages are found as byte windows are: consecutive ones
-    of one anchor (the smallest hash of `gram` words) are an entry; only entries whose anchor another row has are cut from the texts,
-    and their passages are dealt out by hash and counted. Rows with equal doc_id and text are one row.
+    r is the hash of doc_id and of the text's hash; rows with equal doc_id and text are one row. Words are runs of bytes other than
+    `[\\x20\\x09-\\x0D]`, A-Z lower-cased. Passages are found as byte windows are: consecutive ones of one anchor (the smallest hash of
+    `gram` words) are an entry, and equal entries are one kind. Kinds that several rows have are shared as a whole; of the other kinds of
+    an anchor, and one of each shared kind beside them, the passages are cut from a text, dealt out by hash and counted.
     """
-    row = F.xxhash64("d", "t").alias("r")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = text_bytes(batch.column(1))
             for i, j in runs(at):
-                text, low, n, anchor, _, _ = entries_of(*word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i]), words, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(text + i)), pa.array(anchor.view(np.int64)), pa.array(low), pa.array(n)], ["r", "anchor", "low", "n"]
-                )
-
-    texts = _identified(docs).select(row, "text")
-    entries = kept_table(texts.mapInArrow(find, "r long, anchor long, low long, n long"))
-    several = F.min("r") != F.max("r")
-    repeated = entries.groupBy("anchor").agg(several.alias("several")).where("several").select("anchor")
-    some = entries.join(repeated, "anchor", "left_semi")
-    cuts = kept_table(some.groupBy("r").agg(F.collect_set(F.struct("low", "n")).alias("cuts")))
-    few = cuts.count() <= broadcast_rows  # two numbers for each cut, and an entry is some 20 words long; more rows are joined by a shuffle
+                text, low, n, anchor, run, _ = entries_of(*word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i]), words, gram)
+                r = batch.column(0).take(pa.array(text + i))
+                made = [r, pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(made, ["r", "anchor", "run", "low", "n"])
+
+    texts = _identified(docs).select(F.xxhash64("d", "t").alias("r"), "text")
+    entries = kept_table(texts.mapInArrow(find, "r long, anchor long, run long, low int, n int"))
+    kind = ["anchor", "run", "n"]
+    once = entries.groupBy(*kind, "r", "low").agg(F.lit(1).alias("one_")).drop("one_")  # equal rows give equal entries
+    kinds = kept_table(once.groupBy(*kind).agg(
+        (F.min("r") != F.max("r")).alias("shared"), F.count("*").alias("c"), F.min(F.struct("r", "low")).alias("one")))
+    whole = once.join(kinds.where("shared").select(*kind), kind, "left_semi").select("r", F.col("n").cast("long").alias("n"))
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    chosen = kinds.join(mixed, "anchor", "left_semi").select("one.r", F.struct("one.low", "n", "c", "shared").alias("cut"))
+    cuts = kept_table(chosen.groupBy("r").agg(F.collect_list("cut").alias("cuts")))
+    few = (cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0) <= broadcast_rows  # four numbers for each cut; more are joined by a shuffle
     met = texts.join(F.broadcast(cuts) if few else cuts, "r")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,18 +286,21 @@ def shared_passages(docs: DataFrame, *, words: int = 51, gram: int = 8, broadcas
             own = batch.column(2).to_pylist()
             for i, j in runs(at):
                 hashes, begin = word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i])
-                starts = [np.arange(x["low"], x["low"] + x["n"]) + begin[k] for k in range(j - i) for x in own[i + k]]
-                start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-                made = span_hashes(_rolling(hashes), start, start + words)
-                text = np.searchsorted(begin, start, "right") - 1 + i
-                counted = pa.table({"w": pa.array(made.view(np.int64)), "k": pa.array(text)}).group_by(["w", "k"]).aggregate([([], "count_all")])
-                r = batch.column(0).take(counted.column("k").combine_chunks())
-                yield from pa.table({"w": counted.column("w"), "r": r, "n": counted.column("count_all")}).to_batches()
+                some = [(k, x) for k in range(j - i) for x in own[i + k]]
+                place = np.concatenate([np.zeros(0, np.int64), *(np.arange(x["low"], x["low"] + x["n"]) for _, x in some)])
+                size = [x["n"] for _, x in some]
+                start = place + np.repeat([begin[k] for k, _ in some], size).astype(np.int64)
+                w = span_hashes(_rolling(hashes), start, start + words)
+                r = batch.column(0).take(pa.array(np.repeat([k + i for k, _ in some], size).astype(np.int64)))
+                c, shared = np.repeat([x["c"] for _, x in some], size), np.repeat([x["shared"] for _, x in some], size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w.view(np.int64)), r, pa.array(place), pa.array(c.astype(np.int64)), pa.array(shared.astype(bool))], ["w", "r", "start", "c", "shared"]
+                )
 
-    windows = kept_table(met.select("r", "text", "cuts").mapInArrow(cut, "w long, r long, n long"))
-    shared = windows.groupBy("w").agg(several.alias("several")).where("several").select("w")
-    found = windows.join(shared, "w", "left_semi").distinct().groupBy("r").agg(F.sum("n").alias("n"))
-    return _identified(docs).select("d", "t", row).distinct().join(found, "r").select("d", "t", "n")
+    windows = kept_table(met.select("r", "text", "cuts").mapInArrow(cut, "w long, r long, start long, c long, shared boolean"))
+    several = windows.groupBy("w").agg((F.max("shared") | (F.min("r") != F.max("r"))).alias("several")).where("several").select("w")
+    parts = windows.where("NOT shared").join(several, "w", "left_semi").dropDuplicates(["w", "r", "start"]).select("r", F.col("c").alias("n"))
+    return whole.unionByName(parts).groupBy("r").agg(F.sum("n").alias("n"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -339,7 +346,7 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = cut_spans(docs, repeated_spans(docs, length=400))
     shared = shared_passages(docs, words=51)
-    both = out.join(shared, out["doc_id"].eqNullSafe(shared["d"]) & (out["t"] == shared["t"]), "left")
+    both = out.join(shared, F.xxhash64("doc_id", "t") == shared["r"], "left")
     return both.select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.coalesce(shared["n"], F.lit(0)).alias("n_passages")
     )
