@@ -264,16 +264,18 @@ def shared_passages(docs: DataFrame, *, words: int = 51, gram: int = 8, broadcas
             for i, j in runs(at):
                 text, low, n, anchor, run, _ = entries_of(*word_hashes(raw[at[i] : at[j]], at[i : j + 1] - at[i]), words, gram)
                 r = batch.column(0).take(pa.array(text + i))
-                made = [r, pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(made, ["r", "anchor", "run", "low", "n"])
+                kind = mix(anchor + run * np.uint64(3) + n.astype(np.uint64))
+                made = [r, pa.array(anchor.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(made, ["r", "anchor", "kind", "low", "n"])
 
     texts = _identified(docs).select(F.xxhash64("d", "t").alias("r"), "text")
-    entries = kept_table(texts.mapInArrow(find, "r long, anchor long, run long, low int, n int"))
-    kind = ["anchor", "run", "n"]
-    once = entries.groupBy(*kind, "r", "low").agg(F.lit(1).alias("one_")).drop("one_")  # equal rows give equal entries
-    kinds = kept_table(once.groupBy(*kind).agg(
-        (F.min("r") != F.max("r")).alias("shared"), F.count("*").alias("c"), F.min(F.struct("r", "low")).alias("one")))
-    whole = once.join(kinds.where("shared").select(*kind), kind, "left_semi").select("r", F.col("n").cast("long").alias("n"))
+    entries = kept_table(texts.mapInArrow(find, "r long, anchor long, kind long, low int, n int"))
+    kinds = kept_table(entries.groupBy("kind").agg(
+        F.min("anchor").alias("anchor"), F.min("n").alias("n"), (F.min("r") != F.max("r")).alias("shared"), F.count("*").alias("c"),
+        F.min(F.struct("r", "low")).alias("one")))
+    whole = entries.select("kind", "r", "n").join(kinds.where("shared").select("kind"), "kind", "left_semi").select("r", F.col("n").cast("long").alias("n"))
+    # equal rows give equal entries; a text's first entry begins at its first word
+    equal_rows = entries.where("low = 0").groupBy("r").agg(F.count("*").alias("rows"))
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     chosen = kinds.join(mixed, "anchor", "left_semi").select("one.r", F.struct("one.low", "n", "c", "shared").alias("cut"))
     cuts = kept_table(chosen.groupBy("r").agg(F.collect_list("cut").alias("cuts")))
@@ -300,7 +302,8 @@ def shared_passages(docs: DataFrame, *, words: int = 51, gram: int = 8, broadcas
     windows = kept_table(met.select("r", "text", "cuts").mapInArrow(cut, "w long, r long, start long, c long, shared boolean"))
     several = windows.groupBy("w").agg((F.max("shared") | (F.min("r") != F.max("r"))).alias("several")).where("several").select("w")
     parts = windows.where("NOT shared").join(several, "w", "left_semi").dropDuplicates(["w", "r", "start"]).select("r", F.col("c").alias("n"))
-    return whole.unionByName(parts).groupBy("r").agg(F.sum("n").alias("n"))
+    found = whole.unionByName(parts).groupBy("r").agg(F.sum("n").alias("n"))
+    return found.join(equal_rows, "r").select("r", F.expr("n DIV rows").alias("n"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -344,9 +347,9 @@ def cut_spans(docs: DataFrame, spans: DataFrame, broadcast_rows: int = 100_000)
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beside the contract's columns: n_passages, at how many words a passage of 51 words starts that another document holds too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = cut_spans(docs, repeated_spans(docs, length=400))
+    out = cut_spans(docs, repeated_spans(docs, length=400)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
     shared = shared_passages(docs, words=51)
     both = out.join(shared, F.xxhash64("doc_id", "t") == shared["r"], "left")
     return both.select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.coalesce(shared["n"], F.lit(0)).alias("n_passages")
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce(shared["n"], F.lit(0)).alias("n_passages")
     )
