@@ -136,7 +136,7 @@ def inheritance(symbols: DataFrame) -> DataFrame:
     links = F.concat(
         F.when(up != "", F.array(F.struct(F.lit("extends").alias("relation_type"), up.alias("parent")))).otherwise(F.array()),
         F.transform(
-            F.filter(F.transform(F.split(listed, ","), F.trim), lambda p: p != ""),
+            F.filter(F.transform(F.split(listed, ","), lambda x: F.trim(x)), lambda p: p != ""),
             lambda p: F.struct(F.lit("implements").alias("relation_type"), p.alias("parent")),
         ),
     )

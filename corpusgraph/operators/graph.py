@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import group_of, is_api_path, module_of
-from ..functions.text import scale_weight
+from ..functions.text import normalize_relation, scale_weight
 
 KINDS = ("function", "class", "method", "interface", "type")
 HIERARCHY = ("class", "interface", "type")
@@ -130,3 +130,76 @@ def api_flow_edges(symbols: DataFrame, relations: DataFrame) -> DataFrame:
     ends = _ends(symbols.select("repo_id", "symbol_id", "path"), some).where(is_api_path(F.col("from_path")) & (F.col("from_path") != F.col("to_path")))
     kind = F.when(is_api_path(F.col("to_path")), "api").when(F.lower("to_path").rlike("db|schema|queries"), "database").otherwise("file")
     return ends.select("repo_id", "from_path", "to_path", kind.alias("target_kind")).distinct()
+
+
+def nesting_depth(symbols: DataFrame, *, most: int = 10) -> DataFrame:
+    """(repo_id, symbol_id, depth): 1 for symbols without parent_symbol_id, one more for each parent; `most` levels, one join each."""
+    chain = symbols.select("repo_id", "symbol_id", F.col("parent_symbol_id").alias("up"))
+    parents = symbols.select("repo_id", F.col("symbol_id").alias("up"), F.col("parent_symbol_id").alias("next"))
+    open_rows, done = chain, chain.where("up IS NULL").select("repo_id", "symbol_id", F.lit(1).alias("depth"))
+    for depth in range(2, most + 1):
+        open_rows = open_rows.where("up IS NOT NULL").join(parents, ["repo_id", "up"]).select("repo_id", "symbol_id", F.col("next").alias("up"))
+        done = done.unionByName(open_rows.where("up IS NULL").select("repo_id", "symbol_id", F.lit(depth).alias("depth")))
+    return done
+
+
+def _sized(nodes: DataFrame, value: str) -> DataFrame:
+    """nodes with size: value scaled to 1..10 over the repository, 5 where all are equal."""
+    repo = Window.partitionBy("repo_id")
+    low, high = F.least(F.min(value).over(repo), F.lit(0)), F.greatest(F.max(value).over(repo), F.lit(1))
+    size = F.floor(F.lit(1) + (F.col(value) - low) / (high - low) * 9 + 0.5)
+    return nodes.withColumn("size", F.when(high == low, 5).otherwise(size).cast("int"))
+
+
+def build_graph(symbols: DataFrame, relations: DataFrame, files: DataFrame, *, level: str = "module", most: int = 150) -> tuple[DataFrame, DataFrame]:
+    """Nodes (repo_id, node, label, group, in_degree, out_degree, size) and edges (repo_id, source, target, kind, weight) of a level.
+
+    level: module, file or symbol. The `most` nodes of the highest degree of each repository stay, and the edges between them. Size follows the
+    degree of a module, the lines of a file, and the span of a symbol.
+    """
+    if level == "module":
+        nodes, found = module_graph(symbols, relations)
+        nodes = nodes.drop("size").withColumns({"label": F.col("node"), "path": F.concat("node", F.lit("/")), "value": F.col("in_degree") + F.col("out_degree")})
+        edges = found.select("repo_id", F.col("from_module").alias("source"), F.col("to_module").alias("target"), "relation_type", F.col("edge_count").alias("n"))
+    elif level == "file":
+        found = file_edges(symbols, relations)
+        meta = files.select("repo_id", F.col("path").alias("node"), F.col("path"), F.element_at(F.split("path", "/"), -1).alias("label"), F.col("line_count").alias("value"))
+        nodes = degrees(found, "from_path", "to_path", "edge_count").join(meta, ["repo_id", "node"], "left")
+        edges = found.select("repo_id", F.col("from_path").alias("source"), F.col("to_path").alias("target"), "relation_type", F.col("edge_count").alias("n"))
+    else:
+        found = symbol_edges(symbols, relations)
+        meta = symbols.select("repo_id", F.col("symbol_id").alias("node"), F.col("name").alias("label"), "path", (F.col("end_line") - F.col("start_line")).alias("value"))
+        nodes = degrees(found, "src", "dst").join(meta, ["repo_id", "node"], "left")
+        edges = found.select("repo_id", F.col("src").alias("source"), F.col("dst").alias("target"), "relation_type", F.lit(1).alias("n"))
+    nodes = _sized(top_nodes(nodes, most).withColumn("value", F.coalesce("value", F.lit(0))), "value")
+    nodes = nodes.select("repo_id", "node", "label", group_of(F.col("path")).alias("group"), "in_degree", "out_degree", "size")
+    ends = nodes.select("repo_id", "node")
+    kept = edges.join(ends.toDF("repo_id", "source"), ["repo_id", "source"], "left_semi").join(ends.toDF("repo_id", "target"), ["repo_id", "target"], "left_semi")
+    kind = normalize_relation(F.col("relation_type"))
+    return nodes, kept.select("repo_id", "source", "target", kind.alias("kind"), scale_weight(F.col("n")).alias("weight"))
+
+
+def diagram_tables(kind: str, symbols: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (repo_id, node, label, node_type) and edges (repo_id, source, target, label, style) of a diagram.
+
+    kind: module-dependency, component or data-flow. Edges of more than five relations are thick, of more than one labelled.
+    """
+    if kind == "module-dependency":
+        found = module_dependencies(symbols, relations)
+        ends = found.select("repo_id", F.col("from_module").alias("node")).union(found.select("repo_id", "to_module")).distinct()
+        last = F.element_at(F.split("node", "/"), -1)
+        nodes = ends.select("repo_id", "node", last.alias("label"), F.when(last.isin("db", "database", "storage"), "database").otherwise("module").alias("node_type"))
+        edges = found.select("repo_id", F.col("from_module").alias("source"), F.col("to_module").alias("target"), F.col("dependency_count").alias("n"))
+    elif kind == "component":
+        found = class_hierarchy(symbols, relations)
+        nodes = found.select("repo_id", F.col("symbol_id").alias("node"), F.col("name").alias("label"), F.col("kind").alias("node_type")).distinct()
+        edges = found.where("dst IS NOT NULL").groupBy("repo_id", F.col("symbol_id").alias("source"), F.col("dst").alias("target")).agg(F.count("*").alias("n"))
+    else:
+        found = api_flow_edges(symbols, relations)
+        ends = found.select("repo_id", F.col("from_path").alias("node"), F.lit("api").alias("node_type")).union(found.select("repo_id", "to_path", "target_kind"))
+        nodes = ends.groupBy("repo_id", "node").agg(F.min("node_type").alias("node_type"))
+        nodes = nodes.select("repo_id", "node", F.element_at(F.split("node", "/"), -1).alias("label"), "node_type")
+        edges = found.select("repo_id", F.col("from_path").alias("source"), F.col("to_path").alias("target"), F.lit(1).alias("n"))
+    label = F.when(F.col("n") > 1, F.col("n").cast("string"))
+    style = F.when(F.col("n") > 5, "thick").when(F.col("n") > 1, "labelled").otherwise("plain")
+    return nodes, edges.select("repo_id", "source", "target", label.alias("label"), style.alias("style"))

@@ -102,3 +102,21 @@ def size_shares(files: DataFrame, most: int = 150) -> DataFrame:
     repo = Window.partitionBy("repo_id")
     top = files.withColumn("place", F.row_number().over(repo.orderBy(F.desc("line_count"), "path"))).where(F.col("place") <= most)
     return top.withColumn("line_share", F.col("line_count") / F.sum("line_count").over(repo))
+
+
+def sort_files(rows: DataFrame, *, by: str = "score", descending: bool = False, limit: int = 100) -> DataFrame:
+    """The first files of each repository by score, complexity, instability or line_count; ties by path. At most 500."""
+    if by not in ("score", "complexity", "instability", "line_count"):
+        by = "score"
+    order = Window.partitionBy("repo_id").orderBy(F.desc(by) if descending else F.asc(by), "path")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= min(500, max(1, limit)))
+
+
+def find_files(rows: DataFrame, text: str = "", *, by: str = "score", descending: bool = False, page: int = 0, page_size: int = 20) -> DataFrame:
+    """A page of the files of each repository whose path or language holds the text, with the number of all of them; ties by path."""
+    hit = F.lower("path").contains(text.lower()) | F.coalesce(F.lower("language").contains(text.lower()), F.lit(False))
+    key = F.coalesce("language", F.lit("")) if by == "language" else F.col(by)
+    repo = Window.partitionBy("repo_id")
+    order = repo.orderBy(key.desc() if descending else key.asc(), "path")
+    some = rows.where(hit).withColumns({"total": F.count("*").over(repo), "place": F.row_number().over(order)})
+    return some.where(F.col("place").between(page * page_size + 1, (page + 1) * page_size))

@@ -66,6 +66,20 @@ def build_relations(symbols: DataFrame, imports: DataFrame, exports: DataFrame,
     return edges.where("src IS NOT NULL").distinct()
 
 
+def resolve_inheritance(links: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo_id, src, dst, relation_type) for links (repo_id, path, name, relation_type, parent): the parent is the symbol of that name
+    in the nearest file: the same one, one of the same directory, any other; ties by path and id."""
+    folder = lambda c: F.regexp_replace(c, "[^/]*$", "")
+    types = symbols.where(F.col("kind").isin("class", "interface", "type"))
+    own = types.groupBy("repo_id", "path", "name").agg(F.min_by("symbol_id", F.struct("start_line", "symbol_id")).alias("src"))
+    ends = types.select("repo_id", F.col("name").alias("parent"), F.col("path").alias("parent_path"), F.col("symbol_id").alias("dst"))
+    rows = links.join(own, ["repo_id", "path", "name"]).join(ends, ["repo_id", "parent"]).where("src <> dst")
+    far = F.when(F.col("path") == F.col("parent_path"), 0).when(folder("path") == folder("parent_path"), 1).otherwise(2)
+    return rows.groupBy("repo_id", "src", "parent", "relation_type").agg(F.min_by("dst", F.struct(far, "parent_path", "dst")).alias("dst")).select(
+        "repo_id", "src", "dst", "relation_type"
+    )
+
+
 def assign_parents(symbols: DataFrame) -> DataFrame:
     """symbols (repo_id, file_id, symbol_id, start_line, end_line) with parent_symbol_id: the tightest symbol of the file around each."""
     inner = symbols.alias("i")

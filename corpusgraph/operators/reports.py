@@ -79,14 +79,21 @@ def thread_detail(comments: DataFrame) -> DataFrame:
     return comments.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "author", "text"))).alias("comments"))
 
 
-def open_threads(threads: DataFrame) -> DataFrame:
-    return threads.groupBy("repo_id").agg(F.count_if(F.col("status") == "O").alias("n_open"), F.count("*").alias("n_threads"))
+def open_threads(threads: DataFrame, status: str = "open") -> DataFrame:
+    """(repo_id, n_open, n_threads): threads of a status, and all."""
+    return threads.groupBy("repo_id").agg(F.count_if(F.col("status") == status).alias("n_open"), F.count("*").alias("n_threads"))
 
 
-def latest_conversations(messages: DataFrame, most: int = 20) -> DataFrame:
-    """The conversations with the most turns last, with message counts."""
-    rows = messages.groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count("*").alias("n_messages"))
-    return rows.orderBy(F.desc("last_turn"), "conv_id").limit(most)
+def latest_conversations(conversations: DataFrame, most: int = 20) -> DataFrame:
+    """The newest conversations (user_id, conv_id, updated_at) of each user, with their place; ties by conv_id."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("updated_at"), "conv_id")
+    return conversations.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def messages_of(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """(conv_id, place, role, text): the messages of the conversations (conv_id) in order of turn."""
+    own = messages.join(conversations.select("conv_id").distinct(), "conv_id", "left_semi")
+    return own.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("place"), "role", "text")
 
 
 def citation_density(messages: DataFrame, valid: DataFrame) -> DataFrame:
@@ -105,8 +112,9 @@ def default_summaries(commits: DataFrame) -> DataFrame:
 
 
 def latest_job(jobs: DataFrame) -> DataFrame:
-    """The newest job of each repository, as (repo_id, job_id, status, created_at)."""
-    newest = jobs.groupBy("repo_id").agg(F.max_by(F.struct("job_id", "status", "created_at"), F.struct("created_at", "job_id")).alias("x"))
+    """The newest job of each repository, as (repo_id, job_id, status, created_at) and its progress if jobs has one."""
+    cols = ["job_id", "status", "created_at"] + ["progress"] * ("progress" in jobs.columns)
+    newest = jobs.groupBy("repo_id").agg(F.max_by(F.struct(*cols), F.struct("created_at", "job_id")).alias("x"))
     return newest.select("repo_id", "x.*")
 
 

@@ -1,55 +1,103 @@
-"""Retrieval for tables of queries: vector, lexical and fused ranking, and packing into a token budget."""
+"""Retrieval for tables of queries: vector, lexical and fused ranking, and joins by substring."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .settled import settled
 
 
 def semantic_topk(queries: DataFrame, vectors: DataFrame, *, k: int = 20, min_similarity: float = 0.3, block: int = 2_000) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): cosine similarity, rounded to 6 places, of queries (query_id, vector) and vectors (chunk_id, embedding).
 
-    Queries are broadcast in blocks of about `block` rows; every vector is read once for each block, and only rows over the threshold go on.
+    If both have a repo_id, only those of one repository meet. Queries are broadcast in blocks of about `block` rows; every batch of vectors is
+    multiplied with a block's matrix, and leaves its tasks with the best k of each query only. Vectors that are null, zero or of another
+    length than a query's are not found.
     """
-    as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select("query_id", as_double(F.col("vector")).alias("q")).withColumn("q_norm", F.sqrt(dot(F.col("q"), F.col("q"))))
-    v = vectors.select("chunk_id", as_double(F.col("embedding")).alias("v")).withColumn("v_norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    similarity = F.round(dot(F.col("q"), F.col("v")) / (F.col("q_norm") * F.col("v_norm")), 6)
-    blocks = max(1, -(-queries.count() // block))
-    own = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
-    met = reduce(DataFrame.unionByName, [v.crossJoin(F.broadcast(x)) for x in own])
-    both = met.select("query_id", "chunk_id", similarity.alias("similarity")).where(F.col("similarity") >= min_similarity)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    in_repo = "repo_id" in queries.columns and "repo_id" in vectors.columns
+    columns = ["query_id", "vector"] + ["repo_id"] * in_repo
+    asked = settled(queries.select(*columns).withColumn("q", F.monotonically_increasing_id()))
+    blocks = max(1, -(-asked.count() // block))
+    rows = vectors.select("chunk_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("repo_id") if in_repo else F.lit(None)).cast("string").alias("repo_id"))
+    schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("chunk_id", vectors.schema["chunk_id"].dataType), T.StructField("s", T.DoubleType())])
+    found = []
+    for i in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).select(
+            "q", F.col("vector").cast("array<double>").alias("v"), (F.col("repo_id") if in_repo else F.lit(None)).cast("string").alias("repo_id")
+        ).collect()  # about `block` rows: bounded
+        by_length: dict[int, list] = {}
+        for r in some:
+            if r.v and all(x is not None for x in r.v) and any(r.v):
+                by_length.setdefault(len(r.v), []).append(r)
+        packed = {
+            n: (np.array([r.q for r in own]), np.array([r.v for r in own]), np.array([r.repo_id or "" for r in own])) for n, own in by_length.items()
+        }
+        shared = vectors.sparkSession.sparkContext.broadcast(packed)
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists, repos = batch.column(1), np.array([x or "" for x in batch.column(2).to_pylist()])
+                length = np.array([-1 if x is None else x for x in pc.list_value_length(lists).to_pylist()])
+                for n, (q, matrix, q_repos) in shared.value.items():
+                    at = np.flatnonzero(length == n)
+                    if not len(at):
+                        continue
+                    v = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                    norms = np.linalg.norm(v, axis=1)
+                    ok = np.isfinite(norms) & (norms > 0)
+                    at, v, norms = at[ok], v[ok], norms[ok]
+                    s = (matrix / np.linalg.norm(matrix, axis=1)[:, None]) @ v.T / norms
+                    if in_repo:
+                        s = np.where(q_repos[:, None] == repos[at], s, -2.0)
+                    low = np.full(len(q), min_similarity - 1e-6)
+                    if s.shape[1] > k:  # of equal similarities all go on
+                        low = np.maximum(low, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 1e-6)
+                    x, y = np.nonzero(s >= low[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(q[x]), batch.column(0).take(pa.array(at[y])), pa.array(s[x, y])], ["q", "chunk_id", "s"])
+
+        found.append(rows.mapInArrow(work, schema))
+    near = reduce(DataFrame.unionByName, found).withColumn("similarity", F.round("s", 6)).where(F.col("similarity") >= min_similarity)
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "chunk_id"))).where(F.col("rank") <= k)
+    return best.join(asked.select("q", "query_id"), "q").select("query_id", "chunk_id", "similarity", "rank")
 
 
 def terms_of(text_column: str) -> F.Column:
     return F.filter(F.split(F.lower(text_column), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, length) of chunks (chunk_id, content): made once, used for all queries."""
-    words = chunks.select("chunk_id", terms_of("content").alias("terms")).withColumn("length", F.size("terms"))
-    return words.select("chunk_id", "length", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, chunk_id, tf, length, and repo_id if there is one) of the wanted terms (term) in chunks (chunk_id, content)."""
+    repo = [c for c in ("repo_id",) if c in chunks.columns]
+    words = chunks.select("chunk_id", *repo, terms_of("content").alias("terms")).withColumn("length", F.size("terms"))
+    few = wanted.count() <= 500_000  # terms of the queries, not of the corpus; more of them are joined by a shuffle
+    each = words.select("chunk_id", *repo, "length", F.explode("terms").alias("term")).join(F.broadcast(wanted) if few else wanted, "term")
+    return each.groupBy("term", "chunk_id", *repo, "length").agg(F.count("*").alias("tf"))
 
 
 def lexical_topk(queries: DataFrame, chunks: DataFrame, *, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score, rank): chunks with all terms of queries (query_id, text), by BM25 rounded to 6 places.
 
-    A chunk with all terms of a query has its rarest one, so only the chunks of that term meet the query's other terms.
+    If both have a repo_id, only those of one repository meet; frequencies are of all chunks. Only the queries' terms leave the chunks. A
+    chunk with all terms of a query has its rarest one, so only the chunks of that term meet the query's other terms.
     """
-    index = postings(chunks)
-    totals = chunks.select(F.size(terms_of("content")).alias("n")).agg(F.count("*").alias("n_chunks"), F.avg("n").alias("mean_length"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms_of("text"))).alias("term"))
+    repo = [c for c in ("repo_id",) if c in queries.columns and c in chunks.columns]
+    wanted = queries.select("query_id", *repo, F.explode(F.array_distinct(terms_of("text"))).alias("term"))
     wanted = wanted.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
-    frequency = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    wanted = wanted.join(frequency, "term")
-    rarest = wanted.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).where("n = 1").select("query_id", "term")
-    candidates = index.join(rarest, "term").select("query_id", "chunk_id")
-    hits = candidates.join(wanted, "query_id").join(index, ["chunk_id", "term"])
+    index = settled(postings(chunks, settled(wanted.select("term").distinct())))
+    totals = chunks.select(F.size(terms_of("content")).alias("n")).agg(F.count("*").alias("n_chunks"), F.avg("n").alias("mean_length"))
+    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = settled(wanted.join(frequency, "term"))
+    rarest = wanted.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).where("n = 1").select("query_id", *repo, "term")
+    met = index.join(rarest, ["term", *repo]).select("query_id", "chunk_id")
+    hits = met.join(wanted, "query_id").join(index, ["chunk_id", "term"])
     rows = hits.crossJoin(F.broadcast(totals))  # totals is one row
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
@@ -59,6 +107,52 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, *, k: int = 20, k1: floa
     return matched.where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
 
+def web_terms(text: Column) -> Column:
+    """The clauses of a search in web syntax: an array of (clause, negative, terms). Terms of a clause are alternatives' words in a row: a quoted
+    phrase has several, a word one. Words around OR share a clause; a word or phrase after - must not occur."""
+    tokens = F.regexp_extract_all(text, F.lit(r'-?"[^"]*"|\S+'), F.lit(0))
+    start = F.struct(F.lit(0).alias("clause"), F.lit(False).alias("joined"), F.array().cast("array<struct<clause:int,negative:boolean,terms:array<string>>>").alias("out"))
+
+    def step(a: Column, t: Column) -> Column:
+        words = F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+        negative = t.startswith("-")
+        clause = a["clause"] + F.when(a["joined"] & (F.size(a["out"]) > 0), 0).otherwise(1)
+        item = F.struct(clause.cast("int").alias("clause"), negative.alias("negative"), words.alias("terms"))
+        is_or = t == "OR"
+        return F.struct(
+            F.when(is_or | (F.size(words) == 0), a["clause"]).otherwise(clause).alias("clause"),
+            F.when(F.size(words) == 0, a["joined"]).otherwise(is_or).alias("joined"),
+            F.when(is_or | (F.size(words) == 0), a["out"]).otherwise(F.concat(a["out"], F.array(item))).alias("out"),
+        )
+
+    return F.aggregate(tokens, start, step)["out"]
+
+
+def web_search(queries: DataFrame, chunks: DataFrame, *, k: int = 20) -> DataFrame:
+    """(query_id, chunk_id, n_hits, rank): chunks that meet all clauses of queries (query_id, text) in web syntax and none of the negative ones.
+
+    n_hits counts the alternatives that occur; ties by chunk. Words are looked up by their postings, phrases then in the words of the chunks
+    that have all of them. A query of negative clauses only finds nothing.
+    """
+    clauses = settled(queries.select("query_id", F.posexplode(web_terms(F.col("text"))).alias("item", "x")).select("query_id", "item", "x.*"))
+    terms = clauses.select("query_id", "item", F.explode(F.array_distinct("terms")).alias("term"))
+    index = postings(chunks, settled(terms.select("term").distinct()))
+    sizes = clauses.select("query_id", "item", F.size(F.array_distinct("terms")).alias("n"))
+    have = index.join(terms, "term").groupBy("query_id", "item", "chunk_id").agg(F.count("*").alias("m")).join(sizes, ["query_id", "item"]).where("m = n")
+    rows = settled(have.join(clauses, ["query_id", "item"]).select("query_id", "item", "chunk_id", "clause", "negative", "terms"))
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    phrases = rows.where(F.size("terms") > 1).join(chunks.select("chunk_id", "content"), "chunk_id")
+    phrases = phrases.where(F.contains(spaced(terms_of("content")), spaced(F.col("terms")))).drop("content")
+    hits = rows.where(F.size("terms") == 1).unionByName(phrases)
+    wanted = clauses.where("NOT negative").groupBy("query_id").agg(F.countDistinct("clause").alias("n_clauses"))
+    good = hits.groupBy("query_id", "chunk_id").agg(
+        F.countDistinct(F.when(~F.col("negative"), F.col("clause"))).alias("met"), F.count_if(~F.col("negative")).alias("n_hits"), F.max("negative").alias("bad")
+    )
+    good = good.join(wanted, "query_id").where("met = n_clauses AND NOT bad")
+    order = Window.partitionBy("query_id").orderBy(F.desc("n_hits"), "chunk_id")
+    return good.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "n_hits", "rank")
+
+
 def minmax_normalize(scored: DataFrame) -> DataFrame:
     """score to 0..1 for each query and strategy; where all are equal, 1 if over 0 else 0."""
     w = Window.partitionBy("query_id", "strategy")
@@ -84,21 +178,25 @@ def fuse_rankings(scored: DataFrame, scope: DataFrame | None = None) -> DataFram
     return fused.withColumn("final", F.round(F.least(F.lit(1.0), final), 6)).select("query_id", "chunk_id", "file_path", "token_count", "n_strategies", "final")
 
 
-def pack_context(ranked: DataFrame, *, budget: int = 12_000) -> DataFrame:
-    """The first chunks of each query by final score whose tokens fit into the budget; the first that doesn't ends the list."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("final"), "chunk_id", "file_path", "token_count")
-    running = F.sum("token_count").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumns({"rank": F.row_number().over(order), "tokens_so_far": running}).where(F.col("tokens_so_far") <= budget)
-
-
 def duplicate_chunks(chunks: DataFrame) -> DataFrame:
     """(content_hash, n, first_chunk_id) of contents that occur more than once."""
     return chunks.groupBy(F.sha2("content", 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_chunk_id")).where("n > 1")
 
 
+def contains_join(left: DataFrame, right: DataFrame, needle: str, hay: str, on: list[str]) -> DataFrame:
+    """The rows of left and right of equal `on` columns where the text `hay` of right holds the text `needle` of left, case aside.
+
+    Rows meet by the first two letters of the needle, which are among the pairs of letters of every text that holds it. Empty needles find nothing.
+    """
+    low = F.lower(hay)
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
+    grams = F.filter(F.array_distinct(F.concat(cut(2), cut(1))), lambda g: g != "")
+    keyed = right.withColumn("gram_", F.explode(grams))
+    return left.withColumn("gram_", F.left(F.lower(needle), F.lit(2))).join(keyed, ["gram_", *on]).where(low.contains(F.lower(needle))).drop("gram_")
+
+
 def suggest_symbols(prefixes: DataFrame, symbols: DataFrame, *, most: int = 50) -> DataFrame:
     """Symbols whose name holds a text of prefixes (prefix), case aside; by name and id."""
-    hit = F.lower("name").contains(F.lower("prefix"))
     order = Window.partitionBy("repo_id", "prefix").orderBy("name", "symbol_id")
-    rows = symbols.join(prefixes, hit).withColumn("place", F.row_number().over(order))
+    rows = contains_join(prefixes, symbols, "prefix", "name", []).withColumn("place", F.row_number().over(order))
     return rows.where(F.col("place") <= most).select("repo_id", "prefix", "symbol_id", "name", "place")

@@ -2,40 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_api_path
+from .settled import settled
 
 
-def reach(sources: DataFrame, relations: DataFrame, *, max_depth: int, direction: str = "in") -> DataFrame:
-    """(repo_id, source, node, depth, relation_type) of what sources (repo_id, source) reach, each node at its smallest depth.
+def reach(starts: DataFrame, relations: DataFrame, *, max_depth: int, direction: str = "in", with_starts: bool = False) -> DataFrame:
+    """(repo_id, source, node, depth, relation_type, relation_path) of what sources reach, each node at its smallest depth.
 
-    direction: `in` follows relations backwards (dependents), `out` forwards, `both` either way. Of several relations of
-    the smallest depth the first type by name is given. The source itself is left out. Each level is one join of the
-    frontier and an anti join with what was reached; a reached pair is never expanded again, so cycles end.
+    starts (repo_id, source), each source being its own node, or (repo_id, source, node) for sources of several nodes. direction: `in` follows
+    relations backwards (dependents), `out` forwards, `both` either way. Of several relations of the smallest depth the first
+    type by name is given, and with it the types passed on the way. The starts themselves are left out unless `with_starts`. Each level
+    is one join of the frontier with the steps and an anti join with what was reached, both settled, so
+    a level costs its own work only; a reached pair is never expanded again, so cycles end.
     """
     forward = relations.select("repo_id", F.col("src").alias("at"), F.col("dst").alias("to"), "relation_type")
     backward = relations.select("repo_id", F.col("dst").alias("at"), F.col("src").alias("to"), "relation_type")
     steps = {"in": backward, "out": forward, "both": forward.unionByName(backward)}[direction]
-    start = sources.select("repo_id", "source").distinct()
-    found = start.select("repo_id", "source", F.col("source").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("relation_type"))
-    frontier = found
+    steps = settled(steps.distinct())
+    node = F.col("node") if "node" in starts.columns else F.col("source")
+    none = F.array().cast("array<string>")
+    first = starts.select("repo_id", "source", node.alias("node")).distinct()
+    levels = [settled(first.select("*", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("relation_type"), none.alias("relation_path")))]
     for depth in range(1, max_depth + 1):
+        found = reduce(DataFrame.unionByName, levels).select("repo_id", "source", "node")
         nearer = (
-            frontier.select("repo_id", "source", F.col("node").alias("at"))
+            levels[-1].select("repo_id", "source", F.col("node").alias("at"), "relation_path")
             .join(steps, ["repo_id", "at"])
             .groupBy("repo_id", "source", F.col("to").alias("node"))
-            .agg(F.min("relation_type").alias("relation_type"))
-            .join(found.select("repo_id", "source", "node"), ["repo_id", "source", "node"], "left_anti")
-            .select("repo_id", "source", "node", F.lit(depth).alias("depth"), "relation_type")
-        )
-        frontier = nearer.persist(StorageLevel.MEMORY_AND_DISK)
+            .agg(F.min(F.struct("relation_type", "relation_path")).alias("x"))
+            .join(found, ["repo_id", "source", "node"], "left_anti")
+            .select(
+                "repo_id", "source", "node", F.lit(depth).alias("depth"), F.col("x.relation_type").alias("relation_type"),
+                F.concat("x.relation_path", F.array("x.relation_type")).alias("relation_path"),
+            )
+        )
+        frontier = settled(nearer)
         if frontier.isEmpty():
             break
-        found = found.unionByName(frontier)
-    return found.where("depth > 0")
+        levels.append(frontier)
+    return reduce(DataFrame.unionByName, levels if with_starts else levels[1:] or [levels[0].where("false")])
+
+
+def call_chains(starts: DataFrame, relations: DataFrame, *, max_depth: int = 3, types: tuple[str, ...] = ("calls", "imports", "extends", "implements")) -> DataFrame:
+    """(repo_id, source, src, dst, relation_type, depth): the forward relations of four types on the way from sources, up to max_depth steps."""
+    some = relations.where(F.col("relation_type").isin(*types))
+    nodes = reach(starts, some, max_depth=max_depth - 1, direction="out", with_starts=True).select("repo_id", "source", F.col("node").alias("src"), "depth")
+    return nodes.join(some, ["repo_id", "src"]).select("repo_id", "source", "src", "dst", "relation_type", (F.col("depth") + 1).alias("depth"))
 
 
 def impact(sources: DataFrame, symbols: DataFrame, relations: DataFrame, *, max_depth: int = 4) -> DataFrame:
@@ -68,6 +85,59 @@ def impact_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def impact_of_files(files: DataFrame, symbols: DataFrame, relations: DataFrame, *, max_depth: int = 4) -> DataFrame:
+    """As impact, with all symbols of files (repo_id, path) as the nodes of the source `path`, and each node at its smallest depth from any."""
+    starts = symbols.join(files.select("repo_id", "path").distinct(), ["repo_id", "path"]).select(
+        "repo_id", F.col("path").alias("source"), F.col("symbol_id").alias("node")
+    )
+    return impact(starts, symbols, relations, max_depth=max_depth)
+
+
+def sort_impact(rows: DataFrame, *, by: str = "risk", descending: bool = True, level: str | None = None) -> DataFrame:
+    """Impact rows of a level (or all) with their place for each source; level orders direct, indirect, transitive; ties by node."""
+    key = F.array_position(F.array(*map(F.lit, ("direct", "indirect", "transitive"))), F.col("level")) if by == "level" else F.col(by)
+    some = rows if level is None else rows.where(F.col("level") == level)
+    order = Window.partitionBy("repo_id", "source").orderBy(key.desc() if descending else key.asc(), "node")
+    return some.withColumn("place", F.row_number().over(order))
+
+
+def trace_flow(
+    entries: DataFrame, symbols: DataFrame, relations: DataFrame, chunks: DataFrame, *, max_depth: int = 5, fan_out: int = 10, max_steps: int = 15
+) -> DataFrame:
+    """(repo_id, source, step, node, depth, name, path, code): what entries (repo_id, source) call, breadth first, `max_steps` rows with the entry.
+
+    A node offers its first `fan_out` relations by type and target; nodes are in the order of the level, of the node that offers them first,
+    and of its relations. code is the chunk of the symbol, else the first chunk that overlaps its lines.
+    """
+    ranked = Window.partitionBy("repo_id", "src").orderBy("relation_type", "dst")
+    steps = settled(relations.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= fan_out).select("repo_id", F.col("src").alias("at"), "dst", "n"))
+    levels = [settled(entries.select("repo_id", "source", F.col("source").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("at_place")).distinct())]
+    for depth in range(1, max_depth + 1):
+        found = reduce(DataFrame.unionByName, levels).select("repo_id", "source", "node")
+        met = levels[-1].select("repo_id", "source", F.col("node").alias("at"), "at_place").join(steps, ["repo_id", "at"])
+        offered = met.groupBy("repo_id", "source", F.col("dst").alias("node")).agg(F.min(F.struct("at_place", "n")).alias("o"))
+        fresh = offered.join(found, ["repo_id", "source", "node"], "left_anti")
+        order = Window.partitionBy("repo_id", "source").orderBy("o", "node")
+        # nodes beyond max_steps can't be in the result, nor what only they lead to
+        level = fresh.withColumn("at_place", F.row_number().over(order)).where(F.col("at_place") <= max_steps)
+        level = settled(level.select("repo_id", "source", "node", F.lit(depth).alias("depth"), "at_place"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    order = Window.partitionBy("repo_id", "source").orderBy("depth", "at_place")
+    rows = reduce(DataFrame.unionByName, levels).withColumn("step", F.row_number().over(order) - 1).where(F.col("step") < max_steps)
+    of = symbols.select("repo_id", F.col("symbol_id").alias("node"), "name", "file_id", "path", "start_line", "end_line")
+    rows = rows.join(of, ["repo_id", "node"])
+    own = chunks.where("symbol_id IS NOT NULL").groupBy("repo_id", F.col("symbol_id").alias("node")).agg(F.min_by("content", "chunk_id").alias("own"))
+    lines = chunks.select("repo_id", "file_id", F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"), "content", "chunk_id")
+    nodes = rows.select("repo_id", "node", "file_id", "start_line", "end_line").distinct()
+    over = nodes.join(lines, ["repo_id", "file_id"]).where("c_start <= end_line AND c_end >= start_line")
+    first = over.groupBy("repo_id", "node").agg(F.min_by("content", F.struct("c_start", "chunk_id")).alias("near"))
+    both = rows.join(own, ["repo_id", "node"], "left").join(first, ["repo_id", "node"], "left")
+    code = F.coalesce("own", "near", F.lit("// Source code not available"))
+    return both.select("repo_id", "source", "step", "node", "depth", "name", "path", code.alias("code"))
+
+
 def find_cycles(relations: DataFrame, *, max_len: int = 5, relation_type: str = "imports") -> DataFrame:
     """(repo_id, length, nodes) of cycles of up to max_len relations of a type, each once, from its smallest node on."""
     steps = relations.where(F.col("relation_type") == relation_type).select("repo_id", F.col("src").alias("at"), F.col("dst").alias("to")).distinct()

@@ -29,33 +29,45 @@ def repo_pairs(repos: DataFrame) -> DataFrame:
     return a.join(b, "workspace_id").where("from_repo < to_repo")
 
 
-def relation_summary(relations: DataFrame, most: int = 20) -> DataFrame:
-    """Counts by repository pair, of `most` names of each at most."""
-    order = Window.partitionBy("from_repo", "to_repo").orderBy("name", "kind")
-    kept = relations.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    return kept.groupBy("from_repo", "to_repo").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "class").alias("n_class"))
+def timeline(commits: DataFrame, *, most: int = 200, since: str | None = None, path: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """The newest commits of each repository since a time, `most` at most, with their number before the cut; commits (repo_id, sha, ts, ...).
 
-
-def timeline(commits: DataFrame, *, most: int = 200, since: str | None = None) -> DataFrame:
-    """The newest commits of each author, `most` at most, with the author's total."""
+    path keeps the commits that changed it, by files (repo_id, sha, path).
+    """
     some = commits.where(F.col("ts") >= since) if since else commits
-    author = Window.partitionBy("author")
-    rows = some.withColumns({"total": F.count("*").over(author), "place": F.row_number().over(author.orderBy(F.desc("ts"), "sha"))})
+    if path is not None:
+        some = some.join(files.where(F.col("path") == path).select("repo_id", "sha").distinct(), ["repo_id", "sha"], "left_semi")
+    repo = Window.partitionBy("repo_id")
+    rows = some.withColumns({"total": F.count("*").over(repo), "place": F.row_number().over(repo.orderBy(F.desc("ts"), "sha"))})
     return rows.where(F.col("place") <= most)
 
 
+def filter_timeline(entries: DataFrame, *, levels: list[str] | None = None, tags: list[str] | None = None) -> DataFrame:
+    """entries (level, tags) of one of the levels that have one of the tags; None filters nothing."""
+    rows = entries if levels is None else entries.where(F.col("level").isin(levels))
+    return rows if not tags else rows.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
+
+
 def commit_stats(commit_files: DataFrame) -> DataFrame:
     return commit_files.groupBy("sha").agg(
         F.count("*").alias("n_files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.countDistinct("path").alias("n_paths")
     )
 
 
-def touched_symbols(commit_files: DataFrame, symbols: DataFrame, *, most_files: int = 5) -> DataFrame:
-    """(sha, names): symbols whose lines overlap a changed range, in the first changed files of each commit."""
-    order = Window.partitionBy("sha").orderBy("path", "change_start", "change_end", "additions", "deletions")
-    some = commit_files.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most_files)
-    hit = some.join(symbols.select("path", "name", "start_line", "end_line"), "path").where("start_line <= change_end AND end_line >= change_start")
-    return hit.groupBy("sha").agg(F.array_sort(F.collect_set("name")).alias("names"))
+def touched_symbols(commit_files: DataFrame, symbols: DataFrame, *, most_files: int = 5, bin_lines: int = 64) -> DataFrame:
+    """(sha, names): symbols whose lines overlap a changed range, in the first `most_files` changed files of each commit.
+
+    commit_files (repo_id, sha, path, change_start, change_end); symbols (repo_id, path, name, start_line, end_line). Ranges and symbols meet
+    by file and bins of lines, equal ranges once, so a file of very many symbols is spread.
+    """
+    rank = F.dense_rank().over(Window.partitionBy("repo_id", "sha").orderBy("path"))
+    ranges = commit_files.select("repo_id", "sha", "path", "change_start", "change_end").distinct().withColumn("place", rank).where(F.col("place") <= most_files)
+    binned = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_lines), F.floor(F.col(b) / bin_lines)))
+    spans = ranges.groupBy("repo_id", "path", "change_start", "change_end").agg(F.collect_set("sha").alias("shas"))
+    left = spans.where("change_end >= change_start").withColumn("bin", binned("change_start", "change_end"))
+    right = symbols.select("repo_id", "path", "name", "start_line", "end_line").distinct().where("end_line >= start_line").withColumn("bin", binned("start_line", "end_line"))
+    hit = left.join(right, ["repo_id", "path", "bin"]).where("start_line <= change_end AND end_line >= change_start")
+    return hit.select(F.explode("shas").alias("sha"), "name").groupBy("sha").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
 def top_symbols(symbols: DataFrame, relations: DataFrame, most: int = 20) -> DataFrame:
@@ -66,10 +78,45 @@ def top_symbols(symbols: DataFrame, relations: DataFrame, most: int = 20) -> Dat
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("repo_id", "symbol_id", "name", "n_references", "place")
 
 
-def top_directories(files: DataFrame, most: int = 10) -> DataFrame:
-    counts = files.groupBy("repo_id", F.split_part("path", F.lit("/"), F.lit(1)).alias("directory")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("repo_id").orderBy(F.desc("n"), "directory")
-    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+def repo_overview(files: DataFrame, *, languages: int = 6, directories: int = 10) -> DataFrame:
+    """(repo_id, part, name, n, place): the number of files, the most frequent languages, and the first path parts with the most files."""
+    repo = Window.partitionBy("repo_id")
+    total = files.groupBy("repo_id").agg(F.count("*").alias("n")).select("repo_id", F.lit("files").alias("part"), F.lit("").alias("name"), "n", F.lit(1).alias("place"))
+
+    def top(name, part: str, most: int) -> DataFrame:
+        counts = files.where(name.isNotNull()).groupBy("repo_id", name.alias("name")).agg(F.count("*").alias("n"))
+        rows = counts.withColumn("place", F.row_number().over(repo.orderBy(F.desc("n"), "name"))).where(F.col("place") <= most)
+        return rows.select("repo_id", F.lit(part).alias("part"), "name", "n", "place")
+
+    return total.unionByName(top(F.col("language"), "language", languages)).unionByName(top(F.split_part("path", F.lit("/"), F.lit(1)), "directory", directories))
+
+
+def validate_references(references: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """references (repo_id, path, name) that exist: files by path where name is null, symbols by name and path, or by path alone."""
+    paths = files.select("repo_id", "path").distinct()
+    return references.join(paths, ["repo_id", "path"], "left_semi").unionByName(
+        references.join(paths, ["repo_id", "path"], "left_anti").join(symbols.select("repo_id", "path", "name").distinct(), ["repo_id", "path", "name"], "left_semi")
+    )
+
+
+def suggest_flows(symbols: DataFrame, relations: DataFrame, *, most: int = 10) -> DataFrame:
+    """(repo_id, place, source, symbol_id, name, path): API handlers, symbols with many relations, and service code, five of each at most, each once."""
+    path, name = F.col("path"), F.col("name")
+    repo = Window.partitionBy("repo_id")
+    cols = ["repo_id", "symbol_id", "name", "path", "source", "n"]
+
+    def first(rows: DataFrame, ordinal: int, *order) -> DataFrame:
+        return rows.withColumns({"source": F.lit(ordinal), "n": F.row_number().over(repo.orderBy(*order, "path", "name", "symbol_id"))}).where("n <= 5").select(*cols)
+
+    handlers = symbols.where((path.contains("/api/") | path.contains("route.ts")) & (name.isin("GET", "POST", "PUT", "DELETE", "PATCH") | name.contains("Handler") | name.contains("handler")))
+    degree = relations.groupBy("repo_id", F.col("src").alias("symbol_id")).agg(F.count("*").alias("degree"))
+    hubs = symbols.join(degree, ["repo_id", "symbol_id"])
+    services = symbols.where(path.rlike("service|Service|worker|Worker|pipeline") & F.col("kind").isin("function", "method", "class"))
+    every = first(handlers, 0).unionByName(first(hubs.where("degree >= 2"), 1, F.desc("degree"))).unionByName(first(services, 2))
+    once = Window.partitionBy("repo_id", "name", "path").orderBy("source", "n", "symbol_id")
+    rows = every.withColumn("k", F.row_number().over(once)).where("k = 1").drop("k")
+    rows = rows.withColumn("place", F.row_number().over(repo.orderBy("source", "n"))).where(F.col("place") <= most)
+    return rows.select("repo_id", "place", "source", "symbol_id", "name", "path")
 
 
 def entry_points(files: DataFrame, most: int = 15) -> DataFrame:

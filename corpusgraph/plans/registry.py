@@ -29,7 +29,7 @@ def query(name: str, *views: str, body: str) -> Callable[[Callable], Callable]:
     return register
 
 
-_LANGUAGES = ", ".join(f"('{k}', '{v}')" for v, ks in file_tables.EXTENSIONS.items() for k in ks.split())
+_LANGUAGES = ", ".join(f"('{k}', '{v}')" for k, v in file_tables.EXTENSIONS.items())
 _FROM_TO = """FROM fx_relations r JOIN fx_symbols a ON a.symbol_id = r.src AND a.repo_id = r.repo_id
   JOIN fx_symbols b ON b.symbol_id = r.dst AND b.repo_id = r.repo_id"""
 
@@ -54,9 +54,18 @@ FROM a FULL JOIN b USING (repo_id, path)
     ),
 ))
 
-query("s2_skip_filter", "fx_files", body="""
-SELECT file_id FROM fx_files WHERE strlen(content) BETWEEN 1 AND 1048576 AND NOT regexp_matches(path, '(^|/)(\\.|dist/|build/|env/|out/|target/)')
-""")(lambda f: file_tables.skip_filter(f.withColumn("size_bytes", F.octet_length("content"))).select("file_id"))
+_ODD = """CASE CAST(file_id AS BIGINT) % 9 WHEN 0 THEN concat('node_modules/', path) WHEN 1 THEN concat('.git/', path) WHEN 2 THEN concat(path, '.min.js') WHEN 3 THEN 'a/package-lock.json'
+ WHEN 4 THEN concat('a/.hidden/', path) WHEN 5 THEN concat('a/x', file_id, '.PNG') WHEN 6 THEN 'a/Dockerfile' ELSE path END"""
+query("s2_skip_filter", "fx_src", body=f"""
+WITH f AS (SELECT file_id, {_ODD} AS path, CASE WHEN CAST(file_id AS BIGINT) % 20 = 7 THEN 0 WHEN CAST(file_id AS BIGINT) % 20 = 8 THEN 2000000 ELSE size_bytes END AS n FROM fx_src)
+SELECT file_id FROM f WHERE n BETWEEN 1 AND 1048576 AND CAST(file_id AS BIGINT) % 9 > 5
+""")(lambda f: file_tables.skip_filter(f.withColumns({
+    "path": F.expr(_ODD), "size_bytes": F.expr("CASE WHEN CAST(file_id AS BIGINT) % 20 = 7 THEN 0 WHEN CAST(file_id AS BIGINT) % 20 = 8 THEN 2000000 ELSE size_bytes END")})).select("file_id"))
+
+query("s5_language_by_name", "fx_src", body=f"""
+WITH names(ending, language) AS (VALUES {_LANGUAGES}), f AS (SELECT file_id, {_ODD} AS path FROM fx_src)
+SELECT file_id, CASE WHEN path LIKE '%/Dockerfile' THEN 'dockerfile' ELSE n.language END AS language FROM f LEFT JOIN names n ON n.ending = lower(regexp_extract(path, '\\.([^./]*)$', 1))
+""")(lambda f: f.select("file_id", file_tables.language_of(F.expr(_ODD)).alias("language")))
 
 query("s15_directory_tree", "fx_files", body="""
 WITH nodes AS (
@@ -108,10 +117,14 @@ WITH {_MODULES} SELECT repo_id, node, in_degree, out_degree, CAST(place AS INT)
   SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY in_degree + out_degree DESC, node) AS place FROM nodes) WHERE place <= 3
 """)(lambda s, r: graph.top_nodes(graph.module_graph(s, r)[0].drop("size"), 3))
 
-query("g9_graph_stats", "fx_symbols", "fx_relations", body=f"""
-WITH {_MODULES} SELECT n.repo_id, count(*) AS n_nodes, any_value(e.n_edges) AS n_edges, avg(in_degree + out_degree) AS avg_degree, 1 AS n_groups
-FROM nodes n JOIN (SELECT repo_id, count(*) AS n_edges FROM edges GROUP BY 1) e USING (repo_id) GROUP BY 1
-""")(lambda s, r: graph.graph_stats(*graph.module_graph(s, r)))
+query("g9_graph_stats", "fx_symbols", "fx_relations", "fx_symbol_files", body=f"""
+WITH e AS (SELECT repo_id, s, t, relation_type, n FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, s, t, relation_type) AS place FROM (
+  SELECT r.repo_id, a.path AS s, b.path AS t, relation_type, count(*) AS n {_FROM_TO} WHERE a.path <> b.path GROUP BY ALL)) WHERE place <= 2000),
+d AS (SELECT repo_id, node, sum(i) AS i, sum(o) AS o FROM (SELECT repo_id, s AS node, 0 AS i, n AS o FROM e UNION ALL SELECT repo_id, t, n, 0 FROM e) GROUP BY 1, 2),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY i + o DESC, node) AS place FROM d) WHERE place <= 150),
+x AS (SELECT repo_id, count(*) AS n_edges FROM e WHERE (repo_id, s) IN (SELECT (repo_id, node) FROM k) AND (repo_id, t) IN (SELECT (repo_id, node) FROM k) GROUP BY 1)
+SELECT repo_id, count(*) AS n_nodes, any_value(n_edges) AS n_edges, avg(i + o) AS avg_degree, count(DISTINCT split_part(node, '/', 1)) AS n_groups FROM k JOIN x USING (repo_id) GROUP BY 1
+""")(lambda s, r, f: graph.graph_stats(*graph.build_graph(s, r, f, level="file")))
 
 query("g5_normalize_relation", "fx_relations", body="""
 SELECT repo_id, CASE relation_type WHEN 'imports' THEN 'imports' WHEN 'calls' THEN 'calls' WHEN 'extends' THEN 'extends' ELSE 'uses' END AS kind, count(*) AS n,
@@ -134,9 +147,9 @@ SELECT s.repo_id, s.symbol_id, s.name, s.kind, x.relation_type, x.dst, x.parent_
   WHERE relation_type IN ('extends', 'implements')) x ON x.src = s.symbol_id AND x.repo_id = s.repo_id WHERE s.kind IN ('class', 'interface', 'type')
 """)(graph.class_hierarchy)
 
-query("g27_unreferenced_symbols", "fx_symbols", "fx_relations", body="""
-SELECT repo_id, symbol_id, name, path FROM fx_symbols s WHERE kind IN ('function', 'class', 'method')
- AND NOT EXISTS (SELECT 1 FROM fx_relations r WHERE r.dst = s.symbol_id AND r.repo_id = s.repo_id)
+query("g27_unreferenced_symbols", "fx_src_symbols", "fx_src_relations", body="""
+SELECT repo_id, symbol_id, name, path FROM fx_src_symbols s WHERE kind IN ('function', 'class', 'method') AND NOT regexp_matches(path, '/index\\.|/main\\.|route\\.|page\\.|layout\\.|\\.test\\.|\\.spec\\.')
+ AND NOT EXISTS (SELECT 1 FROM fx_src_relations r WHERE r.dst = s.symbol_id AND r.repo_id = s.repo_id)
 """)(lambda s, r: graph.unreferenced_symbols(s, r).select("repo_id", "symbol_id", "name", "path"))
 
 query("g30_neighbors", "fx_relations", body="""
@@ -158,8 +171,10 @@ def _sources(relations: DataFrame) -> DataFrame:
 query("g12_impact", "fx_relations", body=f"WITH {_REACH.format(to='src', at='dst', depth=4)} SELECT * FROM reached")(
     lambda r: traverse.reach(_sources(r), r, max_depth=4).select("repo_id", "source", "node", "depth")
 )
-query("g22_call_chains", "fx_relations", body=f"WITH {_REACH.format(to='dst', at='src', depth=3)} SELECT * FROM reached")(
-    lambda r: traverse.reach(_sources(r), r, max_depth=3, direction="out").select("repo_id", "source", "node", "depth")
+query("g22_call_chains", "fx_relations", body=f"""WITH {_REACH.format(to='dst', at='src', depth=2)},
+starts AS (SELECT repo_id, source, node, depth FROM reached UNION ALL SELECT repo_id, n, n, 0 FROM (SELECT repo_id, src AS n FROM fx_relations UNION SELECT repo_id, dst FROM fx_relations))
+SELECT s.repo_id, s.source, r.src, r.dst, r.relation_type, depth + 1 AS depth FROM starts s JOIN fx_relations r ON r.repo_id = s.repo_id AND r.src = s.node""")(
+    lambda r: traverse.call_chains(_sources(r), r)
 )
 _IMPACT = f"""WITH {_REACH.format(to='src', at='dst', depth=4)},
 typed AS (SELECT a.repo_id, a.source, a.node, a.depth, min(r.relation_type) AS relation_type FROM reached a JOIN fx_relations r ON r.repo_id = a.repo_id AND r.src = a.node
@@ -262,7 +277,7 @@ df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 s AS (SELECT query_id, chunk_id, nt, count(*) AS m, round(sum(ln(1 + (nc - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / ml))), 6) AS score
  FROM p JOIN q USING (term) JOIN df USING (term), tot GROUP BY 1, 2, 3)
 SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE m = nt) WHERE rank <= 20
-""")(lambda c, b: retrieval.lexical_topk(b.select(F.col("item_id").alias("query_id"), "text"), c))
+""")(lambda c, b: retrieval.lexical_topk(b.select(F.col("item_id").alias("query_id"), "text"), c.drop("repo_id")))
 
 query("r4_trigram_similarity", "part", body="""
 WITH w AS (SELECT p_partkey, unnest(list_filter(string_split_regex(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w, 0 AS side FROM part
@@ -281,17 +296,14 @@ query("r10_minmax_normalize", "fx_candidates", body=f"WITH {_NORMAL} SELECT quer
     lambda c: retrieval.minmax_normalize(c).select("query_id", "chunk_id", "file_path", "strategy", "token_count", F.round("normalized", 6).alias("normalized"))
 )
 query("r11_fuse_rankings", "fx_candidates", body=f"WITH {_FUSED} SELECT query_id, chunk_id, file_path, token_count, n_strategies, final FROM f")(retrieval.fuse_rankings)
-query("r18_pack_context", "fx_candidates", body=f"""WITH {_FUSED} SELECT query_id, chunk_id, file_path, token_count, CAST(tokens_so_far AS BIGINT) AS tokens_so_far FROM (
- SELECT *, sum(token_count) OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id, file_path, token_count ROWS UNBOUNDED PRECEDING) AS tokens_so_far FROM f) WHERE tokens_so_far <= 3000""")(
-    lambda c: retrieval.pack_context(retrieval.fuse_rankings(c), budget=3000).select("query_id", "chunk_id", "file_path", "token_count", "tokens_so_far")
-)
 query("c7_duplicate_chunks", "fx_chunks", body="SELECT sha256(content) AS content_hash, count(*) AS n, min(chunk_id) AS first_chunk_id FROM fx_chunks GROUP BY 1 HAVING count(*) > 1")(
     retrieval.duplicate_chunks
 )
-query("r36_suggest_symbols", "fx_symbols", "region", body="""
+query("r36_suggest_symbols", "fx_symbols", "nation", body="""
 SELECT repo_id, prefix, symbol_id, name, CAST(place AS INT) AS place FROM (SELECT repo_id, p AS prefix, symbol_id, name, row_number() OVER (PARTITION BY repo_id, p ORDER BY name, symbol_id) AS place
- FROM fx_symbols, (SELECT lower(r_name[1:2]) AS p FROM region) WHERE contains(lower(name), p)) WHERE place <= 50
-""")(lambda s, r: retrieval.suggest_symbols(r.select(F.lower(F.substring("r_name", 1, 2)).alias("prefix")), s))
+ FROM fx_symbols, (SELECT DISTINCT lower(n_name[2:4]) AS p FROM nation UNION SELECT DISTINCT name[3:5] FROM fx_symbols WHERE length(name) >= 5) WHERE contains(lower(name), p)) WHERE place <= 50
+""")(lambda s, n: retrieval.suggest_symbols(
+    n.select(F.lower(F.substring("n_name", 2, 3)).alias("prefix")).union(s.where(F.length("name") >= 5).select(F.substring("name", 3, 3))).distinct(), s))
 query("r6_symbol_candidates", "conversations", body="""
 WITH m AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(text, '\\b([A-Z][a-z]{2,})\\b', 1))) AS word FROM conversations)
 SELECT word, count(*) AS n FROM m GROUP BY 1
@@ -309,33 +321,33 @@ FROM fx_symbol_files a JOIN fx_symbol_files b ON a.path = b.path AND a.repo_id <
 query("k1_repo_pairs", "fx_symbol_files", body="""
 WITH r AS (SELECT DISTINCT repo_id FROM fx_symbol_files) SELECT 'w' AS workspace_id, a.repo_id AS from_repo, b.repo_id AS to_repo FROM r a JOIN r b ON a.repo_id < b.repo_id
 """)(lambda f: workspace.repo_pairs(f.select(F.lit("w").alias("workspace_id"), "repo_id").distinct()))
-query("k7_relation_summary", "fx_symbols", body="""
-WITH t AS (SELECT DISTINCT a.repo_id AS from_repo, b.repo_id AS to_repo, a.name, a.kind FROM fx_symbols a JOIN fx_symbols b ON a.name = b.name AND a.kind = b.kind
- WHERE a.repo_id < b.repo_id AND a.kind IN ('interface', 'type', 'class', 'enum'))
-SELECT from_repo, to_repo, count(*) AS n, count(*) FILTER (kind = 'class') AS n_class FROM (
- SELECT *, row_number() OVER (PARTITION BY from_repo, to_repo ORDER BY name, kind) AS place FROM t) WHERE place <= 20 GROUP BY 1, 2
-""")(lambda s: workspace.relation_summary(workspace.shared_types(s)))
-
 query("t1_timeline", "fx_commits", body="""
-SELECT sha, author, ts, total, CAST(place AS INT) AS place FROM (SELECT *, count(*) OVER (PARTITION BY author) AS total,
- row_number() OVER (PARTITION BY author ORDER BY ts DESC, sha) AS place FROM fx_commits) WHERE place <= 5
-""")(lambda c: workspace.timeline(c, most=5).select("sha", "author", "ts", "total", "place"))
+SELECT repo_id, sha, ts, total, CAST(place AS INT) AS place FROM (SELECT *, count(*) OVER (PARTITION BY repo_id) AS total,
+ row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, sha) AS place FROM fx_commits WHERE ts >= '1994-01-01') WHERE place <= 50
+""")(lambda c: workspace.timeline(c, most=50, since="1994-01-01").select("repo_id", "sha", "ts", "total", "place"))
+query("t1_timeline_of_path", "fx_commits", "fx_commit_files", body="""
+WITH f AS (SELECT min(path) AS p FROM fx_commit_files)
+SELECT repo_id, sha, ts, total, CAST(place AS INT) AS place FROM (SELECT *, count(*) OVER (PARTITION BY repo_id) AS total,
+ row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, sha) AS place FROM fx_commits WHERE sha IN (SELECT sha FROM fx_commit_files, f WHERE path = p)) WHERE place <= 200
+""")(lambda c, f: workspace.timeline(c, path=f.agg(F.min("path")).first()[0], files=f).select("repo_id", "sha", "ts", "total", "place"))
 query("t2_commit_stats", "fx_commit_files", body="""
 SELECT sha, count(*) AS n_files, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions, count(DISTINCT path) AS n_paths FROM fx_commit_files GROUP BY 1
 """)(workspace.commit_stats)
 query("t3_touched_symbols", "fx_commit_files", "fx_symbols", body="""
-SELECT c.sha, array_to_string(list_sort(list_distinct(list(s.name))), '|') AS names FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY path, change_start, change_end, additions, deletions) AS place
- FROM fx_commit_files) c JOIN fx_symbols s ON s.path = c.path AND s.start_line <= c.change_end AND s.end_line >= c.change_start WHERE place <= 5 GROUP BY 1
-""")(lambda c, s: workspace.touched_symbols(c, s).withColumn("names", F.array_join("names", "|")))
+WITH c AS (SELECT *, dense_rank() OVER (PARTITION BY sha ORDER BY path) AS place FROM fx_commit_files)
+SELECT c.sha, array_to_string(list_sort(list_distinct(list(s.name))), '|') AS names FROM c JOIN fx_symbols s ON s.path = c.path AND s.start_line <= c.change_end AND s.end_line >= c.change_start
+WHERE place <= 5 GROUP BY 1
+""")(lambda c, s: workspace.touched_symbols(c.withColumn("repo_id", F.lit("r")), s.withColumn("repo_id", F.lit("r"))).withColumn("names", F.array_join("names", "|")))
 
 query("o3_top_symbols", "fx_symbols", "fx_relations", body="""
 SELECT repo_id, symbol_id, name, n_references, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n_references DESC, symbol_id) AS place FROM (
  SELECT s.repo_id, symbol_id, name, count(r.src) AS n_references FROM fx_symbols s LEFT JOIN fx_relations r ON r.dst = s.symbol_id AND r.repo_id = s.repo_id GROUP BY 1, 2, 3)) WHERE place <= 20
 """)(workspace.top_symbols)
-query("o1_top_directories", "fx_files", body="""
-SELECT repo_id, directory, n, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, directory) AS place FROM (
- SELECT repo_id, split_part(path, '/', 1) AS directory, count(*) AS n FROM fx_files GROUP BY 1, 2)) WHERE place <= 10
-""")(workspace.top_directories)
+query("o1_repo_overview", "fx_symbol_files", body="""
+WITH p AS (SELECT repo_id, 'files' AS part, '' AS name, count(*) AS n FROM fx_symbol_files GROUP BY 1 UNION ALL SELECT repo_id, 'language', language, count(*) FROM fx_symbol_files WHERE language IS NOT NULL GROUP BY 1, 3
+ UNION ALL SELECT repo_id, 'directory', split_part(path, '/', 1), count(*) FROM fx_symbol_files GROUP BY 1, 3)
+SELECT repo_id, part, name, n, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, part ORDER BY n DESC, name) AS place FROM p) WHERE place <= CASE part WHEN 'language' THEN 6 ELSE 10 END
+""")(workspace.repo_overview)
 query("o2_entry_points", "fx_files", body="""
 WITH f AS (SELECT repo_id, replace(path, 'doc', CASE CAST(file_id AS BIGINT) % 3 WHEN 0 THEN 'main.ts.' WHEN 1 THEN 'server.js' ELSE 'x' END) AS path FROM fx_files)
 SELECT repo_id, path, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS place FROM f WHERE contains(path, 'main.ts') OR contains(path, 'server.js')) WHERE place <= 15
@@ -365,18 +377,17 @@ SELECT message_id, file_path, start_line, end_line, CASE WHEN n IS NULL THEN 'un
 FROM c LEFT JOIN f ON f.path = c.file_path
 """)(lambda m, f: workspace.validate_citations(workspace.parse_citations(m), file_tables.file_facts(f)))
 
-query("p6_god_files", "fx_symbol_files", "fx_symbols", body="""
-SELECT f.repo_id, f.path, count(s.symbol_id) AS n_functions, f.line_count, CASE WHEN count(s.symbol_id) > 15 THEN 'critical' ELSE 'warning' END AS severity FROM fx_symbol_files f
-LEFT JOIN fx_symbols s ON s.repo_id = f.repo_id AND s.file_id = f.file_id AND s.kind IN ('function', 'method') GROUP BY f.repo_id, f.path, f.line_count HAVING count(s.symbol_id) > 15 OR f.line_count > 500
-""")(workspace.god_files)
-
-query("e1_route_path", "documents", body="""
-SELECT doc_id, concat('/api/m', CAST(doc_id % 10 AS STRING), '/:id/:rest*') AS route FROM documents
-""")(lambda d: d.select("doc_id", paths.route_path(F.concat(F.lit("src/app/api/m"), (F.col("doc_id") % 10).cast("string"), F.lit("/[id]/[...rest]/route.ts"))).alias("route")))
+query("e1_route_path", "fx_src", body="""
+WITH i AS (SELECT file_id, CASE WHEN strpos(path, '/app/') > 0 THEN regexp_replace(path[strpos(path, '/app/') + 5:], '/?route\\.[jt]sx?$', '') WHEN strpos(path, '/pages/') > 0
+  THEN regexp_replace(regexp_replace(path[strpos(path, '/pages/') + 7:], '\\.[jt]sx?$', ''), '/index$', '') ELSE regexp_replace(path, '/?route\\.[jt]sx?$', '') END AS p FROM fx_src)
+SELECT file_id, concat('/', array_to_string(list_transform(list_filter(string_split(p, '/'), lambda x: x <> ''),
+  lambda x: regexp_replace(regexp_replace(x, '^\\[\\.\\.\\.(.*)\\]$', ':\\1*'), '^\\[(.*)\\]$', ':\\1')), '/')) AS route FROM i
+""")(lambda f: f.select("file_id", paths.route_path(F.col("path")).alias("route")))
 
 query("z1_quota_windows", "events", body="""
-SELECT time_bucket(INTERVAL 60 SECONDS, ts) AS window_start, user_id, event_type AS key_prefix, count(*) AS n, 3 AS most, greatest(3 - count(*), 0) AS remaining FROM events GROUP BY 1, 2, 3
+WITH m AS (SELECT event_type, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 1 ELSE 3 END AS most FROM events GROUP BY 1)
+SELECT time_bucket(INTERVAL 60 SECONDS, ts) AS window_start, user_id, e.event_type AS key_prefix, count(*) AS n, most, greatest(most - count(*), 0) AS remaining FROM events e JOIN m ON m.event_type = e.event_type GROUP BY 1, 2, 3, 5
 """)(lambda e: jobs.quota_windows(
     e.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("key_prefix")),
-    e.select(F.col("event_type").alias("key_prefix"), F.lit(3).alias("most")).distinct(),
+    e.groupBy(F.col("event_type").alias("key_prefix")).agg(F.lit(0).alias("k")).select("key_prefix", F.expr("CASE WHEN key_prefix = min(key_prefix) OVER () THEN 1 ELSE 3 END").alias("most")),
 ).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import extract, health, relations, reports, traverse, workspace
+from ..operators import health, relations, reports, traverse, workspace
 from ..sources import files as file_tables
 from .registry import _CITED, _HEALTH, _IMPACT, _REACH, _sources, query
 
@@ -51,19 +51,27 @@ SELECT query_id, file_path, start_line, chunk_id, total, CAST(place AS INT) AS p
 
 query("n4_open_threads", "orders", body="""
 SELECT o_custkey % 10 AS repo_id, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(*) AS n_threads FROM orders GROUP BY 1
-""")(lambda o: reports.open_threads(o.select((F.col("o_custkey") % 10).alias("repo_id"), F.col("o_orderstatus").alias("status"))))
-
-query("n6_latest_conversations", "conversations", body="""
-SELECT conv_id, max(turn) AS last_turn, count(*) AS n_messages FROM conversations GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20
-""")(reports.latest_conversations)
-
-query("n11_citation_density", "fx_citations", "fx_files", body=f"""
-WITH {_CITED}, f AS (SELECT path, len(string_split(content, chr(10))) AS n FROM fx_files),
-v AS (SELECT message_id, count(*) AS k FROM c JOIN f ON f.path = c.file_path WHERE start_line <= n AND end_line >= start_line AND end_line <= n GROUP BY 1)
-SELECT message_id, CAST(4 AS INT) AS n_words, coalesce(k, 0) AS n_valid, coalesce(k, 0) >= 1 AS dense, false AS uncited FROM (SELECT doc_id AS message_id FROM documents) LEFT JOIN v USING (message_id)
+""")(lambda o: reports.open_threads(o.select((F.col("o_custkey") % 10).alias("repo_id"), F.col("o_orderstatus").alias("status")), status="O"))
+
+query("n6_latest_conversations", "orders", body="""
+SELECT user_id, conv_id, CAST(place AS INT) AS place FROM (SELECT o_custkey AS user_id, o_orderkey AS conv_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders) WHERE place <= 5
+""")(lambda o: reports.latest_conversations(o.select(
+    F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("conv_id"), F.col("o_orderdate").alias("updated_at")), 5).drop("updated_at"))
+
+query("n6_messages_of", "conversations", body="""
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS place, role, text FROM conversations
+""")(lambda c: reports.messages_of(c.select("conv_id"), c))
+
+query("n11_citation_density", "fx_messages", "fx_files", body="""
+WITH c AS (SELECT DISTINCT doc_id AS message_id, CASE doc_id % 3 WHEN 0 THEN concat(lang, '/d', CAST(doc_id % 10 AS STRING), '/doc', CAST(doc_id AS STRING), '.ts') ELSE 'none.ts' END AS p FROM documents WHERE doc_id % 3 < 2),
+f AS (SELECT path, len(string_split(content, chr(10))) AS n FROM fx_files), v AS (SELECT message_id, count(*) AS k FROM c JOIN f ON f.path = c.p WHERE n >= 2 GROUP BY 1),
+w AS (SELECT message_id, CAST(len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) AS INT) AS n_words FROM fx_messages)
+SELECT message_id, n_words, coalesce(k, 0) AS n_valid, coalesce(k, 0) >= greatest(1.0, n_words / 100) AS dense, n_words > 30 AND coalesce(k, 0) = 0 AS uncited FROM w LEFT JOIN v USING (message_id)
 """)(lambda m, f: reports.citation_density(m, workspace.validate_citations(workspace.parse_citations(m), file_tables.file_facts(f))))
 
-query("t5_default_summary", "fx_commits", body="SELECT sha, message[1:120] AS summary, 'minor' AS level FROM fx_commits")(reports.default_summaries)
+query("t5_default_summary", "documents", body="SELECT CAST(doc_id AS STRING) AS sha, text[1:120] AS summary, 'minor' AS level FROM documents")(
+    lambda d: reports.default_summaries(d.select(F.col("doc_id").cast("string").alias("sha"), F.col("text").alias("message")))
+)
 
 query("s10_latest_job", "orders", body="""
 SELECT o_custkey AS repo_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS job_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status, max(o_orderdate) AS created_at FROM orders GROUP BY 1
@@ -75,10 +83,6 @@ SELECT o_custkey % 100 AS workspace_id, arg_max(o_orderkey, (o_orderdate, o_orde
 """)(lambda o: reports.workspace_repos(o.select(
     (F.col("o_custkey") % 100).alias("workspace_id"), F.col("o_orderkey").alias("repo_id"), F.col("o_orderdate").alias("created_at"))))
 
-query("e5_requires_auth", "documents", body="""
-SELECT doc_id, regexp_matches(text, '(?i)bearerToken|authorization') OR regexp_matches(text, 'isAuthenticated|current_user|login_required') AS auth FROM documents
-""")(lambda d: d.select("doc_id", text.requires_auth(F.col("text")).alias("auth")))
-
 query("k4_manifest_dependencies", "supplier", "nation", body="""
 SELECT DISTINCT s_suppkey AS from_repo, CAST(1000000 + n_nationkey AS BIGINT) AS to_repo, n_name AS name FROM supplier JOIN nation ON n_nationkey = s_nationkey
 """)(lambda s, n: reports.manifest_dependencies(
@@ -87,27 +91,6 @@ SELECT DISTINCT s_suppkey AS from_repo, CAST(1000000 + n_nationkey AS BIGINT) AS
     .unionByName(n.select((F.col("n_nationkey") + 1_000_000).cast("long").alias("repo_id"), F.to_json(F.struct(F.col("n_name").alias("name"))).alias("content")))
 ))
 
-_LINES = "l AS (SELECT repo_id, file_id, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS start_line FROM fx_code)"
-
-query("x1_extract_symbols", "fx_code", body=f"""
-WITH {_LINES}, m AS (SELECT *, [regexp_extract(line, '^(?:export\\s+)?(?:async\\s+)?function\\s+(\\w+)', 1), regexp_extract(line, '^(?:export\\s+)?class\\s+(\\w+)', 1),
-  regexp_extract(line, '^(?:export\\s+)?interface\\s+(\\w+)', 1), regexp_extract(line, '^(?:export\\s+)?enum\\s+(\\w+)', 1)] AS n FROM l)
-SELECT repo_id, file_id, name, kind, CAST(start_line AS INT) AS start_line, trim(line) AS signature FROM (
- SELECT *, unnest(n) AS name, unnest(['function', 'class', 'interface', 'enum']) AS kind FROM m) WHERE name <> ''
-""")(lambda c: extract.extract_symbols(extract.declarations(c)))
-
-query("x2_extract_imports", "fx_code", body="""
-SELECT repo_id, file_id, concat('@/m', CAST(CAST(file_id AS BIGINT) % 10 AS STRING)) AS source, concat('H', CAST(CAST(file_id AS BIGINT) % 5 AS STRING)) AS names FROM fx_code
-""")(lambda c: extract.extract_imports(extract.declarations(c)).withColumn("names", F.array_join("names", "|")))
-
-query("x3_extract_exports", "fx_code", body="SELECT DISTINCT repo_id, file_id, 'GET' AS name FROM fx_code")(
-    lambda c: extract.extract_exports(extract.declarations(c.withColumn("content", F.replace("content", F.lit("export async"), F.lit("export")))))
-)
-
-query("x9_inheritance", "fx_code", body="""
-SELECT repo_id, file_id, concat('C', file_id) AS name, 'extends' AS relation_type, concat('B', CAST(CAST(file_id AS BIGINT) % 3 AS STRING)) AS parent FROM fx_code
-""")(lambda c: extract.inheritance(extract.extract_symbols(extract.declarations(c))))
-
 query("x10_assign_parents", "fx_symbols", body="""
 SELECT symbol_id, parent_symbol_id FROM (SELECT i.symbol_id, o.symbol_id AS parent_symbol_id, row_number() OVER (PARTITION BY i.symbol_id ORDER BY o.end_line - o.start_line, o.symbol_id) AS n
  FROM fx_symbols i LEFT JOIN fx_symbols o ON o.repo_id = i.repo_id AND o.file_id = i.file_id AND o.start_line <= i.start_line AND o.end_line >= i.end_line

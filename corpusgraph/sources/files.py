@@ -6,29 +6,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What the scan leaves out, and languages by file name and by extension.
-SKIP_DIRS = (
-    "node_modules .git vendor dist build __pycache__ .next .nuxt coverage .cache .tox .venv venv .env env .eggs .mypy_cache"
-    " .pytest_cache .gradle .idea .vscode .vs target out .output .turbo .vercel .svelte-kit bower_components .bundle __snapshots__"
-).split()
-SKIP_EXTENSIONS = (
-    ".min.js .min.css .map .lock .png .jpg .jpeg .gif .ico .svg .woff .woff2 .ttf .eot .mp4 .webm .mp3 .wav .zip .tar .gz .bz2 .xz"
-    " .7z .rar .pdf .exe .dll .so .dylib .pyc .pyo .class .o .obj .a .lib .wasm .bin .dat .db .sqlite .sqlite3"
-).split()
-SKIP_FILES = (
-    "package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock Gemfile.lock poetry.lock composer.lock go.sum .DS_Store Thumbs.db"
-).split()
+SKIP_DIRS = [
+    "node_modules", ".git", "vendor", "dist", "build", "__pycache__", ".next", ".nuxt", "coverage", ".cache", ".tox", ".venv", "venv", ".env", "env",
+    ".eggs", ".mypy_cache", ".pytest_cache", ".gradle", ".idea", ".vscode", ".vs", "target", "out", ".output", ".turbo", ".vercel", ".svelte-kit",
+    "bower_components", ".bundle", "__snapshots__",
+]
+SKIP_EXTENSIONS = [
+    ".min.js", ".min.css", ".map", ".lock", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".svg", ".woff", ".woff2", ".ttf", ".eot", ".mp4", ".webm",
+    ".mp3", ".wav", ".zip", ".tar", ".gz", ".bz2", ".xz", ".7z", ".rar", ".pdf", ".exe", ".dll", ".so", ".dylib", ".pyc", ".pyo", ".class", ".o",
+    ".obj", ".a", ".lib", ".wasm", ".bin", ".dat", ".db", ".sqlite", ".sqlite3",
+]
+SKIP_FILES = [
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "Gemfile.lock", "poetry.lock", "composer.lock", "go.sum", ".DS_Store",
+    "Thumbs.db",
+]
 MOST_BYTES = 1_048_576
+#: Language by extension.
 EXTENSIONS = {
-    "javascript": "js jsx mjs cjs", "typescript": "ts tsx mts cts", "python": "py pyi pyw", "go": "go", "rust": "rs", "java": "java",
-    "c": "c h", "cpp": "cpp cc cxx hpp hxx", "csharp": "cs", "ruby": "rb rake gemspec", "php": "php", "swift": "swift", "kotlin": "kt kts",
-    "scala": "scala", "shell": "sh bash zsh", "html": "html htm", "css": "css", "scss": "scss", "sass": "sass", "less": "less", "vue": "vue",
-    "svelte": "svelte", "json": "json", "yaml": "yaml yml", "toml": "toml", "xml": "xml", "ini": "ini cfg", "markdown": "md mdx",
-    "restructuredtext": "rst", "latex": "tex", "sql": "sql", "elixir": "ex exs", "erlang": "erl", "haskell": "hs", "lua": "lua", "r": "r",
-    "dart": "dart", "zig": "zig", "dockerfile": "dockerfile", "graphql": "graphql gql", "protobuf": "proto",
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "mts": "typescript",
+    "cts": "typescript", "py": "python", "pyi": "python", "pyw": "python", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp",
+    "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "cs": "csharp", "rb": "ruby", "rake": "ruby", "gemspec": "ruby", "php": "php",
+    "swift": "swift", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "sh": "shell", "bash": "shell", "zsh": "shell", "html": "html",
+    "htm": "html", "css": "css", "scss": "scss", "sass": "sass", "less": "less", "vue": "vue", "svelte": "svelte", "json": "json", "yaml": "yaml",
+    "yml": "yaml", "toml": "toml", "xml": "xml", "ini": "ini", "cfg": "ini", "md": "markdown", "mdx": "markdown", "rst": "restructuredtext",
+    "tex": "latex", "sql": "sql", "ex": "elixir", "exs": "elixir", "erl": "erlang", "hs": "haskell", "lua": "lua", "r": "r", "dart": "dart",
+    "zig": "zig", "dockerfile": "dockerfile", "graphql": "graphql", "gql": "graphql", "proto": "protobuf",
 }
+#: Language by whole file name.
 FILE_NAMES = {
-    "dockerfile": "Dockerfile", "makefile": "Makefile", "cmake": "CMakeLists.txt", "ruby": "Rakefile Gemfile Vagrantfile",
-    "gitignore": ".gitignore", "dockerignore": ".dockerignore", "dotenv": ".env .env.example .env.local",
+    "Dockerfile": "dockerfile", "Makefile": "makefile", "CMakeLists.txt": "cmake", "Rakefile": "ruby", "Gemfile": "ruby", "Vagrantfile": "ruby",
+    ".gitignore": "gitignore", ".dockerignore": "dockerignore", ".env": "dotenv", ".env.example": "dotenv", ".env.local": "dotenv",
 }
 
 
@@ -73,7 +80,7 @@ def file_facts(files: DataFrame) -> DataFrame:
 def language_of(path: Column) -> Column:
     """The language by file name, else by the extension after the last dot; null if neither is known."""
     name = F.element_at(F.split(path, "/"), -1)
-    pairs = lambda table: [F.lit(x) for language, keys in table.items() for k in keys.split() for x in (k, language)]
+    pairs = lambda table: [F.lit(x) for pair in table.items() for x in pair]
     ending = F.when(F.instr(name, ".") > 0, F.lower(F.element_at(F.split(name, r"\."), -1)))
     return F.coalesce(F.create_map(*pairs(FILE_NAMES))[name], F.create_map(*pairs(EXTENSIONS))[ending])
 
@@ -145,3 +152,22 @@ def parse_hunks(lines: DataFrame) -> DataFrame:
     count = F.coalesce(F.nullif(F.regexp_extract("value", r"^@@ -\d+(?:,\d+)? \+\d+,(\d+)", 1), F.lit("")).cast("int"), F.lit(1))
     first = start.try_cast("int")
     return lines.where(start != "").select(F.explode(F.sequence(first, first + F.greatest(count, F.lit(1)) - 1)).alias("line"))
+
+
+def index_report(files: DataFrame, symbols: DataFrame, chunks: DataFrame, embeddings: DataFrame, diff: DataFrame, errors: DataFrame) -> DataFrame:
+    """(repo_id, files_processed, files_skipped, symbols, chunks, embeddings, errors): what an index run did, by its tables and its diff_snapshot.
+
+    embeddings (chunk_id), errors (repo_id, path, message): one row for each file that failed.
+    """
+    repos = files.select("repo_id").union(diff.select("repo_id")).distinct()
+    done = diff.groupBy("repo_id").agg(
+        F.count_if(F.col("status").isin("new", "changed")).alias("files_processed"), F.count_if(F.col("status") == "unchanged").alias("files_skipped")
+    )
+    count = lambda rows, name: rows.groupBy("repo_id").agg(F.count("*").alias(name))
+    vectors = chunks.select("repo_id", "chunk_id").join(embeddings.select("chunk_id"), "chunk_id")
+    out = repos.join(done, "repo_id", "left")
+    names = ["files_processed", "files_skipped"]
+    for rows, name in ((symbols, "symbols"), (chunks, "chunks"), (vectors, "embeddings"), (errors, "errors")):
+        out = out.join(count(rows, name), "repo_id", "left")
+        names.append(name)
+    return out.select("repo_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))

@@ -26,7 +26,22 @@ def test_relations_hold_every_link(spark, links):
     assert got == links
 
 
-@pytest.mark.parametrize("name, steps, depth", [("g12_impact", "in", 4), ("g22_call_chains", "out", 3), ("r8_k_hop", "both", 2)])
+def test_call_chains_hold_every_link_on_the_way(spark, links):
+    to = {}
+    for a, b in links:
+        to.setdefault(a, set()).add(b)
+    want = set()
+    for source in {x for link in links for x in link}:
+        seen, front = {source}, {source}
+        for depth in range(1, 4):
+            want |= {(source, x, y, depth) for x in front for y in to.get(x, ())}
+            front = {y for x in front for y in to.get(x, ())} - seen
+            seen |= front
+    got = {(r.source, r.src, r.dst, r.depth) for r in registry.QUERIES["g22_call_chains"](spark, FOLDER).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("name, steps, depth", [("g12_impact", "in", 4), ("r8_k_hop", "both", 2)])
 def test_every_node_is_a_source(spark, links, name, steps, depth):
     to = {}
     for a, b in links:
