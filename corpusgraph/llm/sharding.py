@@ -13,7 +13,8 @@ that holds a large part of all rows is split into slices by a hash of the ties,
 
 Defined results: a null dimension is a quantised value of its own, 0; null ties come first; repeated
 rows are rows like others; an empty table gives no rows. Other columns of the input, whatever
-their names, are kept as they are (but for clashes with the output columns, which are refused).
+their names, are kept as they are; if the input has a `shard` or `slot`, the new column is called `shard_1` and so on.
+Rows of equal texts are not kept together: the law is `rows`, so a text that a third of all rows have must be in many shards.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import kept_table, table
+from .base import free_name, kept_table, quoted, table
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -77,73 +78,77 @@ def quantised(df: DataFrame, name: str, bits: int) -> Column:
     """A dimension as an int of `bits` bits; null is 0.
 
     Numbers: steps of half a power of two, from 1 (negative numbers and NaN too) to the highest code.
-    Other types: rank among the distinct values if these fit, else a hash of the value.
+    Other types: rank among the distinct values if these fit; else values are cut into ranges of their order, at
+    the quantiles of a sample of 4096 distinct values (those of the smallest hashes), so that a code covers a range of values.
     """
     most = (1 << bits) - 1
-    kind = dict(df.dtypes)[name]
+    kind, col = dict(df.dtypes)[name], F.col(quoted(name))
     if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        value = F.greatest(F.nanvl(F.col(name).cast("double"), F.lit(0.0)), F.lit(0.0))
+        value = F.greatest(F.nanvl(col.cast("double"), F.lit(0.0)), F.lit(0.0))
         code = F.least(F.floor(F.log2(value + 1) * 2) + 1, F.lit(most)).cast("int")
-        code = F.when(F.col(name).isNotNull(), code)
+        code = F.when(col.isNotNull(), code)
     else:
-        value = F.col(name).cast("string")
-        seen = df.where(F.col(name).isNotNull()).select(value.alias("v")).distinct().limit(most + 1).collect()
-        if len(seen) <= most:  # the limit above bounds what comes to the driver, and decides which way is taken
-            ranks = F.array(*(F.lit(v) for v in sorted(r.v for r in seen))) if seen else F.array().cast("array<string>")
+        value = col.cast("string")
+        distinct = df.where(col.isNotNull()).select(value.alias("v")).distinct()
+        # the limit bounds what comes to the driver
+        seen = sorted(r.v for r in distinct.orderBy(F.xxhash64("v"), "v").limit(4096).collect())
+        if len(seen) <= most:
+            ranks = F.array(*map(F.lit, seen)) if seen else F.array().cast("array<string>")
             code = F.array_position(ranks, value).cast("int")
         else:
-            code = (F.pmod(F.xxhash64(value), F.lit(most)) + 1).cast("int")
+            borders = F.array(*(F.lit(seen[i * len(seen) // most]) for i in range(1, most)))
+            code = F.when(value.isNotNull(), F.size(F.filter(borders, lambda b: b <= value)) + 1)
     return F.coalesce(code, F.lit(0))
 
 
 def hilbert_shards(
     df: DataFrame, dimensions: list[str], ties: list[str], *, shards: int = 40, bits: int = 5, slices: int = 1 << 16
 ) -> DataFrame:
-    """df with `shard` (0 to shards - 1; row counts differ by one at most) and `slot` (from 0 in each shard)."""
-    if taken := {"shard", "slot"} & set(df.columns):
-        raise ValueError(f"columns {taken} would be overwritten")
+    """df with `shard` (0 to shards - 1; row counts differ by one at most) and `slot` (from 0 in each shard) as last columns."""
     if not 0 < bits * len(dimensions) <= 20:
         raise ValueError("bits * dimensions must be from 1 to 20: it bounds the table of cells")
     codes = [quantised(df, d, bits) for d in dimensions]
     cell = codes[0].cast("long")
     for c in codes[1:]:
         cell = cell * (1 << bits) + c
-    hashed = F.xxhash64(*ties) if ties else F.monotonically_increasing_id()
-    rows = df.withColumns({"__cell": cell, "__part": F.pmod(hashed, F.lit(1 << 20)).cast("int")})
-    cells = rows.groupBy("__cell").agg(F.count("*").alias("__n"))
+    keys = [F.col(quoted(t)) for t in ties]
+    hashed = F.xxhash64(*keys) if ties else F.monotonically_increasing_id()
+    tied = [f"tie{i}" for i in range(len(ties))]
+    # a row of df travels as one struct, so none of its names can meet those of the columns here
+    rows = df.select(
+        F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"), cell.alias("cell"), F.pmod(hashed, F.lit(1 << 20)).cast("int").alias("part"),
+        *(k.alias(t) for k, t in zip(keys, tied, strict=True)),
+    )
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"))
     n = len(dimensions)
-    parts = F.array(*(F.shiftright("__cell", bits * (n - 1 - i)).bitwiseAND((1 << bits) - 1).cast("int") for i in range(n)))
+    parts = F.array(*(F.shiftright("cell", bits * (n - 1 - i)).bitwiseAND((1 << bits) - 1).cast("int") for i in range(n)))
     cells = cells.withColumns(
-        {"__place": hilbert_index(parts, n, bits), "__slices": F.ceil(F.col("__n") * slices / F.sum("__n").over(Window.partitionBy())).cast("int")}
-    ).drop("__n")
+        {"place": hilbert_index(parts, n, bits), "slices": F.ceil(F.col("n") * slices / F.sum("n").over(Window.partitionBy())).cast("int")}
+    ).drop("n")
     # at most 2 ** 20 cells of three numbers each, so this can be broadcast
-    rows = rows.join(F.broadcast(cells), "__cell").withColumn(
-        "__slice", F.floor(F.col("__part").cast("long") * F.col("__slices") / (1 << 20)).cast("int")
-    )
-    counts = rows.groupBy("__place", "__slice").agg(F.count("*").alias("__n"))
-    # one row for each cell and slice: at most 2 ** 20 + slices
-    along = Window.orderBy("__place", "__slice")
-    total = Window.partitionBy()
+    rows = rows.join(F.broadcast(cells), "cell").withColumn("slice", F.floor(F.col("part").cast("long") * F.col("slices") / (1 << 20)).cast("int"))
+    counts = rows.groupBy("place", "slice").agg(F.count("*").alias("n"))
+    # one row for each cell and slice: at most 2 ** 20 + slices, so these windows of all rows are bounded
+    along = Window.orderBy("place", "slice")
     starts = counts.select(
-        "__place",
-        "__slice",
-        (F.sum("__n").over(along) - F.col("__n")).alias("__start"),
-        F.sum("__n").over(total).alias("__total"),
+        "place", "slice", (F.sum("n").over(along) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total")
     )
-    inside = Window.partitionBy("__place", "__slice").orderBy("__part", *ties)
-    rank = F.col("__start") + F.row_number().over(inside) - 1
-    out = rows.join(starts, ["__place", "__slice"]).withColumn("__rank", rank)
+    inside = Window.partitionBy("place", "slice").orderBy("part", *tied)
+    out = rows.join(starts, ["place", "slice"]).withColumn("rank", F.col("start") + F.row_number().over(inside) - 1)
     # the first `more` shards have size `low + 1`, the others `low`
-    low, more = F.floor(F.col("__total") / shards), F.col("__total") % shards
+    low, more = F.floor(F.col("total") / shards), F.col("total") % shards
     head = more * (low + 1)
-    out = out.withColumn(
-        "shard",
-        F.when(F.col("__rank") < head, F.floor(F.col("__rank") / (low + 1)))
-        .otherwise(more + F.floor((F.col("__rank") - head) / F.greatest(low, F.lit(1))))
-        .cast("int"),
+    shard = (
+        F.when(F.col("rank") < head, F.floor(F.col("rank") / (low + 1)))
+        .otherwise(more + F.floor((F.col("rank") - head) / F.greatest(low, F.lit(1))))
+        .cast("int")
     )
+    out = out.withColumn("shard", shard)
     first = F.col("shard") * low + F.least(F.col("shard").cast("long"), more)
-    return out.withColumn("slot", F.col("__rank") - first).select(*df.columns, "shard", "slot")
+    return out.select(
+        *(F.col("row")[c].alias(c) for c in df.columns), F.col("shard").alias(free_name(df.columns, "shard")),
+        (F.col("rank") - first).alias(free_name(df.columns, "slot")),
+    )
 
 
 def write_shards(df: DataFrame, path: str) -> None:

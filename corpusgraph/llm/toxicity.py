@@ -6,6 +6,9 @@ dictionary and with the toxic one in front of it; the difference of the two leng
 text explains of the window. How likely each difference is in toxic and in ordinary texts gives the window's
 weight; a text's sum of weights goes through a rising curve, fitted to the labelled sample, to a probability.
 
+The dictionaries are trained on at most `window_sample` windows of each class, spread over the sampled texts, of `window_bytes` bytes at most.
+This bounds the fit alone: a text is scored by all its windows, whole.
+
 The model is fitted to a bounded sample of labelled rows, `sample_rows` of each class, those with the smallest hashes of
 doc_id. So what is broadcast and what comes to the driver is bounded whatever the input's size. Scoring
 reads each whole text once, without a shuffle.
@@ -126,6 +129,7 @@ def fit_toxicity(
     ordinary_bytes: int = 126_000,  # with toxic_bytes under 128 KB, where zstandard changes its parameters
     toxic_bytes: int = 3_000,
     window_sample: int = 150_000,
+    window_bytes: int = 400,
 ) -> ToxicityModel:
     """The model for docs (doc_id, text) and labels (doc_id, label: 1 is toxic)."""
     sample = kept_table(labelled_sample(docs, labels, sample_rows))
@@ -149,7 +153,7 @@ def fit_toxicity(
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["w"])
 
         rows = sample.where(F.col("label") == label).mapInArrow(cut, "w binary")
-        return [bytes(r.w)[:400] for r in rows.limit(window_sample).collect()]
+        return [bytes(r.w)[:window_bytes] for r in rows.limit(window_sample).collect()]
 
     repeats = [w for w, k in telling for _ in range(max(1, round(2_000 * k / n[1])))]
     np.random.default_rng(11).shuffle(repeats)
