@@ -94,7 +94,8 @@ WHERE dst IS NOT NULL AND src <> dst""",
     "fx_src_relations": """SELECT repo_id, concat(a, ':f') AS src, concat(b, ':f') AS dst, relation_type FROM (
   SELECT repo_id, file_id AS a, CAST(CAST(file_id AS BIGINT) + 6 - k AS STRING) AS b, CASE k WHEN 0 THEN 'calls' WHEN 1 THEN 'imports' ELSE 'imports' END AS relation_type, k, g FROM fx_src WHERE k IN (0, 1, 7)
   UNION ALL SELECT repo_id, file_id, CAST(CAST(file_id AS BIGINT) + 1 AS STRING), 'imports', k, g FROM fx_src WHERE k = 6 AND g % 3 = 0
-  UNION ALL SELECT repo_id, file_id, CAST(CAST(file_id AS BIGINT) + 2 AS STRING), 'calls', k, g FROM fx_src WHERE k = 6) e
+  UNION ALL SELECT repo_id, file_id, CAST(CAST(file_id AS BIGINT) + 2 AS STRING), 'calls', k, g FROM fx_src WHERE k = 6
+  UNION ALL SELECT repo_id, file_id, CAST(CAST(file_id AS BIGINT) + 64 AS STRING), CASE WHEN g % 2 = 0 THEN 'calls' ELSE 'extends' END, k, g FROM fx_src WHERE k = 6) e
  WHERE concat(repo_id, '/', a) IN (SELECT concat(repo_id, '/', file_id) FROM fx_src) AND concat(repo_id, '/', b) IN (SELECT concat(repo_id, '/', file_id) FROM fx_src)""",
     "fx_src_chunks": """SELECT repo_id, file_id AS chunk_id, file_id, path AS file_path, path, language, 1 AS start_line, CAST(line_count AS INT) AS end_line, content,
   CAST(ceil(length(content) / 4.0) AS INT) AS token_count, concat(file_id, ':f') AS symbol_id FROM fx_src""",

@@ -158,8 +158,8 @@ SELECT repo_id, node, direction, relation_type, count(*) AS n FROM (
 """)(lambda r: graph.neighbors(r.select("repo_id", F.col("src").alias("node")).union(r.select("repo_id", "dst")).distinct(), r))
 
 _REACH = """RECURSIVE walk(repo_id, source, node, depth) AS (
-  SELECT repo_id, n, n, 0 FROM (SELECT repo_id, src AS n FROM fx_relations UNION SELECT repo_id, dst FROM fx_relations)
-  UNION SELECT w.repo_id, w.source, r.{to}, w.depth + 1 FROM walk w JOIN fx_relations r ON r.repo_id = w.repo_id AND r.{at} = w.node WHERE w.depth < {depth}),
+  SELECT repo_id, n, n, 0 FROM (SELECT repo_id, src AS n FROM fx_src_relations UNION SELECT repo_id, dst FROM fx_src_relations)
+  UNION SELECT w.repo_id, w.source, r.{to}, w.depth + 1 FROM walk w JOIN fx_src_relations r ON r.repo_id = w.repo_id AND r.{at} = w.node WHERE w.depth < {depth}),
 reached AS (SELECT repo_id, source, node, min(depth) AS depth FROM walk GROUP BY 1, 2, 3 HAVING min(depth) > 0 AND node <> source)"""
 
 
@@ -168,30 +168,30 @@ def _sources(relations: DataFrame) -> DataFrame:
     return relations.select("repo_id", F.col("src").alias("source")).union(relations.select("repo_id", "dst")).distinct()
 
 
-query("g12_impact", "fx_relations", body=f"WITH {_REACH.format(to='src', at='dst', depth=4)} SELECT * FROM reached")(
+query("g12_impact", "fx_src_relations", body=f"WITH {_REACH.format(to='src', at='dst', depth=4)} SELECT * FROM reached")(
     lambda r: traverse.reach(_sources(r), r, max_depth=4).select("repo_id", "source", "node", "depth")
 )
-query("g22_call_chains", "fx_relations", body=f"""WITH {_REACH.format(to='dst', at='src', depth=2)},
-starts AS (SELECT repo_id, source, node, depth FROM reached UNION ALL SELECT repo_id, n, n, 0 FROM (SELECT repo_id, src AS n FROM fx_relations UNION SELECT repo_id, dst FROM fx_relations))
-SELECT s.repo_id, s.source, r.src, r.dst, r.relation_type, depth + 1 AS depth FROM starts s JOIN fx_relations r ON r.repo_id = s.repo_id AND r.src = s.node""")(
+query("g22_call_chains", "fx_src_relations", body=f"""WITH {_REACH.format(to='dst', at='src', depth=2)},
+starts AS (SELECT repo_id, source, node, depth FROM reached UNION ALL SELECT repo_id, n, n, 0 FROM (SELECT repo_id, src AS n FROM fx_src_relations UNION SELECT repo_id, dst FROM fx_src_relations))
+SELECT s.repo_id, s.source, r.src, r.dst, r.relation_type, depth + 1 AS depth FROM starts s JOIN fx_src_relations r ON r.repo_id = s.repo_id AND r.src = s.node""")(
     lambda r: traverse.call_chains(_sources(r), r)
 )
 _IMPACT = f"""WITH {_REACH.format(to='src', at='dst', depth=4)},
-typed AS (SELECT a.repo_id, a.source, a.node, a.depth, min(r.relation_type) AS relation_type FROM reached a JOIN fx_relations r ON r.repo_id = a.repo_id AND r.src = a.node
+typed AS (SELECT a.repo_id, a.source, a.node, a.depth, min(r.relation_type) AS relation_type FROM reached a JOIN fx_src_relations r ON r.repo_id = a.repo_id AND r.src = a.node
   LEFT JOIN reached b ON b.repo_id = a.repo_id AND b.source = a.source AND b.node = r.dst
   WHERE coalesce(b.depth, CASE WHEN r.dst = a.source THEN 0 END) = a.depth - 1 GROUP BY 1, 2, 3, 4),
-used AS (SELECT s.repo_id, s.file_id, count(DISTINCT r.src) AS n FROM fx_relations r JOIN fx_symbols s ON s.repo_id = r.repo_id AND s.symbol_id = r.dst GROUP BY 1, 2),
+used AS (SELECT s.repo_id, s.file_id, count(DISTINCT r.src) AS n FROM fx_src_relations r JOIN fx_src_symbols s ON s.repo_id = r.repo_id AND s.symbol_id = r.dst GROUP BY 1, 2),
 scored AS (SELECT t.*, s.path, least(100, CASE depth WHEN 1 THEN 80 WHEN 2 THEN 50 ELSE 30 END + CASE WHEN relation_type IN ('extends', 'implements') THEN 10 ELSE 0 END
-  + CASE WHEN coalesce(u.n, 0) > 5 THEN 5 ELSE 0 END) AS risk FROM typed t JOIN fx_symbols s ON s.repo_id = t.repo_id AND s.symbol_id = t.node
+  + CASE WHEN coalesce(u.n, 0) > 5 THEN 5 ELSE 0 END + CASE WHEN regexp_matches(s.path, '/api/|route\\.(ts|js|tsx|jsx)$|handler\\.(ts|js)$|controller\\.(ts|js)$') THEN 10 ELSE 0 END) AS risk FROM typed t JOIN fx_src_symbols s ON s.repo_id = t.repo_id AND s.symbol_id = t.node
   LEFT JOIN used u ON u.repo_id = s.repo_id AND u.file_id = s.file_id)"""
-query("g14_risk_score", "fx_symbols", "fx_relations", body=f"""{_IMPACT} SELECT repo_id, source, node, depth, relation_type, CAST(risk AS INT) AS risk,
+query("g14_risk_score", "fx_src_symbols", "fx_src_relations", body=f"""{_IMPACT} SELECT repo_id, source, node, depth, relation_type, CAST(risk AS INT) AS risk,
  CASE depth WHEN 1 THEN 'direct' WHEN 2 THEN 'indirect' ELSE 'transitive' END AS level FROM scored""")(
     lambda s, r: traverse.impact(_sources(r), s, r).select("repo_id", "source", "node", "depth", "relation_type", "risk", "level")
 )
-query("g16_impacted_files", "fx_symbols", "fx_relations", body=f"{_IMPACT} SELECT repo_id, source, path, count(*) AS n_nodes, CAST(max(risk) AS INT) AS max_risk FROM scored GROUP BY 1, 2, 3")(
+query("g16_impacted_files", "fx_src_symbols", "fx_src_relations", body=f"{_IMPACT} SELECT repo_id, source, path, count(*) AS n_nodes, CAST(max(risk) AS INT) AS max_risk FROM scored GROUP BY 1, 2, 3")(
     lambda s, r: traverse.impacted_files(traverse.impact(_sources(r), s, r))
 )
-query("g17_impact_summary", "fx_symbols", "fx_relations", body=f"""{_IMPACT} SELECT repo_id, source, count(*) FILTER (depth = 1) AS n_direct, count(*) FILTER (depth = 2) AS n_indirect,
+query("g17_impact_summary", "fx_src_symbols", "fx_src_relations", body=f"""{_IMPACT} SELECT repo_id, source, count(*) FILTER (depth = 1) AS n_direct, count(*) FILTER (depth = 2) AS n_indirect,
  count(*) FILTER (depth > 2) AS n_transitive, count(DISTINCT path) AS n_files, count(*) FILTER (risk >= 70) AS n_high_risk FROM scored GROUP BY 1, 2""")(
     lambda s, r: traverse.impact_summary(traverse.impact(_sources(r), s, r))
 )

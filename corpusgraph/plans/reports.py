@@ -22,14 +22,14 @@ SELECT p_partkey, CAST(len(string_split(p_name, ' ')) AS INT) + 2 AS n FROM part
 """)(lambda p: p.select("p_partkey", reports.parameter_count(F.concat(
     F.lit("function f("), F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit(", cb: (a, b) => void, m: Map<k, v>): void"))).alias("n")))
 
-query("g18_impact_shares", "fx_symbols", "fx_relations", body=f"""{_IMPACT} SELECT repo_id, source, node, round(risk / sum(risk) OVER (PARTITION BY repo_id, source, depth), 6) AS share,
+query("g18_impact_shares", "fx_src_symbols", "fx_src_relations", body=f"""{_IMPACT} SELECT repo_id, source, node, round(risk / sum(risk) OVER (PARTITION BY repo_id, source, depth), 6) AS share,
  round(coalesce(sum(risk) OVER (PARTITION BY repo_id, source, depth ORDER BY risk DESC, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(risk) OVER (PARTITION BY repo_id, source, depth), 6) AS start FROM scored""")(
     lambda s, r: reports.impact_shares(traverse.impact(_sources(r), s, r)).select(
         "repo_id", "source", "node", F.round("share", 6).alias("share"), F.round("start", 6).alias("start"))
 )
 
-query("r8_k_hop", "fx_relations", body="WITH " + _REACH.format(to="to", at="at", depth=2).replace(
-    "JOIN fx_relations r", "JOIN (SELECT repo_id, src AS at, dst AS to FROM fx_relations UNION SELECT repo_id, dst, src FROM fx_relations) r"
+query("r8_k_hop", "fx_src_relations", body="WITH " + _REACH.format(to="to", at="at", depth=2).replace(
+    "JOIN fx_src_relations r", "JOIN (SELECT repo_id, src AS at, dst AS to FROM fx_src_relations UNION SELECT repo_id, dst, src FROM fx_src_relations) r"
 ).replace("r.to,", 'r."to",') + " SELECT * FROM reached")(
     lambda r: traverse.reach(_sources(r), r, max_depth=2, direction="both").select("repo_id", "source", "node", "depth")
 )

@@ -411,7 +411,7 @@ query("g13_impact_of_files", "fx_src_symbols", "fx_src_relations", body="""
 WITH RECURSIVE w(repo_id, source, node, depth) AS (SELECT repo_id, path, symbol_id, 0 FROM fx_src_symbols UNION SELECT w.repo_id, w.source, r.src, depth + 1 FROM w JOIN fx_src_relations r ON r.repo_id = w.repo_id AND r.dst = w.node WHERE depth < 4),
 m AS (SELECT repo_id, source, node, min(depth) AS depth FROM w GROUP BY 1, 2, 3) SELECT repo_id, source, node, depth FROM m WHERE depth > 0
 """)(lambda s, r: traverse.impact_of_files(s, s, r).select("repo_id", "source", "node", "depth"))
-query("g19_sort_impact", "fx_symbols", "fx_relations", body=f"""{_IMPACT} SELECT repo_id, source, node, CAST(row_number() OVER (PARTITION BY repo_id, source ORDER BY risk DESC, node) AS INT) AS place FROM scored WHERE depth = 1""")(
+query("g19_sort_impact", "fx_src_symbols", "fx_src_relations", body=f"""{_IMPACT} SELECT repo_id, source, node, CAST(row_number() OVER (PARTITION BY repo_id, source ORDER BY risk DESC, node) AS INT) AS place FROM scored WHERE depth = 1""")(
     lambda s, r: traverse.sort_impact(traverse.impact(_sources(r), s, r, max_depth=1), level="direct").select("repo_id", "source", "node", "place")
 )
 query("g23_api_flow_edges", "fx_src_symbols", "fx_src_relations", body="""

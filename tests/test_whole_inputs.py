@@ -21,17 +21,23 @@ def links():
     return set(zip(rows["l_partkey"].astype(str), rows["dst"].astype(int).astype(str), strict=True))
 
 
+@pytest.fixture(scope="module")
+def calls(spark):
+    """(src, dst) of the relations between source files."""
+    return {(r.src, r.dst) for r in frame(spark, FOLDER, "fx_src_relations").collect()}
+
+
 def test_relations_hold_every_link(spark, links):
     got = {(r.src, r.dst) for r in frame(spark, FOLDER, "fx_relations").select("src", "dst").distinct().collect()}
     assert got == links
 
 
-def test_call_chains_hold_every_link_on_the_way(spark, links):
+def test_call_chains_hold_every_link_on_the_way(spark, calls):
     to = {}
-    for a, b in links:
+    for a, b in calls:
         to.setdefault(a, set()).add(b)
     want = set()
-    for source in {x for link in links for x in link}:
+    for source in {x for link in calls for x in link}:
         seen, front = {source}, {source}
         for depth in range(1, 4):
             want |= {(source, x, y, depth) for x in front for y in to.get(x, ())}
@@ -42,15 +48,15 @@ def test_call_chains_hold_every_link_on_the_way(spark, links):
 
 
 @pytest.mark.parametrize("name, steps, depth", [("g12_impact", "in", 4), ("r8_k_hop", "both", 2)])
-def test_every_node_is_a_source(spark, links, name, steps, depth):
+def test_every_node_is_a_source(spark, calls, name, steps, depth):
     to = {}
-    for a, b in links:
+    for a, b in calls:
         if steps != "in":
             to.setdefault(a, set()).add(b)
         if steps != "out":
             to.setdefault(b, set()).add(a)
     want = set()
-    for source in {x for link in links for x in link}:
+    for source in {x for link in calls for x in link}:
         seen, front = {source}, {source}
         for d in range(1, depth + 1):
             front = {y for x in front for y in to.get(x, ())} - seen
