@@ -50,6 +50,17 @@ def package_names(manifests: DataFrame) -> DataFrame:
     return manifests.select("repo_id", F.from_json("content", "struct<name:string>")["name"].alias("name")).where("name IS NOT NULL")
 
 
+def read_manifests(files: DataFrame) -> DataFrame:
+    """(repo_id, name, dependencies): the root package.json of each repository of files (repo_id, path, content), with dependencies and
+    devDependencies in one map, the latter first where both name a package; files that are no JSON are left out."""
+    kind = "struct<name:string,dependencies:map<string,string>,devDependencies:map<string,string>>"
+    read = files.where("path = 'package.json'").select("repo_id", F.from_json("content", kind).alias("m")).where("m IS NOT NULL")
+    none = F.create_map().cast("map<string,string>")
+    plain, dev = F.coalesce("m.dependencies", none), F.coalesce("m.devDependencies", none)
+    only = F.map_filter(plain, lambda k, v: ~F.map_contains_key(dev, k))
+    return read.select("repo_id", F.col("m.name").alias("name"), F.map_concat(only, dev).alias("dependencies"))
+
+
 def import_patterns(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """Files that import another repository's package, by `from "name` or `require("name` in their text.
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 
 from ..operators import changes, crossrepo, domains, graph, health, relations, reports, retrieval, search, traverse, workspace
+from ..sources import files as file_tables
+from ..streaming import jobs
 from .code import _plain
 from .registry import _HEALTH, _IMPACT, _sources, query
 
@@ -485,3 +487,33 @@ SELECT DISTINCT a.repo_id, concat(a.file_id, ':f') AS src, concat(b.file_id, ':f
     s.where("kind = 'function'"),
     c.where("k = 7").select("repo_id", "path", F.concat(F.lit("../../mod/g"), F.col("g").cast("string"), F.lit("/service")).alias("source"), F.array(F.lit("build")).alias("names")),
     c.where("k = 6").select("repo_id", "path", F.lit("build").alias("name")), c))
+
+# ---- lines of version control, snapshots, manifests
+
+query("s11_parse_commits", "orders", body="""
+SELECT CAST(o_orderkey AS STRING) AS sha, CAST(o_custkey AS STRING) AS date, o_orderstatus AS author, concat('a|', o_orderpriority) AS subject FROM orders
+""")(lambda o: file_tables.parse_commits(o.select(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", F.lit("a"), "o_orderpriority").alias("value"))))
+query("s12_parse_numstat", "lineitem", body="""
+SELECT concat('p', CAST(l_partkey AS STRING), chr(9), 'q') AS path, CASE WHEN l_linenumber = 1 THEN 0 ELSE CAST(l_quantity AS INT) END AS additions, CAST(l_linenumber AS INT) AS deletions FROM lineitem
+""")(lambda l: file_tables.parse_numstat(l.select(F.concat_ws(
+    "\t", F.when(F.col("l_linenumber") == 1, "-").otherwise(F.col("l_quantity").cast("int").cast("string")), "l_linenumber", F.concat(F.lit("p"), "l_partkey"), F.lit("q")).alias("value"))))
+query("s13_parse_hunks", "lineitem", body="""
+SELECT CAST(line AS INT) AS line, count(*) AS n FROM (SELECT unnest(range(l_partkey, l_partkey + CASE WHEN l_linenumber = 2 THEN 1 ELSE greatest(l_linenumber - 1, 1) END)) AS line FROM lineitem) GROUP BY 1
+""")(lambda l: file_tables.parse_hunks(l.select(F.concat(
+    F.lit("@@ -1,2 +"), "l_partkey", F.when(F.col("l_linenumber") == 2, "").otherwise(F.concat(F.lit(","), (F.col("l_linenumber") - 1).cast("string"))), F.lit(" @@")).alias("value")))
+    .groupBy("line").agg(F.count("*").alias("n")))
+query("s3_drop_binary", "documents", body="SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 OR strlen(text) >= 8192")(
+    lambda d: file_tables.drop_binary(d.select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.encode("text", "UTF-8"), F.lit(b"\0"))).otherwise(F.encode("text", "UTF-8")).alias("bytes"))).select("doc_id")
+)
+query("s7_apply_snapshot", "fx_src", "fx_src_symbols", body="""
+SELECT repo_id, symbol_id FROM fx_src_symbols WHERE CAST(file_id AS BIGINT) % 3 <> 0 AND CAST(file_id AS BIGINT) % 4 <> 0 AND CAST(file_id AS BIGINT) % 5 <> 0
+""")(lambda f, s: file_tables.apply_snapshot({"symbols": s.where(F.col("file_id").cast("long") % 3 != 0)}, {}, file_tables.diff_snapshot(
+    f.where(F.col("file_id").cast("long") % 3 != 0).withColumn("content_hash", F.lit("old")),
+    f.where(F.col("file_id").cast("long") % 4 != 0).withColumn("content_hash", F.when(F.col("file_id").cast("long") % 5 == 0, "new").otherwise("old"))))["symbols"].select("repo_id", "symbol_id"))
+query("s14_manifest_tables", "fx_src", body="""
+SELECT DISTINCT repo_id, concat('@scope/pkg', repo_id[2:]) AS name, concat('@scope/pkg', CAST((CAST(repo_id[2:] AS INT) + 1) % 4 AS STRING)) AS dependency, '^1' AS version FROM fx_src
+""")(lambda f: crossrepo.read_manifests(_manifests(f).withColumn("path", F.lit("package.json")).unionByName(f.select("repo_id", "content", "path"))).select(
+    "repo_id", "name", F.explode("dependencies").alias("dependency", "version")))
+query("z3_progress_counts", "events", body="SELECT user_id AS job_id, event_type AS phase, count(*) AS n FROM events GROUP BY 1, 2")(
+    lambda e: jobs.progress_counts(e.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("phase")))
+)

@@ -35,3 +35,12 @@ def test_incremental_index_equals_the_last_snapshot(spark, tmp_path):
     stream = spark.readStream.schema(first.schema).parquet(str(tmp_path / "in"))
     jobs.incremental_index(stream, lambda: state, write, str(tmp_path / "state")).awaitTermination()
     assert sorted(map(tuple, state["files"].collect())) == sorted(map(tuple, second.collect()))
+
+
+def test_progress_counts_on_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("j", "scan"), ("j", "scan"), ("j", "chunk"), ("k", "scan")], "job_id string, phase string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    query = jobs.progress_counts(stream).writeStream.format("memory").queryName("progress").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(map(tuple, spark.table("progress").collect())) == [("j", "chunk", 1), ("j", "scan", 2), ("k", "scan", 1)]
