@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,6 +71,23 @@ def held_out(doc_id: Column, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == remainder
 
 
+def release_memory() -> None:
+    """Give back to the system what this Python worker has freed. Workers are used again by later stages, and idle ones keep what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow, which releases memory at the end of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release_memory()
+
+    return run
+
+
 def free_name(columns: list[str], name: str) -> str:
     """The name, or the first of name_1, name_2 ... that no column has (case aside, as Spark compares them)."""
     taken = {c.lower() for c in columns}
@@ -88,7 +107,7 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[
         for batch in work(batches):
             yield pa.RecordBatch.from_arrays(batch.columns, made.names)
 
-    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(placed, made).toDF(*schema.names)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(tidied(placed), made).toDF(*schema.names)
 
 
 def with_field(schema: T.StructType, name: str, kind: str) -> T.StructType:

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import free_name, map_rows, table, with_field
+from .base import free_name, map_rows, table, tidied, with_field
 
 _NEVER = np.int64(1 << 40)
 _PATTERN = (
@@ -334,7 +334,7 @@ def round_trip_digests(docs: DataFrame, path: str, *, with_ids: bool = False) ->
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(tidied(work), schema)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import map_rows, table
+from .base import map_rows, table, tidied
 from .words import LOOSE, runs, sequence_hashes, text_bytes, word_hashes
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -87,7 +87,7 @@ def word_shares(docs: DataFrame, words: np.ndarray) -> tuple[dict[int, int], int
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[some], pa.int64())], ["i", "n"])
 
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n"))
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(count), "i int, n long").groupBy("i").agg(F.sum("n"))
     rows = {r[0]: r[1] for r in counts.collect()}  # a row for each distinct word of a block of items at most
     return {int(w): rows.get(i, 0) for i, w in enumerate(wanted)}, rows.get(len(wanted), 0)
 
@@ -238,7 +238,7 @@ def contaminated(
                     ["doc_id", "item_id", "score", "end_word"],
                 )
 
-        out = out.unionByName(rows.mapInArrow(work, schema))
+        out = out.unionByName(rows.mapInArrow(tidied(work), schema))
     return out
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import free_name, kept_table, map_rows, quoted, table
+from .base import free_name, kept_table, map_rows, quoted, table, tidied
 
 #: What is stripped, and so never part of a key's ends.
 BLANK = " \t\n\x0b\f\r"
@@ -136,7 +136,7 @@ def line_references(docs: DataFrame, *, least: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(refer, "key binary, doc_id long")
+    return rows.mapInArrow(tidied(refer), "key binary, doc_id long")
 
 
 def _on_filters(filters: DataFrame, keys: DataFrame, work: str) -> DataFrame:

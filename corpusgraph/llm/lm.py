@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import held_out, kept_table, table
+from .base import held_out, kept_table, table, tidied
 from .words import mix, runs, text_bytes, word_hashes
 
 END = np.uint64(0x5AFE0E2D5AFE0E2D)
@@ -161,7 +161,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                     yield from counter.batches()
         yield from counter.batches()
 
-    return texts.mapInArrow(work, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidied(work), "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def count_pairs(texts: DataFrame, *, min_count: int = 1, tokens: int | None = None, segment_keys: int = 400_000) -> DataFrame:
@@ -204,7 +204,7 @@ def count_pairs(texts: DataFrame, *, min_count: int = 1, tokens: int | None = No
         kept = np.flatnonzero(total >= min_count)
         return pa.table({"key": keys[new[kept]].view(np.int64), "value": values[order[new[kept]]].view(np.int64), "n": total[kept]})
 
-    dealt = texts.mapInArrow(work, "segment long, keys binary, values binary, counts binary")
+    dealt = texts.mapInArrow(tidied(work), "segment long, keys binary, values binary, counts binary")
     return dealt.groupBy("segment").applyInArrow(merge, "key long, value long, n long")
 
 
@@ -258,7 +258,7 @@ def _filter_segments(entries: DataFrame, segments: int) -> DataFrame:
         data = np.packbits(bits, bitorder="little").tobytes()
         return pa.table({"segment": rows.column("segment").slice(0, 1), "bits": pa.array([data], pa.binary())})
 
-    dealt = entries.mapInArrow(deal, "segment int, key long, low int, high int")
+    dealt = entries.mapInArrow(tidied(deal), "segment int, key long, low int, high int")
     return dealt.groupBy("segment").applyInArrow(build, "segment int, bits binary")
 
 
@@ -312,7 +312,7 @@ def fit_language_model(
     all_entries = counts.select("key", F.lit(False).alias("pair"), F.lit(1).alias("low"), level.alias("high")).unionByName(
         pairs.select("key", F.lit(True).alias("pair"), F.lit(lowest).alias("low"), level.alias("high"))
     )
-    hashed = all_entries.mapInArrow(keys, "key long, low int, high int")
+    hashed = all_entries.mapInArrow(tidied(keys), "key long, low int, high int")
     filter_rows = kept_table(_filter_segments(hashed, segments))
     return LanguageModel(frequent, filter_rows, segments, counts, n or 0, distinct, seen or 0.0, lowest, discount)
 
@@ -337,7 +337,7 @@ def _read_levels(rows: DataFrame, model: LanguageModel, part: FilterPart) -> Dat
                     made.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(made, pa.binary())], ["id", "doc_id", "text", "levels"])
 
-    return rows.mapInArrow(work, "id long, doc_id long, text string, levels binary")
+    return rows.mapInArrow(tidied(work), "id long, doc_id long, text string, levels binary")
 
 
 def read_tokens(part: FilterPart, lowest: int, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -415,7 +415,7 @@ def score_texts(docs: DataFrame, model: LanguageModel, *, broadcast_bytes: int =
             )
 
     schema = "id long, doc_id long, n_tokens long, n_frequent long, base double, score double, rare array<struct<key: long, value: double, share: double>>"
-    scored = kept_table(rows.mapInArrow(work, schema))
+    scored = kept_table(rows.mapInArrow(tidied(work), schema))
     rare = scored.select("id", F.inline("rare"))
     joined = rare.join(model.counts, "key", "left")
     kept = F.coalesce("t", F.lit(0.0))

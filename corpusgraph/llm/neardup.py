@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import kept_table, table
+from .base import kept_table, table, tidied
 from .components import connected_components
 from .words import mix, runs, shingle_sets, text_bytes, word_hashes
 
@@ -93,7 +93,7 @@ def text_signatures(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n long, node long, signature binary")
+    return rows.mapInArrow(tidied(work), "doc_id long, n long, node long, signature binary")
 
 
 def _signs(column: pa.Array) -> np.ndarray:
@@ -124,7 +124,7 @@ def _keys(nodes: DataFrame) -> DataFrame:
                     [pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), KEYS))], ["key", "node"]
                 )
 
-    return nodes.select("node", "signature").mapInArrow(work, "key long, node long")
+    return nodes.select("node", "signature").mapInArrow(tidied(work), "key long, node long")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             near = (_signs(batch.column(2)) == _signs(batch.column(3))).sum(axis=1) >= LEAST_EQUAL
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near))
 
-    return both.select("u", "v", "s_u", "s_v").mapInArrow(work, "u long, v long")
+    return both.select("u", "v", "s_u", "s_v").mapInArrow(tidied(work), "u long, v long")
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
@@ -158,7 +158,7 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, broadcast_
                 data = [shingles[at[k] : at[k + 1]].tobytes() for k in own.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(wanted_nodes[i + own]), pa.array(data, pa.binary())], ["node", "shingles"])
 
-    return rows.mapInArrow(work, "node long, shingles binary").dropDuplicates(["node"])
+    return rows.mapInArrow(tidied(work), "node long, shingles binary").dropDuplicates(["node"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok.append(100 * common >= 75 * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("u", "v", "s_u", "s_v").mapInArrow(work, "u long, v long")
+    return both.select("u", "v", "s_u", "s_v").mapInArrow(tidied(work), "u long, v long")
 
 
 def _common_counts(sets: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def _common_counts(sets: DataFrame) -> DataFrame:
                 owner = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in data])
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), pa.array(owner)], ["shingle", "node"])
 
-    held = sets.mapInArrow(spread, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node"))
+    held = sets.mapInArrow(tidied(spread), "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node"))
     return held.where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
 
 
@@ -206,7 +206,7 @@ def _sketches(sets: DataFrame) -> DataFrame:
                     out[:, k] = mix(np.minimum.reduceat((shingles ^ _SKETCH_SHIFTS[k]) * _SKETCH_FACTORS[k], at)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in out], pa.binary())], ["node", "sketch"])
 
-    return sets.mapInArrow(work, "node long, sketch binary")
+    return sets.mapInArrow(tidied(work), "node long, sketch binary")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import free_name, held_out, kept_table, map_rows, table, with_field
+from .base import free_name, held_out, kept_table, map_rows, table, tidied, with_field
 from .calibration import calibrate, fit_isotonic
 from .words import runs, sequence_hashes, shingle_sets, text_bytes, word_hashes
 
@@ -114,7 +114,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["doc_id", "stats"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, stats array<double>")
+    return rows.mapInArrow(tidied(work), "doc_id long, stats array<double>")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:

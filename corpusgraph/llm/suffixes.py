@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import kept_table, table
+from .base import kept_table, table, tidied
 from .words import _BYTE, _power_tables, mix, runs, text_bytes, word_hashes
 
 GRAM = 64
@@ -104,7 +104,7 @@ def suffix_entries(docs: DataFrame, *, length: int = 400) -> DataFrame:
                     ["anchor", "run", "d", "t", "low", "n", "self"],
                 )
 
-    return _identified(docs).mapInArrow(work, "anchor long, run long, d long, t long, low long, n long, self boolean")
+    return _identified(docs).mapInArrow(tidied(work), "anchor long, run long, d long, t long, low long, n long, self boolean")
 
 
 class SuffixIndex:
@@ -163,7 +163,7 @@ def _slices(docs: DataFrame, entries: DataFrame, length: int, broadcast_rows: in
                     ),
                 )
 
-    return rows.mapInArrow(work, schema).dropDuplicates(["anchor", "d", "t", "low"])
+    return rows.mapInArrow(tidied(work), schema).dropDuplicates(["anchor", "d", "t", "low"])
 
 
 def _windows(data: bytes, length: int) -> np.ndarray:
@@ -220,7 +220,7 @@ def _dealt_windows(slices: DataFrame, length: int) -> DataFrame:
                     ["w", "d", "t", "start", "c"],
                 )
 
-    rows = slices.select("d", "t", "low", "c", "bytes").mapInArrow(cut, "w long, d long, t long, start long, c long")
+    rows = slices.select("d", "t", "low", "c", "bytes").mapInArrow(tidied(cut), "w long, d long, t long, start long, c long")
     twice = rows.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
     found = rows.where("c = 1").join(twice, "w", "left_semi")
     return found.select("d", "t", "start", (F.col("start") + length).alias("end"))
@@ -269,7 +269,7 @@ def shared_passages(docs: DataFrame, *, words: int = 51, gram: int = 8, broadcas
                 yield pa.RecordBatch.from_arrays(made, ["r", "anchor", "kind", "low", "n"])
 
     texts = _identified(docs).select(F.xxhash64("d", "t").alias("r"), "text")
-    entries = kept_table(texts.mapInArrow(find, "r long, anchor long, kind long, low int, n int"))
+    entries = kept_table(texts.mapInArrow(tidied(find), "r long, anchor long, kind long, low int, n int"))
     kinds = kept_table(entries.groupBy("kind").agg(
         F.min("anchor").alias("anchor"), F.min("n").alias("n"), (F.min("r") != F.max("r")).alias("shared"), F.count("*").alias("c"),
         F.min(F.struct("r", "low")).alias("one")))
@@ -299,7 +299,7 @@ def shared_passages(docs: DataFrame, *, words: int = 51, gram: int = 8, broadcas
                     [pa.array(w.view(np.int64)), r, pa.array(place), pa.array(c.astype(np.int64)), pa.array(shared.astype(bool))], ["w", "r", "start", "c", "shared"]
                 )
 
-    windows = kept_table(met.select("r", "text", "cuts").mapInArrow(cut, "w long, r long, start long, c long, shared boolean"))
+    windows = kept_table(met.select("r", "text", "cuts").mapInArrow(tidied(cut), "w long, r long, start long, c long, shared boolean"))
     several = windows.groupBy("w").agg((F.max("shared") | (F.min("r") != F.max("r"))).alias("several")).where("several").select("w")
     parts = windows.where("NOT shared").join(several, "w", "left_semi").dropDuplicates(["w", "r", "start"]).select("r", F.col("c").alias("n"))
     found = whole.unionByName(parts).groupBy("r").agg(F.sum("n").alias("n"))
@@ -341,7 +341,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, broadcast_rows: int = 100_000)
                 ["doc_id", "t", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return rows.mapInArrow(work, "doc_id long, t long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(tidied(work), "doc_id long, t long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

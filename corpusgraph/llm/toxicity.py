@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import held_out, kept_table, table
+from .base import held_out, kept_table, table, tidied
 from .calibration import calibrate, fit_isotonic
 from .quality import training_labels
 
@@ -98,7 +98,7 @@ def _telling_words(sample: DataFrame, n_toxic: int, n_ordinary: int, share: floa
                 ["word", "label", "n"],
             )
 
-    counts = sample.mapInArrow(work, "word binary, label int, n long").groupBy("word").agg(
+    counts = sample.mapInArrow(tidied(work), "word binary, label int, n long").groupBy("word").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("ordinary"),
     )
@@ -152,7 +152,7 @@ def fit_toxicity(
                     found += own[:: max(1, len(own) // each)][:each]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["w"])
 
-        rows = sample.where(F.col("label") == label).mapInArrow(cut, "w binary")
+        rows = sample.where(F.col("label") == label).mapInArrow(tidied(cut), "w binary")
         return [bytes(r.w)[:window_bytes] for r in rows.limit(window_sample).collect()]
 
     repeats = [w for w, k in telling for _ in range(max(1, round(2_000 * k / n[1])))]
@@ -172,7 +172,7 @@ def fit_toxicity(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.int64()))], ["label", "h"])
 
     spread = sample.repartition(64)
-    rows = spread.mapInArrow(measure, "label int, h array<long>").collect()  # at most 2 * sample_rows rows of 16 counts
+    rows = spread.mapInArrow(tidied(measure), "label int, h array<long>").collect()  # at most 2 * sample_rows rows of 16 counts
     label = np.array([r.label for r in rows])
     counts = np.array([r.h for r in rows], float)
     seen = [counts[label == k].sum(axis=0) + 1 for k in (0, 1)]
@@ -197,7 +197,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, score double")
+    return rows.mapInArrow(tidied(work), "doc_id long, score double")
 
 
 def op4_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _PLACES = (_RNG.integers(0, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 #: Texts of a batch are worked on in runs of about so many bytes, to bound memory.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 _powers: list[np.ndarray] = []
 
@@ -37,7 +37,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
             table = np.full(max(n, RUN_BYTES + 1), base, np.uint64)
             table[0] = 1
             made.append(np.cumprod(table, dtype=np.uint64))
-        if n > 8 * RUN_BYTES:  # one enormous text: don't keep its tables
+        if n > 16 * RUN_BYTES:  # one enormous text: don't keep its tables
             return made[0], made[1]
         _powers[:] = made
     return _powers[0], _powers[1]
