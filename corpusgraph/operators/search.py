@@ -94,16 +94,19 @@ def lexical_with_fallback(queries: DataFrame, chunks: DataFrame, *, k: int = 20,
     exact = settled(retrieval.lexical_topk(queries, chunks, k=k))
     counts = exact.groupBy("query_id").agg(F.count("*").alias("n"))
     short = settled(queries.join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select(
-        *[c for c in ("query_id", "repo_id") if c in queries.columns], F.coalesce("n", F.lit(0)).alias("n"), trigrams(F.col("text")).alias("q")))
+        *[c for c in ("query_id", "repo_id") if c in queries.columns], F.coalesce("n", F.lit(0)).alias("n"), trigrams(F.col("text")).alias("q"))
+        .withColumn("n_q", F.size("q")))
     same_repo = "repo_id" in queries.columns and "repo_id" in chunks.columns
-    grams = chunks.select("chunk_id", *(["repo_id"] if same_repo else []), trigrams(F.col("content")).alias("c"))
+    grams = chunks.select("chunk_id", *(["repo_id"] if same_repo else []), trigrams(F.col("content")).alias("c")).withColumn("n_c", F.size("c"))
     blocks = max(1, -(-short.count() // BLOCK))
     found = []
     for i in range(blocks):
         own = F.broadcast(short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
         met = grams.join(own, "repo_id") if same_repo else grams.crossJoin(own)
+        # a similarity is at most the smaller number of trigrams over the larger one, which leaves out most pairs at once
+        met = met.where(F.least("n_q", "n_c") > least * F.greatest("n_q", "n_c"))
         common = F.size(F.array_intersect("q", "c"))
-        similarity = common / (F.size("q") + F.size("c") - common)
+        similarity = common / (F.col("n_q") + F.col("n_c") - common)
         found.append(met.select("query_id", "chunk_id", "n", similarity.alias("similarity")).where(F.col("similarity") > least))
     near = reduce(DataFrame.unionByName, found).join(exact, ["query_id", "chunk_id"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
