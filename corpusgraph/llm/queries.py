@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lines, lm, neardup, quality, suffixes, topk, toxicity
+from . import bpe, decontam, language, lexical, lines, lm, neardup, quality, suffixes, topk, toxicity, whitening
 from .sharding import op9_hilbert_shards
 
 
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeated_passages": suffixes.op8_repeated_passages,
         "op10_contaminated": decontam.op10_contaminated,
         "op9_hilbert_shards": op9_hilbert_shards,
+        "op11_languages": language.op11_languages,
+        "op12_whitened": whitening.op12_whitened,
+        "op13_lexical_search": lexical.op13_lexical_search,
     }
 
 
@@ -29,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_kd_top_k": topk.OP2_SQL,
         "op6_line_dedup": lines.OP6_SQL,
+        "op13_lexical_search": lexical.OP13_SQL,
     }
