@@ -69,90 +69,6 @@ def semantic_topk(queries: DataFrame, vectors: DataFrame, *, k: int = 20, min_si
     return best.join(asked.select("q", "query_id"), "q").select("query_id", "chunk_id", "similarity", "rank")
 
 
-def terms_of(text_column: str) -> F.Column:
-    return F.filter(F.split(F.lower(text_column), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
-
-
-def postings(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, length, and repo_id if there is one) of the wanted terms (term) in chunks (chunk_id, content)."""
-    repo = [c for c in ("repo_id",) if c in chunks.columns]
-    words = chunks.select("chunk_id", *repo, terms_of("content").alias("terms")).withColumn("length", F.size("terms"))
-    few = wanted.count() <= 500_000  # terms of the queries, not of the corpus; more of them are joined by a shuffle
-    each = words.select("chunk_id", *repo, "length", F.explode("terms").alias("term")).join(F.broadcast(wanted) if few else wanted, "term")
-    return each.groupBy("term", "chunk_id", *repo, "length").agg(F.count("*").alias("tf"))
-
-
-def lexical_topk(queries: DataFrame, chunks: DataFrame, *, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, score, rank): chunks with all terms of queries (query_id, text), by BM25 rounded to 6 places.
-
-    If both have a repo_id, only those of one repository meet; frequencies are of all chunks. Only the queries' terms leave the chunks. A
-    chunk with all terms of a query has its rarest one, so only the chunks of that term meet the query's other terms.
-    """
-    repo = [c for c in ("repo_id",) if c in queries.columns and c in chunks.columns]
-    wanted = queries.select("query_id", *repo, F.explode(F.array_distinct(terms_of("text"))).alias("term"))
-    wanted = wanted.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
-    index = settled(postings(chunks, settled(wanted.select("term").distinct())))
-    totals = chunks.select(F.size(terms_of("content")).alias("n")).agg(F.count("*").alias("n_chunks"), F.avg("n").alias("mean_length"))
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = settled(wanted.join(frequency, "term"))
-    rarest = wanted.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))).where("n = 1").select("query_id", *repo, "term")
-    met = index.join(rarest, ["term", *repo]).select("query_id", "chunk_id")
-    hits = met.join(wanted, "query_id").join(index, ["chunk_id", "term"])
-    rows = hits.crossJoin(F.broadcast(totals))  # totals is one row
-    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = rows.groupBy("query_id", "chunk_id", "n_terms").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    matched = scored.where("matched = n_terms").withColumn("rank", F.row_number().over(order))
-    return matched.where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
-
-
-def web_terms(text: Column) -> Column:
-    """The clauses of a search in web syntax: an array of (clause, negative, terms). Terms of a clause are alternatives' words in a row: a quoted
-    phrase has several, a word one. Words around OR share a clause; a word or phrase after - must not occur."""
-    tokens = F.regexp_extract_all(text, F.lit(r'-?"[^"]*"|\S+'), F.lit(0))
-    start = F.struct(F.lit(0).alias("clause"), F.lit(False).alias("joined"), F.array().cast("array<struct<clause:int,negative:boolean,terms:array<string>>>").alias("out"))
-
-    def step(a: Column, t: Column) -> Column:
-        words = F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-        negative = t.startswith("-")
-        clause = a["clause"] + F.when(a["joined"] & (F.size(a["out"]) > 0), 0).otherwise(1)
-        item = F.struct(clause.cast("int").alias("clause"), negative.alias("negative"), words.alias("terms"))
-        is_or = t == "OR"
-        return F.struct(
-            F.when(is_or | (F.size(words) == 0), a["clause"]).otherwise(clause).alias("clause"),
-            F.when(F.size(words) == 0, a["joined"]).otherwise(is_or).alias("joined"),
-            F.when(is_or | (F.size(words) == 0), a["out"]).otherwise(F.concat(a["out"], F.array(item))).alias("out"),
-        )
-
-    return F.aggregate(tokens, start, step)["out"]
-
-
-def web_search(queries: DataFrame, chunks: DataFrame, *, k: int = 20) -> DataFrame:
-    """(query_id, chunk_id, n_hits, rank): chunks that meet all clauses of queries (query_id, text) in web syntax and none of the negative ones.
-
-    n_hits counts the alternatives that occur; ties by chunk. Words are looked up by their postings, phrases then in the words of the chunks
-    that have all of them. A query of negative clauses only finds nothing.
-    """
-    clauses = settled(queries.select("query_id", F.posexplode(web_terms(F.col("text"))).alias("item", "x")).select("query_id", "item", "x.*"))
-    terms = clauses.select("query_id", "item", F.explode(F.array_distinct("terms")).alias("term"))
-    index = postings(chunks, settled(terms.select("term").distinct()))
-    sizes = clauses.select("query_id", "item", F.size(F.array_distinct("terms")).alias("n"))
-    have = index.join(terms, "term").groupBy("query_id", "item", "chunk_id").agg(F.count("*").alias("m")).join(sizes, ["query_id", "item"]).where("m = n")
-    rows = settled(have.join(clauses, ["query_id", "item"]).select("query_id", "item", "chunk_id", "clause", "negative", "terms"))
-    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    phrases = rows.where(F.size("terms") > 1).join(chunks.select("chunk_id", "content"), "chunk_id")
-    phrases = phrases.where(F.contains(spaced(terms_of("content")), spaced(F.col("terms")))).drop("content")
-    hits = rows.where(F.size("terms") == 1).unionByName(phrases)
-    wanted = clauses.where("NOT negative").groupBy("query_id").agg(F.countDistinct("clause").alias("n_clauses"))
-    good = hits.groupBy("query_id", "chunk_id").agg(
-        F.countDistinct(F.when(~F.col("negative"), F.col("clause"))).alias("met"), F.count_if(~F.col("negative")).alias("n_hits"), F.max("negative").alias("bad")
-    )
-    good = good.join(wanted, "query_id").where("met = n_clauses AND NOT bad")
-    order = Window.partitionBy("query_id").orderBy(F.desc("n_hits"), "chunk_id")
-    return good.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "n_hits", "rank")
-
-
 def minmax_normalize(scored: DataFrame) -> DataFrame:
     """score to 0..1 for each query and strategy; where all are equal, 1 if over 0 else 0."""
     w = Window.partitionBy("query_id", "strategy")

@@ -5,17 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import intent_of, symbol_candidates, trigrams
-from . import domains, relations, reports, retrieval, traverse
+from ..functions.text import intent_of, symbol_candidates
+from . import domains, lexical, relations, reports, retrieval, traverse
 from .settled import settled
 
-#: How many rows of queries are broadcast at once.
-BLOCK = 2_000
 # Words for a language in a question, in the order in which they are looked for.
 LANGUAGE_WORDS = [
     ("typescript", "typescript"), (" ts ", "typescript"), ("javascript", "javascript"), (" js ", "javascript"), ("python", "python"), (" py ", "python"),
@@ -65,57 +61,6 @@ def _top(rows: DataFrame, by: list, k: int, *order: Column | str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def semantic_topk_approx(
-    queries: DataFrame, vectors: DataFrame, *, k: int = 20, min_similarity: float = 0.3, tables: int = 6, bucket: float = 1.0, sample_rows: int = 10_000
-) -> DataFrame:
-    """As retrieval.semantic_topk, through random projections of unit vectors; candidates are scored exactly.
-
-    Vectors that share a bucket of one of the `tables` projections meet. The index is fitted on a bounded sample (only its dimension is learnt)
-    and holds every row; more tables and wider buckets find more.
-    """
-    number = lambda c: F.transform(c, lambda x: x.cast("double"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    unit = lambda c: array_to_vector(F.transform(c, lambda x: x / norm(c)))
-    q = queries.select("query_id", number(F.col("vector")).alias("q")).withColumn("unit", unit(F.col("q")))
-    v = vectors.select("chunk_id", number(F.col("embedding")).alias("v")).withColumn("unit", unit(F.col("v")))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=bucket, numHashTables=tables, seed=11).fit(v.limit(sample_rows))
-    found = model.approxSimilarityJoin(q, v, (2 - 2 * min_similarity) ** 0.5 + 1e-6, "distance")
-    a, b = F.col("datasetA.q"), F.col("datasetB.v")
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = found.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(dot / (norm(a) * norm(b)), 6).alias("similarity"))
-    return _top(rows.where(F.col("similarity") >= min_similarity), ["query_id"], k, F.desc("similarity"), "chunk_id")
-
-
-def lexical_with_fallback(queries: DataFrame, chunks: DataFrame, *, k: int = 20, least: float = 0.1, share: float = 0.5) -> DataFrame:
-    """(query_id, chunk_id, score, rank): lexical_topk, and for queries short of k the chunks of the most similar trigrams, at `share` of that score.
-
-    Only the queries that are short go on; they are broadcast in blocks and held against the chunks' trigrams.
-    """
-    exact = settled(retrieval.lexical_topk(queries, chunks, k=k))
-    counts = exact.groupBy("query_id").agg(F.count("*").alias("n"))
-    short = settled(queries.join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select(
-        *[c for c in ("query_id", "repo_id") if c in queries.columns], F.coalesce("n", F.lit(0)).alias("n"), trigrams(F.col("text")).alias("q"))
-        .withColumn("n_q", F.size("q")))
-    same_repo = "repo_id" in queries.columns and "repo_id" in chunks.columns
-    grams = chunks.select("chunk_id", *(["repo_id"] if same_repo else []), trigrams(F.col("content")).alias("c")).withColumn("n_c", F.size("c"))
-    blocks = max(1, -(-short.count() // BLOCK))
-    found = []
-    for i in range(blocks):
-        own = F.broadcast(short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
-        met = grams.join(own, "repo_id") if same_repo else grams.crossJoin(own)
-        # a similarity is at most the smaller number of trigrams over the larger one, which leaves out most pairs at once
-        met = met.where(F.least("n_q", "n_c") > least * F.greatest("n_q", "n_c"))
-        common = F.size(F.array_intersect("q", "c"))
-        similarity = common / (F.col("n_q") + F.col("n_c") - common)
-        found.append(met.select("query_id", "chunk_id", "n", similarity.alias("similarity")).where(F.col("similarity") > least))
-    near = reduce(DataFrame.unionByName, found).join(exact, ["query_id", "chunk_id"], "left_anti")
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-    near = near.withColumn("rank", F.row_number().over(order) + F.col("n").cast("int")).where(F.col("rank") <= k)
-    return exact.select("query_id", "chunk_id", "score", "rank").unionByName(
-        near.select("query_id", "chunk_id", F.round(F.col("similarity") * share, 6).alias("score"), "rank")
-    )
-
-
 def candidate_names(queries: DataFrame) -> DataFrame:
     """(query_id, repo_id, name): the identifiers of each question."""
     return queries.select("query_id", "repo_id", F.explode(symbol_candidates(F.col("text"))).alias("name")).distinct()
@@ -218,7 +163,7 @@ def candidates(queries: DataFrame, corpus: Corpus, *, pool: int = 20, min_simila
     vectors = corpus.embeddings.join(chunks.select("chunk_id", "repo_id"), "chunk_id")
     found = [
         retrieval.semantic_topk(queries, vectors, k=pool, min_similarity=min_similarity).select("query_id", "chunk_id", F.col("similarity").alias("score"), F.lit("semantic").alias("strategy")),
-        lexical_with_fallback(queries, chunks, k=pool).select("query_id", "chunk_id", "score", F.lit("lexical").alias("strategy")),
+        lexical.lexical_with_fallback(queries, chunks, k=pool).select("query_id", "chunk_id", "score", F.lit("lexical").alias("strategy")),
         structural_topk(candidate_names(queries), corpus.symbols, corpus.relations, chunks).select("query_id", "chunk_id", "score", F.lit("structural").alias("strategy")),
     ]
     return reduce(DataFrame.unionByName, found)

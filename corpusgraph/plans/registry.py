@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import graph, health, retrieval, traverse, workspace
+from ..operators import graph, health, lexical, retrieval, traverse, workspace
 from ..sources import files as file_tables
 from ..streaming import jobs
 from .fixtures import frame, sql
@@ -277,7 +277,7 @@ df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 s AS (SELECT query_id, chunk_id, nt, count(*) AS m, round(sum(ln(1 + (nc - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / ml))), 6) AS score
  FROM p JOIN q USING (term) JOIN df USING (term), tot GROUP BY 1, 2, 3)
 SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE m = nt) WHERE rank <= 20
-""")(lambda c, b: retrieval.lexical_topk(b.select(F.col("item_id").alias("query_id"), "text"), c.drop("repo_id")))
+""")(lambda c, b: lexical.lexical_topk(b.select(F.col("item_id").alias("query_id"), "text"), c.drop("repo_id")))
 
 query("r4_trigram_similarity", "part", body="""
 WITH w AS (SELECT p_partkey, unnest(list_filter(string_split_regex(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w, 0 AS side FROM part

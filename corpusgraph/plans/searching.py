@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from ..operators import changes, crossrepo, domains, graph, health, relations, reports, retrieval, search, traverse, workspace
+from ..operators import changes, crossrepo, domains, graph, health, inverted, lexical, relations, reports, retrieval, search, traverse, workspace
 from ..sources import files as file_tables
 from ..streaming import jobs
 from .code import _plain
@@ -133,28 +133,50 @@ SELECT query_id, r.chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER
     _questions(c).select("query_id", domains.question_domain(F.col("text")).alias("query_domain")), "query_id")).select("query_id", "chunk_id", "place"))
 
 _GRAM = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
-query("r5_lexical_with_fallback", "fx_src_chunks", "region", body=f"""
-WITH q AS (SELECT r_regionkey AS query_id, concat('export function ', lower(r_name)) AS text FROM region UNION ALL SELECT 100 + r_regionkey, 'NextResponse users' FROM region WHERE r_regionkey < 2),
-t AS (SELECT chunk_id, list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS terms, {_GRAM.format('content')} AS grams FROM fx_src_chunks),
+_WORDS = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
+_BM25 = "round(sum(ln(1 + (nc - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / ml))), 6)"
+query("r5_lexical_with_fallback", "fx_src_chunks", "region", "benchmark", body=f"""
+WITH q AS (SELECT r_regionkey AS query_id, concat('export function ', lower(r_name)) AS text FROM region UNION ALL SELECT 100 + r_regionkey, 'NextResponse users' FROM region WHERE r_regionkey < 2
+ UNION ALL SELECT 1000 + item_id, text FROM benchmark),
+t AS (SELECT chunk_id, {_WORDS.format('content')} AS terms, {_GRAM.format('content')} AS grams FROM fx_src_chunks),
 p AS (SELECT chunk_id, n, term, count(*) AS tf FROM (SELECT chunk_id, len(terms) AS n, unnest(terms) AS term FROM t) GROUP BY ALL), tot AS (SELECT count(*) AS nc, avg(len(terms)) AS ml FROM t),
-w AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS nt FROM (SELECT query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> ''))) AS term FROM q)),
+w AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS nt FROM (SELECT query_id, unnest(list_distinct({_WORDS.format('text')})) AS term FROM q)),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-s AS (SELECT query_id, chunk_id, nt, count(*) AS m, round(sum(ln(1 + (nc - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / ml))), 6) AS score FROM p JOIN w USING (term) JOIN df USING (term), tot GROUP BY 1, 2, 3),
+s AS (SELECT query_id, chunk_id, nt, count(*) AS m, {_BM25} AS score FROM p JOIN w USING (term) JOIN df USING (term), tot GROUP BY 1, 2, 3),
 e AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE m = nt) WHERE rank <= 20),
 c AS (SELECT q.query_id, {_GRAM.format('text')} AS grams, (SELECT count(*) FROM e WHERE e.query_id = q.query_id) AS k FROM q),
 g AS (SELECT c.query_id, t.chunk_id, k, len(list_intersect(c.grams, t.grams)) / (len(c.grams) + len(t.grams) - len(list_intersect(c.grams, t.grams)))::DOUBLE AS sim FROM c, t WHERE k < 20),
 h AS (SELECT query_id, chunk_id, sim, k + row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM g WHERE sim > 0.1 AND NOT EXISTS (SELECT 1 FROM e WHERE e.query_id = g.query_id AND e.chunk_id = g.chunk_id))
 SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM e UNION ALL SELECT query_id, chunk_id, round(sim * 0.5, 6), CAST(rank AS INT) FROM h WHERE rank <= 20
-""")(lambda c, r: search.lexical_with_fallback(
-    r.select(F.col("r_regionkey").alias("query_id"), F.concat(F.lit("export function "), F.lower("r_name")).alias("text"))
-    .unionByName(r.where("r_regionkey < 2").select((F.col("r_regionkey") + 100).alias("query_id"), F.lit("NextResponse users").alias("text"))), c))
-query("r3_web_search", "fx_src_chunks", "region", body="""
-WITH t AS (SELECT chunk_id, concat(' ', array_to_string(list_filter(string_split_regex(lower(content), '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''), ' '), ' ') AS b FROM fx_src_chunks),
-h AS (SELECT 1 AS query_id, chunk_id, 1 + CAST(contains(b, ' get ') AS INT) + CAST(contains(b, ' post ') AS INT) AS n_hits FROM t WHERE contains(b, ' export async function ') AND (contains(b, ' get ') OR contains(b, ' post ')) AND NOT contains(b, ' try ')
- UNION ALL SELECT 2, chunk_id, 2 FROM t WHERE contains(b, ' class ') AND contains(b, ' extends '))
-SELECT query_id, chunk_id, CAST(n_hits AS BIGINT) AS n_hits, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_hits DESC, chunk_id) AS rank FROM h) WHERE rank <= 20
-""")(lambda c, r: retrieval.web_search(r.where("r_regionkey IN (1, 2)").select(
-    F.col("r_regionkey").cast("int").alias("query_id"), F.when(F.col("r_regionkey") == 1, '"export async function" GET OR POST -try').otherwise("class extends").alias("text")), c))
+""")(lambda c, r, b: lexical.lexical_with_fallback(
+    r.select(F.col("r_regionkey").cast("long").alias("query_id"), F.concat(F.lit("export function "), F.lower("r_name")).alias("text"))
+    .unionByName(r.where("r_regionkey < 2").select((F.col("r_regionkey") + 100).cast("long").alias("query_id"), F.lit("NextResponse users").alias("text")))
+    .unionByName(b.select((F.col("item_id") + 1000).alias("query_id"), "text")), c))
+
+
+def _web_queries(b):
+    """Of the first words of each benchmark text, in web syntax: the first two in a row or the third, and the fourth, and not the fifth; and the same without the last."""
+    w = lexical.terms_of("text")
+    some = b.select("item_id", *(F.get(w, F.lit(i)).alias(f"w{i + 1}") for i in range(5)))
+    either = F.format_string('"%s %s" OR %s %s', "w1", "w2", "w3", "w4")
+    return some.select(F.inline(F.array(
+        F.struct((F.col("item_id") * 2).alias("query_id"), F.concat(either, F.lit(" -"), F.col("w5")).alias("text")), F.struct((F.col("item_id") * 2 + 1).alias("query_id"), either.alias("text"))
+    )))
+
+
+query("r3_web_search", "fx_chunks", "benchmark", body=f"""
+WITH t AS (SELECT chunk_id, {_WORDS.format('content')} AS terms FROM fx_chunks),
+pos AS (SELECT chunk_id, len(terms) AS n, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM t),
+p AS (SELECT chunk_id, n, term, count(*) AS tf FROM pos GROUP BY ALL), tot AS (SELECT count(*) AS nc, avg(len(terms)) AS ml FROM t), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
+q AS (SELECT item_id * 2 AS query_id, w, w[5] AS no FROM b UNION ALL SELECT item_id * 2 + 1, w, NULL FROM b),
+ph AS (SELECT DISTINCT query_id, x.chunk_id FROM q JOIN pos x ON x.term = w[1] JOIN pos y ON y.chunk_id = x.chunk_id AND y.term = w[2] AND y.i = x.i + 1),
+m AS (SELECT q.query_id, d.chunk_id, list_distinct(CASE WHEN ph.chunk_id IS NULL THEN [] ELSE w[1:2] END || CASE WHEN c.chunk_id IS NULL THEN [] ELSE w[3:3] END || w[4:4]) AS terms
+ FROM q JOIN p d ON d.term = w[4] LEFT JOIN ph ON ph.query_id = q.query_id AND ph.chunk_id = d.chunk_id LEFT JOIN p c ON c.term = w[3] AND c.chunk_id = d.chunk_id LEFT JOIN p e ON e.term = no AND e.chunk_id = d.chunk_id
+ WHERE e.chunk_id IS NULL AND (ph.chunk_id IS NOT NULL OR c.chunk_id IS NOT NULL)),
+s AS (SELECT query_id, chunk_id, {_BM25} AS score FROM (SELECT query_id, chunk_id, unnest(terms) AS term FROM m) JOIN p USING (chunk_id, term) JOIN df USING (term), tot GROUP BY 1, 2)
+SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 20
+""")(lambda c, b: lexical.lexical_topk(_web_queries(b), c.drop("repo_id")))
 
 
 def _names(s):
@@ -226,7 +248,7 @@ def _vectors(text_column):
 _plain("r37_role_context", *_SEARCHED)(lambda c, s, r: search.role_context(c.select("repo_id").distinct(), _vectors, _corpus(c, s, r)))
 _plain("r38_discovery_context", *_SEARCHED)(lambda c, s, r: search.discovery_context(c.select("repo_id").distinct(), _vectors, _corpus(c, s, r)))
 _plain("r2_semantic_topk_approx", "embeddings")(
-    lambda e: search.semantic_topk_approx(
+    lambda e: inverted.semantic_topk_approx(
         e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("chunk_id"), "embedding"))
 )
 

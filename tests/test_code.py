@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import blocks, chunks, endpoints, extract, patterns, relations, retrieval, search, traverse, workspace
+from corpusgraph.operators import blocks, chunks, endpoints, extract, lexical, patterns, relations, retrieval, search, traverse, workspace
 from corpusgraph.plans import code, registry, reports, searching  # noqa: F401
 from corpusgraph.sources import files as file_tables
 
@@ -152,15 +152,6 @@ def test_search_answers_by_intent(spark):
     assert not rows.duplicated(["query_id", "file_path", "start_line"]).any()
 
 
-def test_random_projections_reach_the_exact_neighbours(spark):
-    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    rows = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding")
-    exact = {(r.query_id, r.chunk_id) for r in retrieval.semantic_topk(queries, rows).collect()}
-    found = {(r.query_id, r.chunk_id) for r in search.semantic_topk_approx(queries, rows).collect()}
-    assert exact and len(exact & found) / len(exact) >= 0.9
-
-
 def test_semantic_search_with_odd_vectors(spark):
     schema = "chunk_id string, embedding array<double>"
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [1.0, 0.0, 0.0]), ("e", [1.0, 0.0]), ("f", [])], schema)
@@ -195,7 +186,7 @@ def test_globs_and_web_syntax(spark):
     assert (row.a, row.b, row.c) == (r"[^/]*\.ts", "api/.*", r"a\.b/[^/]*")
     queries = spark.createDataFrame([(1, '"red fox" -blue'), (2, "red OR green"), (3, "-red"), (4, "red green")], "query_id int, text string")
     own = spark.createDataFrame([("x", "the red fox ran"), ("y", "fox red green"), ("z", "red fox blue")], "chunk_id string, content string")
-    got = {(r.query_id, r.chunk_id) for r in retrieval.web_search(queries, own).collect()}
+    got = {(r.query_id, r.chunk_id) for r in lexical.lexical_topk(queries, own).collect()}
     assert got == {(1, "x"), (2, "x"), (2, "y"), (2, "z"), (4, "y")}
 
 

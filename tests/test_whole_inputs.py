@@ -3,7 +3,7 @@
 import pandas as pd
 import pytest
 
-from corpusgraph.operators import health, retrieval
+from corpusgraph.operators import health, lexical, retrieval
 from corpusgraph.plans import registry, reports  # noqa: F401
 from corpusgraph.plans.fixtures import frame
 
@@ -81,7 +81,7 @@ def test_semantic_blocks_give_the_same(spark):
 
 def test_lexical_queries_are_whole_texts(spark):
     chunks = spark.createDataFrame([("a", "one two three four"), ("b", "one two three five"), ("c", "five four three two one")], "chunk_id string, content string")
-    got = retrieval.lexical_topk(spark.createDataFrame([(1, "one two three four"), (2, "one two three six")], "query_id long, text string"), chunks)
+    got = lexical.lexical_topk(spark.createDataFrame([(1, "one two three four"), (2, "one two three six")], "query_id long, text string"), chunks)
     assert {(r.query_id, r.chunk_id) for r in got.collect()} == {(1, "a"), (1, "c")}
     texts = {r.item_id: set(r.text.lower().split()) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
     content = {str(r.doc_id): r.text.lower() for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
