@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .reports import manifest_dependencies
+from .settled import settled
 from .workspace import shared_modules, shared_types
 
 # What a call of an HTTP client and the path of a route file hold, case aside.
@@ -25,24 +29,76 @@ def route_segment(path: Column) -> Column:
     return F.when(a != "", F.concat(F.lit("/"), a)).when(b != "", F.concat(F.lit("/"), b))
 
 
-def api_consumers(files: DataFrame) -> DataFrame:
-    """HTTP calls of one repository that hold a route of another one; files (repo_id, path, content).
-
-    The paths that a text holds are read from it once (runs of path characters that begin with a slash) with all their beginnings at a slash or an
-    end, and joined with the routes; so no text meets every route. A route that stands inside a longer word is not taken for a call of it.
+class _Finder:
+    """An automaton that finds all of some texts in another text in one pass (Aho and Corasick)."""
+
+    def __init__(self, words: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: list[list[int]] = [[]]
+        for n, word in enumerate(words):
+            state = 0
+            for c in word:
+                if c not in self.next[state]:
+                    self.next[state][c] = len(self.next)
+                    self.next.append({})
+                    self.ends.append([])
+                state = self.next[state][c]
+            self.ends[state].append(n)
+        self.back = [0] * len(self.next)
+        queue = list(self.next[0].values())
+        for state in queue:  # grows while it is read: shorter beginnings first
+            for c, to in self.next[state].items():
+                back = self.back[state]
+                while back and c not in self.next[back]:
+                    back = self.back[back]
+                self.back[to] = self.next[back].get(c, 0)
+                self.ends[to] = self.ends[to] + self.ends[self.back[to]]
+                queue.append(to)
+
+    def find(self, text: str) -> set[int]:
+        state, found = 0, set()
+        for c in text:
+            while state and c not in self.next[state]:
+                state = self.back[state]
+            state = self.next[state].get(c, 0)
+            if self.ends[state]:
+                found.update(self.ends[state])
+        return found
+
+
+def texts_holding(texts: DataFrame, words: DataFrame, *, block: int = 20_000) -> DataFrame:
+    """(id, word): which of the distinct words (word) each of texts (id, text) holds, anywhere in it.
+
+    Words are broadcast as one automaton for each about `block` of them, every one of which reads the texts once; empty words are in no text.
     """
+    distinct = settled(words.select("word").where("word <> ''").distinct())
+    blocks = max(1, -(-distinct.count() // block))
+    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("word", T.StringType())])
+    found = []
+    for i in range(blocks):
+        some = [r.word for r in distinct.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == i).collect()]  # about `block` words
+        shared = texts.sparkSession.sparkContext.broadcast((some, _Finder(some)))
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, finder = shared.value
+            for batch in batches:
+                hits = [sorted(finder.find(t)) if t else [] for t in batch.column(1).to_pylist()]
+                at = [n for n, own in enumerate(hits) for _ in own]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([names[w] for own in hits for w in own], pa.string())], schema.names)
+
+        found.append(texts.select("id", "text").mapInArrow(work, schema))
+    return reduce(DataFrame.unionByName, found)
+
+
+def api_consumers(files: DataFrame) -> DataFrame:
+    """HTTP calls of one repository whose text holds a route of another one, case aside; files (repo_id, path, content)."""
     low = F.lower("content")
     called = files.where(reduce(lambda a, b: a | b, (low.contains(c) for c in HTTP_CALLS)))
-    tokens = F.regexp_extract_all(low, F.lit(r"(?:/[a-z0-9_\-\[\].:]+)+"), F.lit(0))
-    parts = called.select(F.col("repo_id").alias("from_repo"), F.col("path").alias("from_path"), F.explode(F.array_distinct(tokens)).alias("token"))
-    pieces = F.filter(F.split("token", "/"), lambda p: p != "")
-    n = F.size(pieces)
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.concat(F.lit("/"), F.array_join(F.slice(pieces, i, j - i + 1), "/")))))
-    keys = parts.where(n.between(1, 12)).select("from_repo", "from_path", F.explode(F.array_distinct(spans)).alias("segment")).distinct()
     segment = F.lower(route_segment(F.col("path")))
-    routes = files.where(F.col("path").rlike(ROUTE_FILES)).select(F.col("repo_id").alias("to_repo"), F.col("path").alias("to_path"), segment.alias("segment")).where("segment IS NOT NULL")
-    found = keys.join(routes, "segment").where("from_repo <> to_repo")
-    return found.select("from_repo", "to_repo", F.lit("api-consumer").alias("relation_type"), "from_path", "to_path", F.col("segment").alias("name"), F.lit("high").alias("confidence")).distinct()
+    routes = files.where(F.col("path").rlike(ROUTE_FILES)).select(F.col("repo_id").alias("to_repo"), F.col("path").alias("to_path"), segment.alias("word")).where("word IS NOT NULL")
+    held = texts_holding(called.select(F.struct("repo_id", "path").alias("id"), low.alias("text")), routes)
+    found = held.select(F.col("id.repo_id").alias("from_repo"), F.col("id.path").alias("from_path"), "word").distinct().join(routes, "word").where("from_repo <> to_repo")
+    return found.select("from_repo", "to_repo", F.lit("api-consumer").alias("relation_type"), "from_path", "to_path", F.col("word").alias("name"), F.lit("high").alias("confidence")).distinct()
 
 
 def package_names(manifests: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlaps
+
 # The endings that a module path leaves out.
 _ENDING = r"\.(ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|rb|php|kt|swift|cs|scala)$"
 DEFINITION_KINDS = ("function", "method", "class", "interface", "type", "enum")
@@ -81,22 +83,21 @@ def resolve_inheritance(links: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def assign_parents(symbols: DataFrame) -> DataFrame:
-    """symbols (repo_id, file_id, symbol_id, start_line, end_line) with parent_symbol_id: the tightest symbol of the file around each."""
-    inner = symbols.alias("i")
-    outer = symbols.select(
-        "repo_id", "file_id", F.col("symbol_id").alias("o_id"), F.col("start_line").alias("o_start"), F.col("end_line").alias("o_end")
-    )
-    around = inner.join(outer, ["repo_id", "file_id"]).where(
-        "o_start <= start_line AND o_end >= end_line AND (o_start < start_line OR o_end > end_line)"
-    )
-    tightest = around.groupBy("repo_id", "file_id", "symbol_id").agg(F.min_by("o_id", F.struct(F.expr("o_end - o_start"), "o_id")).alias("parent_symbol_id"))
-    return symbols.join(tightest, ["repo_id", "file_id", "symbol_id"], "left")
+    """symbols (repo_id, file_id, symbol_id, start_line, end_line) with parent_symbol_id: the tightest larger symbol of the file around each."""
+    key = ["repo_id", "file_id"]
+    span = [F.col("start_line").alias("start"), F.col("end_line").alias("end")]
+    inner, outer = (symbols.select(*key, F.col("symbol_id").alias(name), *span) for name in ("left_id", "right_id"))
+    tightest = overlaps(inner, outer, key, within=True, tightest=True).withColumnsRenamed({"left_id": "symbol_id", "right_id": "parent_symbol_id"})
+    return symbols.join(tightest, [*key, "symbol_id"], "left")
 
 
 def anchor_to_symbol(ranges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(range_id, symbol_id): for ranges (range_id, repo_id, file_id, from_line, to_line) the overlapping symbol of the smallest span."""
-    hit = ranges.join(symbols, ["repo_id", "file_id"]).where("start_line <= to_line AND end_line >= from_line")
-    return hit.groupBy("range_id").agg(F.min_by("symbol_id", F.struct(F.expr("end_line - start_line"), "symbol_id")).alias("symbol_id"))
+    """(repo_id, range_id, symbol_id): for ranges (range_id, repo_id, file_id, from_line, to_line) the overlapping symbol of the smallest span."""
+    key = ["repo_id", "file_id"]
+    wanted = ranges.select(*key, F.col("range_id").alias("left_id"), F.col("from_line").alias("start"), F.col("to_line").alias("end"))
+    there = symbols.select(*key, F.col("symbol_id").alias("right_id"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    found = overlaps(wanted, there, key, tightest=True)
+    return found.select("repo_id", F.col("left_id").alias("range_id"), F.col("right_id").alias("symbol_id"))
 
 
 def resolve_symbols(names: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -108,17 +109,46 @@ def resolve_symbols(names: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.groupBy("repo_id", "wanted").agg(F.min_by("symbol_id", F.struct("name", "symbol_id")).alias("symbol_id"))
 
 
-def find_definitions(wanted: DataFrame, symbols: DataFrame, most: int = 20) -> DataFrame:
-    """For wanted (query_id, name) the symbols of that name, classes and interfaces before types and functions; ties by path and line."""
-    weight = F.when(F.col("kind").isin("class", "interface"), 0).when(F.col("kind").isin("type", "enum", "function"), 1).otherwise(2)
-    order = Window.partitionBy("query_id").orderBy(weight, "name", "path", "start_line", "symbol_id")
-    rows = wanted.join(symbols.where(F.col("kind").isin(*DEFINITION_KINDS)), "name").withColumn("rank", F.row_number().over(order))
-    return rows.where(F.col("rank") <= most).select("query_id", "repo_id", "symbol_id", "name", "kind", "path", "rank")
+def _lowered(wanted: DataFrame) -> DataFrame:
+    """wanted (query_id, name, and repo_id if there is one), with names in lower case, each once."""
+    repo = [c for c in ("repo_id",) if c in wanted.columns]
+    return wanted.select("query_id", *repo, F.lower("name").alias("low_")).distinct()
 
 
-def find_usages(wanted: DataFrame, symbols: DataFrame, relations: DataFrame) -> DataFrame:
-    """(query_id, repo_id, symbol_id, path, start_line): the symbols with a relation to one of the wanted (query_id, name)."""
-    targets = wanted.join(symbols, "name").select("query_id", "repo_id", F.col("symbol_id").alias("dst"))
-    sources = symbols.select("repo_id", F.col("symbol_id").alias("src"), "path", "start_line")
-    rows = targets.join(relations, ["repo_id", "dst"]).join(sources, ["repo_id", "src"])
-    return rows.select("query_id", "repo_id", F.col("src").alias("symbol_id"), "path", "start_line").distinct()
+def find_definitions(wanted: DataFrame, symbols: DataFrame, chunks: DataFrame, most: int = 20) -> DataFrame:
+    """(query_id, repo_id, symbol_id, name, kind, path, chunk_id, start_line, end_line, rank): chunks of the symbols of the names, case aside.
+
+    wanted (query_id, name, and repo_id to look in one repository). Classes, functions, interfaces, types and enums before methods, then by name, case aside, path and
+    line. The first `most` are taken, of which those without a chunk fall out.
+    """
+    low = _lowered(wanted)
+    later = F.when(F.col("kind").isin("class", "function", "interface", "type", "enum"), 0).otherwise(1)
+    there = symbols.where(F.lower("kind").isin(*DEFINITION_KINDS)).withColumns({"low_": F.lower("name"), "line_": F.col("start_line")})
+    rows = low.join(there, [c for c in low.columns if c != "query_id"]).select("query_id", "repo_id", "symbol_id", "name", "low_", "kind", "path", "line_", later.alias("later_"))
+    rows = rows.join(chunks.select("repo_id", "symbol_id", "chunk_id", "start_line", "end_line"), ["repo_id", "symbol_id"], "left")
+    order = Window.partitionBy("query_id").orderBy("later_", "low_", "name", "path", "line_", "repo_id", "symbol_id", "start_line", "chunk_id")
+    rows = rows.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= most) & F.col("chunk_id").isNotNull())
+    return rows.select("query_id", "repo_id", "symbol_id", "name", "kind", "path", "chunk_id", "start_line", "end_line", "rank")
+
+
+#: The relation types that are a use of their target.
+USAGES = ("calls", "uses", "imports", "extends", "implements", "references")
+
+
+def find_usages(wanted: DataFrame, symbols: DataFrame, relations: DataFrame, chunks: DataFrame, most: int = 20, most_targets: int = 20) -> DataFrame:
+    """(query_id, repo_id, symbol_id, path, chunk_id, start_line, end_line, rank): chunks of the symbols that use one of the names, case aside.
+
+    wanted (query_id, name, and repo_id to look in one repository). A query's first `most_targets` symbols by path and line are its targets. Results are ordered by path and line; the first `most`
+    are taken, of which those without a chunk fall out.
+    """
+    low = _lowered(wanted)
+    named = low.join(symbols.withColumn("low_", F.lower("name")), [c for c in low.columns if c != "query_id"])
+    first = Window.partitionBy("query_id").orderBy("path", "start_line", "repo_id", "symbol_id")
+    targets = named.withColumn("n_", F.row_number().over(first)).where(F.col("n_") <= most_targets).select("query_id", "repo_id", F.col("symbol_id").alias("dst"))
+    sources = symbols.select("repo_id", F.col("symbol_id").alias("src"), "path")
+    used = relations.where(F.col("relation_type").isin(*USAGES)).select("repo_id", "src", "dst")
+    rows = targets.join(used, ["repo_id", "dst"]).select("query_id", "repo_id", "src").distinct().join(sources, ["repo_id", "src"]).withColumnRenamed("src", "symbol_id")
+    rows = rows.join(chunks.select("repo_id", "symbol_id", "chunk_id", "start_line", "end_line"), ["repo_id", "symbol_id"], "left")
+    order = Window.partitionBy("query_id").orderBy("path", F.asc_nulls_last("start_line"), "repo_id", "symbol_id", "chunk_id")
+    rows = rows.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= most) & F.col("chunk_id").isNotNull())
+    return rows.select("query_id", "repo_id", "symbol_id", "path", "chunk_id", "start_line", "end_line", "rank")

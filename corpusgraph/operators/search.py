@@ -211,11 +211,10 @@ def low_confidence(ranked: DataFrame, *, least: float = 0.3) -> DataFrame:
 
 
 def multi_query_merge(results: DataFrame) -> DataFrame:
-    """Results (question_id, ordinal, rank, file_path, start_line, ...) of several queries of a question, each place once, in order."""
-    once = _top(results, ["question_id", "file_path", "start_line"], 1, "ordinal", "rank").drop("rank")
-    return results.join(once.select("question_id", "file_path", "start_line", "ordinal"), ["question_id", "file_path", "start_line", "ordinal"], "left_semi").withColumn(
-        "place", F.row_number().over(Window.partitionBy("question_id").orderBy("ordinal", "rank"))
-    )
+    """Results (question_id, ordinal, rank, file_path, start_line, ...) of several queries of a question, the first of each place, in order."""
+    once = Window.partitionBy("question_id", "file_path", "start_line").orderBy("ordinal", "rank")
+    order = Window.partitionBy("question_id").orderBy("ordinal", "rank")
+    return results.withColumn("n_", F.row_number().over(once)).where("n_ = 1").drop("n_").withColumn("place", F.row_number().over(order))
 
 
 def extract_filters(text: Column) -> tuple[Column, Column]:
@@ -286,19 +285,11 @@ def search(queries: DataFrame, corpus: Corpus, *, limit: int = 30, offset: int =
     """
     asked = settled(classify_queries(queries))
     by_name = asked.where(F.col("intent").isin("find_definition", "find_usage")).select("query_id", "repo_id", "intent", F.explode("names").alias("name")).distinct()
-    place = corpus.symbols.select("repo_id", "symbol_id", F.lower("name").alias("low"), F.col("name").alias("symbol_name"), "kind")
-    named = by_name.withColumn("low", F.lower("name")).join(place, ["repo_id", "low"])
-    kind_order = F.when(F.col("kind").isin("class", "interface"), 0).when(F.col("kind").isin("type", "enum", "function"), 1).otherwise(2)
-    defined = named.where((F.col("intent") == "find_definition") & F.col("kind").isin(*relations.DEFINITION_KINDS)).select(
-        "query_id", "repo_id", "symbol_id", kind_order.alias("o"), "symbol_name", F.lit("symbol definition").alias("reason")
-    )
-    edges = corpus.relations.select("repo_id", F.col("dst").alias("symbol_id"), "src")
-    users = named.where("intent = 'find_usage'").join(edges, ["repo_id", "symbol_id"]).select(
-        "query_id", "repo_id", F.col("src").alias("symbol_id"), F.lit(0).alias("o"), F.lit("").alias("symbol_name"), F.lit("symbol usage").alias("reason")
-    )
-    spots = corpus.chunks.select("repo_id", "symbol_id", "chunk_id", "file_path", "start_line", "end_line", "language")
-    direct = defined.unionByName(users.distinct()).join(spots, ["repo_id", "symbol_id"])
-    direct = _top(direct, ["query_id"], 2 * limit, "o", "symbol_name", "file_path", "start_line", "chunk_id").withColumn("part", F.lit(0))
+    defined = relations.find_definitions(by_name.where("intent = 'find_definition'").drop("intent"), corpus.symbols, corpus.chunks, 2 * limit)
+    users = relations.find_usages(by_name.where("intent = 'find_usage'").drop("intent"), corpus.symbols, corpus.relations, corpus.chunks, 2 * limit)
+    some = [x.select("query_id", "chunk_id", F.lit(reason).alias("reason"), "rank") for x, reason in ((defined, "symbol definition"), (users, "symbol usage"))]
+    spots = corpus.chunks.select("chunk_id", "file_path", "start_line", "end_line", "language")
+    direct = some[0].unionByName(some[1]).join(spots, "chunk_id").withColumn("part", F.lit(0))
     direct = settled(direct.select("query_id", "chunk_id", "file_path", "start_line", "end_line", "language", "reason", "part", "rank"))
     enough = direct.groupBy("query_id").agg(F.count("*").alias("n")).where("n >= 5").select("query_id")
     rest = asked.join(enough, "query_id", "left_anti").withColumn("text", F.col("normalized"))

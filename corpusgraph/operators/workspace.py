@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import title_of
+from .intervals import overlaps
 
 
 def shared_types(symbols: DataFrame) -> DataFrame:
@@ -49,25 +50,27 @@ def filter_timeline(entries: DataFrame, *, levels: list[str] | None = None, tags
 
 
 def commit_stats(commit_files: DataFrame) -> DataFrame:
-    return commit_files.groupBy("sha").agg(
+    """(repo_id, sha, n_files, additions, deletions, n_paths) of the changed files of each commit; equal shas of two repositories are two commits."""
+    return commit_files.groupBy("repo_id", "sha").agg(
         F.count("*").alias("n_files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.countDistinct("path").alias("n_paths")
     )
 
 
-def touched_symbols(commit_files: DataFrame, symbols: DataFrame, *, most_files: int = 5, bin_lines: int = 64) -> DataFrame:
-    """(sha, names): symbols whose lines overlap a changed range, in the first `most_files` changed files of each commit.
+def touched_symbols(commit_files: DataFrame, symbols: DataFrame, *, most_files: int = 5) -> DataFrame:
+    """(repo_id, sha, names): symbols whose lines overlap a changed range, in the first `most_files` changed files of each commit.
 
-    commit_files (repo_id, sha, path, change_start, change_end); symbols (repo_id, path, name, start_line, end_line). Ranges and symbols meet
-    by file and bins of lines, equal ranges once, so a file of very many symbols is spread.
+    commit_files (repo_id, sha, path, change_start, change_end); symbols (repo_id, path, name, start_line, end_line). Each range of a file is looked up once,
+    however many commits changed it.
     """
+    changed = commit_files.select("repo_id", "sha", "path", "change_start", "change_end").distinct()
     rank = F.dense_rank().over(Window.partitionBy("repo_id", "sha").orderBy("path"))
-    ranges = commit_files.select("repo_id", "sha", "path", "change_start", "change_end").distinct().withColumn("place", rank).where(F.col("place") <= most_files)
-    binned = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_lines), F.floor(F.col(b) / bin_lines)))
-    spans = ranges.groupBy("repo_id", "path", "change_start", "change_end").agg(F.collect_set("sha").alias("shas"))
-    left = spans.where("change_end >= change_start").withColumn("bin", binned("change_start", "change_end"))
-    right = symbols.select("repo_id", "path", "name", "start_line", "end_line").distinct().where("end_line >= start_line").withColumn("bin", binned("start_line", "end_line"))
-    hit = left.join(right, ["repo_id", "path", "bin"]).where("start_line <= change_end AND end_line >= change_start")
-    return hit.select(F.explode("shas").alias("sha"), "name").groupBy("sha").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    first = changed.withColumn("place", rank).where(F.col("place") <= most_files).drop("place")
+    span = F.struct(F.col("change_start").alias("start"), F.col("change_end").alias("end"))
+    spans = first.select("repo_id", "path", span.alias("left_id")).distinct().select("*", "left_id.start", "left_id.end")
+    named = symbols.select("repo_id", "path", F.col("name").alias("right_id"), F.col("start_line").alias("start"), F.col("end_line").alias("end")).distinct()
+    hit = overlaps(spans, named, ["repo_id", "path"]).groupBy("repo_id", "path", "left_id").agg(F.collect_set("right_id").alias("names"))
+    rows = first.withColumn("left_id", span).join(hit, ["repo_id", "path", "left_id"])
+    return rows.select("repo_id", "sha", F.explode("names").alias("name")).groupBy("repo_id", "sha").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
 def top_symbols(symbols: DataFrame, relations: DataFrame, most: int = 20) -> DataFrame:

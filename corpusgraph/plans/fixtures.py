@@ -105,6 +105,8 @@ WHERE dst IS NOT NULL AND src <> dst""",
     "fx_commit_files": """SELECT concat('r', CAST(o_custkey % 7 AS STRING)) AS repo_id, CAST(l_orderkey AS STRING) AS sha, concat(lower(p_type), '/', p_brand, '.ts') AS path,
   CAST(l_quantity AS INT) AS additions, CAST(round(l_discount * 100) AS INT) AS deletions,
   p_size AS change_start, p_size + CAST(l_quantity AS INT) AS change_end FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey""",
+    "fx_fork_files": """SELECT concat('r', CAST(p_partkey % 4 AS STRING)) AS repo_id, CAST(l_orderkey AS STRING) AS sha, concat(lower(p_type), '/', p_brand, '.ts') AS path,
+  p_size AS change_start, p_size + CAST(l_quantity AS INT) AS change_end FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "fx_candidates": """SELECT l_orderkey AS query_id, concat('f', CAST(l_suppkey % 2 AS STRING)) AS file_path,
   CAST(l_partkey AS STRING) AS chunk_id, CASE l_linenumber % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'lexical' ELSE 'structural' END AS strategy,
   CAST(l_quantity AS INT) * 40 AS token_count, CAST(floor(max(l_extendedprice)) AS BIGINT) AS score

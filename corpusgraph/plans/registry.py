@@ -331,13 +331,13 @@ SELECT repo_id, sha, ts, total, CAST(place AS INT) AS place FROM (SELECT *, coun
  row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, sha) AS place FROM fx_commits WHERE sha IN (SELECT sha FROM fx_commit_files, f WHERE path = p)) WHERE place <= 200
 """)(lambda c, f: workspace.timeline(c, path=f.agg(F.min("path")).first()[0], files=f).select("repo_id", "sha", "ts", "total", "place"))
 query("t2_commit_stats", "fx_commit_files", body="""
-SELECT sha, count(*) AS n_files, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions, count(DISTINCT path) AS n_paths FROM fx_commit_files GROUP BY 1
+SELECT repo_id, sha, count(*) AS n_files, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions, count(DISTINCT path) AS n_paths FROM fx_commit_files GROUP BY 1, 2
 """)(workspace.commit_stats)
-query("t3_touched_symbols", "fx_commit_files", "fx_symbols", body="""
-WITH c AS (SELECT *, dense_rank() OVER (PARTITION BY sha ORDER BY path) AS place FROM fx_commit_files)
-SELECT c.sha, array_to_string(list_sort(list_distinct(list(s.name))), '|') AS names FROM c JOIN fx_symbols s ON s.path = c.path AND s.start_line <= c.change_end AND s.end_line >= c.change_start
-WHERE place <= 5 GROUP BY 1
-""")(lambda c, s: workspace.touched_symbols(c.withColumn("repo_id", F.lit("r")), s.withColumn("repo_id", F.lit("r"))).withColumn("names", F.array_join("names", "|")))
+query("t3_touched_symbols", "fx_fork_files", "fx_symbols", body="""
+WITH c AS (SELECT *, dense_rank() OVER (PARTITION BY repo_id, sha ORDER BY path) AS place FROM fx_fork_files)
+SELECT c.repo_id, c.sha, array_to_string(list_sort(list_distinct(list(s.name))), '|') AS names FROM c JOIN fx_symbols s ON s.repo_id = c.repo_id AND s.path = c.path AND s.start_line <= c.change_end AND s.end_line >= c.change_start
+WHERE place <= 5 GROUP BY 1, 2
+""")(lambda c, s: workspace.touched_symbols(c, s).withColumn("names", F.array_join("names", "|")))
 
 query("o3_top_symbols", "fx_symbols", "fx_relations", body="""
 SELECT repo_id, symbol_id, name, n_references, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n_references DESC, symbol_id) AS place FROM (

@@ -97,22 +97,34 @@ SELECT symbol_id, parent_symbol_id FROM (SELECT i.symbol_id, o.symbol_id AS pare
   AND (o.start_line < i.start_line OR o.end_line > i.end_line)) WHERE n = 1
 """)(lambda s: relations.assign_parents(s).select("symbol_id", "parent_symbol_id"))
 
-query("n3_anchor_to_symbol", "fx_commit_files", "fx_symbols", body="""
-WITH r AS (SELECT DISTINCT sha, path, change_start AS a, change_end AS b FROM fx_commit_files)
-SELECT concat(sha, ':', r.path, ':', CAST(a AS STRING), ':', CAST(b AS STRING)) AS range_id, arg_min(s.symbol_id, (s.end_line - s.start_line, s.symbol_id)) AS symbol_id
-FROM r JOIN fx_symbols s ON s.path = r.path AND s.start_line <= b AND s.end_line >= a GROUP BY 1
+query("n3_anchor_to_symbol", "fx_fork_files", "fx_symbols", body="""
+WITH r AS (SELECT DISTINCT repo_id, path, change_start AS a, change_end AS b FROM fx_fork_files)
+SELECT r.repo_id, concat(r.path, ':', CAST(a AS STRING), ':', CAST(b AS STRING)) AS range_id, arg_min(s.symbol_id, (s.end_line - s.start_line, s.symbol_id)) AS symbol_id
+FROM r JOIN fx_symbols s ON s.repo_id = r.repo_id AND s.path = r.path AND s.start_line <= b AND s.end_line >= a GROUP BY 1, 2
 """)(lambda c, s: relations.anchor_to_symbol(
-    c.select(F.concat_ws(":", "sha", "path", "change_start", "change_end").alias("range_id"), F.lit("r").alias("repo_id"), F.col("path").alias("file_id"),
+    c.select("repo_id", F.concat_ws(":", "path", "change_start", "change_end").alias("range_id"), F.col("path").alias("file_id"),
              F.col("change_start").alias("from_line"), F.col("change_end").alias("to_line")).distinct(),
-    s.select(F.lit("r").alias("repo_id"), F.col("path").alias("file_id"), "symbol_id", "start_line", "end_line")))
-
-query("r27_find_definitions", "fx_symbols", "region", body="""
-WITH w AS (SELECT DISTINCT name AS query_id, name FROM fx_symbols)
-SELECT query_id, repo_id, symbol_id, name, kind, path, CAST(rank AS INT) AS rank FROM (SELECT w.query_id, s.*, row_number() OVER (PARTITION BY query_id ORDER BY
- CASE WHEN kind IN ('class', 'interface') THEN 0 WHEN kind IN ('type', 'enum', 'function') THEN 1 ELSE 2 END, s.name, path, start_line, symbol_id) AS rank FROM w JOIN fx_symbols s USING (name)) WHERE rank <= 20
-""")(lambda s, _: relations.find_definitions(s.select(F.col("name").alias("query_id"), "name").distinct(), s))
-
-query("r28_find_usages", "fx_symbols", "fx_relations", body="""
-SELECT DISTINCT t.name AS query_id, r.repo_id, r.src AS symbol_id, u.path, u.start_line FROM fx_relations r JOIN fx_symbols t ON t.symbol_id = r.dst AND t.repo_id = r.repo_id
-JOIN fx_symbols u ON u.symbol_id = r.src AND u.repo_id = r.repo_id
-""")(lambda s, r: relations.find_usages(s.select(F.col("name").alias("query_id"), "name").distinct(), s, r))
+    s.select("repo_id", F.col("path").alias("file_id"), "symbol_id", "start_line", "end_line")))
+
+_ASKED = "w AS (SELECT DISTINCT upper(name) AS query_id, lower(name) AS low FROM fx_src_symbols)"
+
+
+def _by_name(s):
+    """Every name, in upper case."""
+    return s.select(F.upper("name").alias("query_id"), F.upper("name").alias("name")).distinct()
+
+
+query("r27_find_definitions", "fx_src_symbols", "fx_src_chunks", body=f"""
+WITH {_ASKED}, r AS (SELECT w.query_id, s.repo_id, s.symbol_id, s.name, s.kind, s.path, c.chunk_id, c.start_line, c.end_line, row_number() OVER (PARTITION BY w.query_id ORDER BY
+ CASE WHEN s.kind IN ('class', 'function', 'interface', 'type', 'enum') THEN 0 ELSE 1 END, low, s.name, s.path, s.start_line, s.repo_id, s.symbol_id, c.start_line, c.chunk_id) AS rank
+ FROM w JOIN fx_src_symbols s ON lower(s.name) = low LEFT JOIN fx_src_chunks c ON c.repo_id = s.repo_id AND c.symbol_id = s.symbol_id)
+SELECT * REPLACE (CAST(rank AS INT) AS rank) FROM r WHERE rank <= 20 AND chunk_id IS NOT NULL
+""")(lambda s, c: relations.find_definitions(_by_name(s), s, c))
+
+query("r28_find_usages", "fx_src_symbols", "fx_src_relations", "fx_src_chunks", body=f"""
+WITH {_ASKED}, t AS (SELECT query_id, repo_id, symbol_id FROM (SELECT w.query_id, s.*, row_number() OVER (PARTITION BY w.query_id ORDER BY s.path, s.start_line, s.repo_id, s.symbol_id) AS n FROM w JOIN fx_src_symbols s ON lower(s.name) = low) WHERE n <= 20),
+u AS (SELECT DISTINCT query_id, r.repo_id, r.src AS symbol_id FROM t JOIN fx_src_relations r ON r.repo_id = t.repo_id AND r.dst = t.symbol_id WHERE relation_type IN ('calls', 'uses', 'imports', 'extends', 'implements', 'references')),
+k AS (SELECT u.query_id, u.repo_id, u.symbol_id, s.path, c.chunk_id, c.start_line, c.end_line, row_number() OVER (PARTITION BY query_id ORDER BY s.path, c.start_line NULLS LAST, u.repo_id, u.symbol_id, c.chunk_id) AS rank
+ FROM u JOIN fx_src_symbols s USING (repo_id, symbol_id) LEFT JOIN fx_src_chunks c ON c.repo_id = u.repo_id AND c.symbol_id = u.symbol_id)
+SELECT * REPLACE (CAST(rank AS INT) AS rank) FROM k WHERE rank <= 20 AND chunk_id IS NOT NULL
+""")(lambda s, r, c: relations.find_usages(_by_name(s), s, r, c))

@@ -255,11 +255,11 @@ _plain("r2_semantic_topk_approx", "embeddings")(
 query("r23_multi_query_merge", "fx_candidates", body="""
 WITH r AS (SELECT DISTINCT query_id % 50 AS question_id, query_id AS ordinal, file_path, CAST(CAST(chunk_id AS BIGINT) % 20 AS INT) AS start_line, chunk_id FROM fx_candidates),
 k AS (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY chunk_id, file_path) AS rank FROM r),
-o AS (SELECT *, row_number() OVER (PARTITION BY question_id, file_path, start_line ORDER BY ordinal, rank) AS n, first_value(ordinal) OVER (PARTITION BY question_id, file_path, start_line ORDER BY ordinal, rank) AS f FROM k)
-SELECT question_id, ordinal, file_path, start_line FROM o WHERE n = 1
+o AS (SELECT *, row_number() OVER (PARTITION BY question_id, file_path, start_line ORDER BY ordinal, rank) AS n FROM k)
+SELECT question_id, ordinal, file_path, start_line, chunk_id, CAST(rank AS INT) AS rank, CAST(row_number() OVER (PARTITION BY question_id ORDER BY ordinal, rank) AS INT) AS place FROM o WHERE n = 1
 """)(lambda c: search.multi_query_merge(c.select(
     (F.col("query_id") % 50).alias("question_id"), F.col("query_id").alias("ordinal"), "file_path", F.pmod(F.col("chunk_id").cast("long"), F.lit(20)).cast("int").alias("start_line"), "chunk_id").distinct()
-    .withColumn("rank", F.expr("row_number() OVER (PARTITION BY ordinal ORDER BY chunk_id, file_path)"))).select("question_id", "ordinal", "file_path", "start_line").distinct())
+    .withColumn("rank", F.expr("row_number() OVER (PARTITION BY ordinal ORDER BY chunk_id, file_path)"))))
 _QUESTION = """q AS (SELECT p_partkey AS query_id, CASE p_partkey % 8 WHEN 0 THEN concat('where is the definition of ', p_name) WHEN 1 THEN concat('who calls ', p_name) WHEN 2 THEN concat('functions without ', p_name, ' in *.py')
  WHEN 3 THEN concat('code similar to ', p_name) WHEN 4 THEN concat('singleton ', p_name, ' in the api folder') WHEN 5 THEN concat('show me all ', p_name, ' typescript') WHEN 6 THEN concat('Explain ', p_name) ELSE p_name END AS text FROM part)"""
 
@@ -330,9 +330,14 @@ def _calling(f):
     return f.withColumn("content", F.when(F.col("k") == 3, F.concat(route, "content")).otherwise(F.col("content")))
 
 
-query("k2_api_consumers", "fx_src", body="""
-SELECT a.repo_id AS from_repo, b.repo_id AS to_repo, a.path AS from_path, b.path AS to_path FROM fx_src a JOIN fx_src b ON a.k = 3 AND b.k = 1 AND CAST(b.file_id AS BIGINT) = CAST(a.file_id AS BIGINT) - 18 AND b.repo_id <> a.repo_id
-""")(lambda f: crossrepo.api_consumers(_calling(f)).select("from_repo", "to_repo", "from_path", "to_path"))
+_CONSUMERS = r"""cf AS (SELECT repo_id, path, lower(CASE WHEN k = 3 THEN concat('fetch(''/api/n', CAST((CAST(file_id AS BIGINT) - 18) % 10 AS STRING), '/d', CAST(CAST(file_id AS BIGINT) - 18 AS STRING), ''')', chr(10), content) ELSE content END) AS low FROM fx_src),
+ rt AS (SELECT repo_id, path, lower(concat('/', seg)) AS seg FROM (SELECT repo_id, path, CASE WHEN regexp_matches(path, '/api/[^/]+(/[^/]+)*?/route\.[jt]sx?$') THEN regexp_extract(path, '/(api/[^/]+(?:/[^/]+)*?)/route\.[jt]sx?$', 1)
+  ELSE regexp_extract(path, '/routes/([^/]+)\.[jt]sx?$', 1) END AS seg FROM fx_src) WHERE seg <> ''),
+ ac AS (SELECT DISTINCT cf.repo_id AS from_repo, rt.repo_id AS to_repo, cf.path AS from_path, rt.path AS to_path, seg AS name FROM cf JOIN rt ON cf.repo_id <> rt.repo_id AND contains(low, seg)
+  WHERE contains(low, 'fetch(') OR contains(low, 'axios.') OR contains(low, 'http.get(') OR contains(low, '.get("/') OR contains(low, '.post("/') OR contains(low, '.put("/') OR contains(low, '.delete("/'))"""
+query("k2_api_consumers", "fx_src", body=f"WITH {_CONSUMERS} SELECT * FROM ac")(
+    lambda f: crossrepo.api_consumers(_calling(f)).select("from_repo", "to_repo", "from_path", "to_path", "name")
+)
 
 
 def _manifests(f):
@@ -353,9 +358,10 @@ def _related(f, s):
     return crossrepo.cross_repo_relations(_calling(f), s, _manifests(f))
 
 
-_TYPED = """t AS (SELECT repo_id AS from_repo, concat('r', x) AS to_repo, 'import-pattern' AS relation_type FROM (SELECT DISTINCT repo_id, path, CAST(CAST(file_id AS BIGINT) % 10 AS STRING) AS x FROM fx_src WHERE k = 6) WHERE x < '4' AND concat('r', x) <> repo_id
+_TYPED = f"""{_CONSUMERS},
+ t AS (SELECT repo_id AS from_repo, concat('r', x) AS to_repo, 'import-pattern' AS relation_type FROM (SELECT DISTINCT repo_id, path, CAST(CAST(file_id AS BIGINT) % 10 AS STRING) AS x FROM fx_src WHERE k = 6) WHERE x < '4' AND concat('r', x) <> repo_id
  UNION ALL SELECT DISTINCT repo_id, concat('r', CAST((CAST(repo_id[2:] AS INT) + 1) % 4 AS STRING)), 'npm-dependency' FROM fx_src
- UNION ALL SELECT from_repo, to_repo, 'api-consumer' FROM (SELECT a.repo_id AS from_repo, b.repo_id AS to_repo, row_number() OVER (PARTITION BY a.repo_id, b.repo_id ORDER BY a.path, b.path) AS n FROM fx_src a JOIN fx_src b ON a.k = 3 AND b.k = 1 AND CAST(b.file_id AS BIGINT) = CAST(a.file_id AS BIGINT) - 18 AND b.repo_id <> a.repo_id) WHERE n <= 20
+ UNION ALL SELECT from_repo, to_repo, 'api-consumer' FROM (SELECT from_repo, to_repo, row_number() OVER (PARTITION BY from_repo, to_repo ORDER BY from_path, to_path) AS n FROM ac) WHERE n <= 20
  UNION ALL SELECT from_repo, to_repo, 'shared-type' FROM (SELECT *, row_number() OVER (PARTITION BY from_repo, to_repo ORDER BY name) AS n FROM (SELECT DISTINCT a.repo_id AS from_repo, b.repo_id AS to_repo, a.name FROM fx_symbols a JOIN fx_symbols b ON a.name = b.name AND a.kind = b.kind AND a.repo_id < b.repo_id WHERE a.kind IN ('interface', 'type', 'class', 'enum'))) WHERE n <= 30)"""
 query("k7_relation_summary", "fx_src", "fx_symbols", body=f"""WITH {_TYPED}
 SELECT from_repo, to_repo, count(*) AS n, count(*) FILTER (relation_type = 'api-consumer') AS n_api_consumer, count(*) FILTER (relation_type = 'shared-type') AS n_shared_type, count(*) FILTER (relation_type = 'npm-dependency') AS n_npm_dependency,
