@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import group_of, is_api_path, module_of
 from ..functions.text import normalize_relation, scale_weight
+from .settled import settled
 
 KINDS = ("function", "class", "method", "interface", "type")
 HIERARCHY = ("class", "interface", "type")
@@ -117,11 +118,17 @@ def unreferenced_symbols(symbols: DataFrame, relations: DataFrame) -> DataFrame:
     return some.join(used, ["repo_id", "symbol_id"], "left_anti")
 
 
-def neighbors(nodes: DataFrame, relations: DataFrame) -> DataFrame:
-    """(repo_id, node, direction, relation_type, n) of the relations of nodes (repo_id, node)."""
-    out = relations.select("repo_id", F.col("src").alias("node"), F.lit("out").alias("direction"), "relation_type")
-    into = relations.select("repo_id", F.col("dst").alias("node"), F.lit("in").alias("direction"), "relation_type")
-    return out.unionByName(into).join(nodes, ["repo_id", "node"], "left_semi").groupBy("repo_id", "node", "direction", "relation_type").agg(F.count("*").alias("n"))
+def neighbors(nodes: DataFrame, relations: DataFrame, *, types: list[str] | None = None) -> DataFrame:
+    """(repo_id, node, direction, relation_type, neighbor): what nodes (repo_id, node) refer to (out) and are referred to by (in), of some types or all."""
+    some = relations if types is None else relations.where(F.col("relation_type").isin(types))
+    out = some.select("repo_id", F.col("src").alias("node"), F.lit("out").alias("direction"), "relation_type", F.col("dst").alias("neighbor"))
+    into = some.select("repo_id", F.col("dst").alias("node"), F.lit("in").alias("direction"), "relation_type", F.col("src").alias("neighbor"))
+    return out.unionByName(into).join(nodes, ["repo_id", "node"], "left_semi").distinct()
+
+
+def neighbor_counts(found: DataFrame) -> DataFrame:
+    """(repo_id, node, direction, relation_type, n) of neighbors."""
+    return found.groupBy("repo_id", "node", "direction", "relation_type").agg(F.count("*").alias("n"))
 
 
 def api_flow_edges(symbols: DataFrame, relations: DataFrame) -> DataFrame:
@@ -133,14 +140,20 @@ def api_flow_edges(symbols: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def nesting_depth(symbols: DataFrame, *, most: int = 10) -> DataFrame:
-    """(repo_id, symbol_id, depth): 1 for symbols without parent_symbol_id, one more for each parent; `most` levels, one join each."""
-    chain = symbols.select("repo_id", "symbol_id", F.col("parent_symbol_id").alias("up"))
-    parents = symbols.select("repo_id", F.col("symbol_id").alias("up"), F.col("parent_symbol_id").alias("next"))
-    open_rows, done = chain, chain.where("up IS NULL").select("repo_id", "symbol_id", F.lit(1).alias("depth"))
-    for depth in range(2, most + 1):
-        open_rows = open_rows.where("up IS NOT NULL").join(parents, ["repo_id", "up"]).select("repo_id", "symbol_id", F.col("next").alias("up"))
-        done = done.unionByName(open_rows.where("up IS NULL").select("repo_id", "symbol_id", F.lit(depth).alias("depth")))
-    return done
+    """(repo_id, symbol_id, depth): 1 for symbols without parent_symbol_id, one more for each parent; those of more than `most` levels, or whose
+    parents form a ring or are unknown, are left out.
+
+    Each round doubles how far a symbol looks up, so a depth of 10 takes four joins.
+    """
+    ups = symbols.select("repo_id", "symbol_id", F.col("parent_symbol_id").alias("up"), F.lit(1).alias("depth"))
+    reach = 1
+    while reach < most:
+        ups = settled(ups)
+        above = ups.select("repo_id", F.col("symbol_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        farther = ups.where("up IS NOT NULL").join(above, ["repo_id", "up"]).select("repo_id", "symbol_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        ups = ups.where("up IS NULL").unionByName(farther)
+        reach *= 2
+    return ups.where((F.col("depth") <= most) & F.col("up").isNull()).select("repo_id", "symbol_id", "depth")
 
 
 def _sized(nodes: DataFrame, value: str) -> DataFrame:

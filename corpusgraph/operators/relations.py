@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import overlaps
+from .retrieval import contains_join
 
 # The endings that a module path leaves out.
 _ENDING = r"\.(ts|tsx|js|jsx|mjs|cjs|py|go|rs|java|rb|php|kt|swift|cs|scala)$"
@@ -49,27 +50,33 @@ def resolve_imports(imports: DataFrame, index: DataFrame) -> DataFrame:
     return whole.unionByName(last).drop("key")
 
 
-def build_relations(symbols: DataFrame, imports: DataFrame, exports: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo_id, src, dst, relation_type): an edge for each imported name that the target exports.
+def import_edges(symbols: DataFrame, imports: DataFrame, exports: DataFrame, index: DataFrame) -> DataFrame:
+    """(repo_id, path, src, dst, relation_type): an edge of the importing file (path) for each imported name that the target exports.
 
-    symbols (repo_id, path, symbol_id, name, kind, start_line), imports (repo_id, path, source, names), exports (repo_id, path, name).
-    A file without exports offers all its symbols. The edge starts at a variable of that name in the importing file, else at its
-    first symbol.
+    symbols (repo_id, path, symbol_id, name, kind, start_line), imports (repo_id, path, source, names), exports (repo_id, path, name), index as of path_index.
+    A file without exports offers all its symbols. The edge starts at a variable of that name in the importing file, else at its first symbol.
     """
     order = F.struct("start_line", "symbol_id")
-    named = resolve_imports(imports, path_index(files)).select("repo_id", "path", "target", F.explode("names").alias("name"))
+    named = resolve_imports(imports, index).select("repo_id", "path", "target", F.explode("names").alias("name"))
     closed = exports.select("repo_id", "path").distinct()
-    offered = symbols.join(exports, ["repo_id", "path", "name"], "left_semi").unionByName(symbols.join(closed, ["repo_id", "path"], "left_anti"))
+    there = symbols.join(named.select("repo_id", F.col("target").alias("path"), "name").distinct(), ["repo_id", "path", "name"], "left_semi")
+    offered = there.join(exports, ["repo_id", "path", "name"], "left_semi").unionByName(there.join(closed, ["repo_id", "path"], "left_anti"))
     ends = offered.groupBy("repo_id", F.col("path").alias("target"), "name").agg(F.max_by("symbol_id", order).alias("dst"))
-    variables = symbols.where("kind = 'variable'").groupBy("repo_id", "path", "name").agg(F.min_by("symbol_id", order).alias("own"))
-    firsts = symbols.groupBy("repo_id", "path").agg(F.min_by("symbol_id", order).alias("first"))
+    own = symbols.join(named.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
+    variables = own.where("kind = 'variable'").groupBy("repo_id", "path", "name").agg(F.min_by("symbol_id", order).alias("own"))
+    firsts = own.groupBy("repo_id", "path").agg(F.min_by("symbol_id", order).alias("first"))
     rows = named.join(ends, ["repo_id", "target", "name"]).join(variables, ["repo_id", "path", "name"], "left").join(firsts, ["repo_id", "path"], "left")
-    edges = rows.select("repo_id", F.coalesce("own", "first").alias("src"), "dst", F.lit("imports").alias("relation_type"))
+    edges = rows.select("repo_id", "path", F.coalesce("own", "first").alias("src"), "dst", F.lit("imports").alias("relation_type"))
     return edges.where("src IS NOT NULL").distinct()
 
 
-def resolve_inheritance(links: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(repo_id, src, dst, relation_type) for links (repo_id, path, name, relation_type, parent): the parent is the symbol of that name
+def build_relations(symbols: DataFrame, imports: DataFrame, exports: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo_id, src, dst, relation_type): import_edges of all files (repo_id, path)."""
+    return import_edges(symbols, imports, exports, path_index(files)).drop("path").distinct()
+
+
+def inheritance_edges(links: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo_id, path, src, dst, relation_type) for links (repo_id, path, name, relation_type, parent): the parent is the symbol of that name
     in the nearest file: the same one, one of the same directory, any other; ties by path and id."""
     folder = lambda c: F.regexp_replace(c, "[^/]*$", "")
     types = symbols.where(F.col("kind").isin("class", "interface", "type"))
@@ -77,11 +84,16 @@ def resolve_inheritance(links: DataFrame, symbols: DataFrame) -> DataFrame:
     ends = types.select("repo_id", F.col("name").alias("parent"), F.col("path").alias("parent_path"), F.col("symbol_id").alias("dst"))
     rows = links.join(own, ["repo_id", "path", "name"]).join(ends, ["repo_id", "parent"]).where("src <> dst")
     far = F.when(F.col("path") == F.col("parent_path"), 0).when(folder("path") == folder("parent_path"), 1).otherwise(2)
-    return rows.groupBy("repo_id", "src", "parent", "relation_type").agg(F.min_by("dst", F.struct(far, "parent_path", "dst")).alias("dst")).select(
-        "repo_id", "src", "dst", "relation_type"
+    return rows.groupBy("repo_id", "path", "src", "parent", "relation_type").agg(F.min_by("dst", F.struct(far, "parent_path", "dst")).alias("dst")).select(
+        "repo_id", "path", "src", "dst", "relation_type"
     )
 
 
+def resolve_inheritance(links: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo_id, src, dst, relation_type): inheritance_edges without the file."""
+    return inheritance_edges(links, symbols).drop("path")
+
+
 def assign_parents(symbols: DataFrame) -> DataFrame:
     """symbols (repo_id, file_id, symbol_id, start_line, end_line) with parent_symbol_id: the tightest larger symbol of the file around each."""
     key = ["repo_id", "file_id"]
@@ -102,9 +114,10 @@ def anchor_to_symbol(ranges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def resolve_symbols(names: DataFrame, symbols: DataFrame) -> DataFrame:
     """(repo_id, wanted, symbol_id): for names (repo_id, wanted) the symbol of that name, else one that holds it, case aside; the first by name and id."""
-    exact = names.join(symbols, ["repo_id"]).where("name = wanted")
+    there = symbols.select("repo_id", "symbol_id", "name")
+    exact = names.join(there.withColumn("wanted", F.col("name")), ["repo_id", "wanted"])
     missed = names.join(exact.select("repo_id", "wanted").distinct(), ["repo_id", "wanted"], "left_anti")
-    near = missed.join(symbols, ["repo_id"]).where(F.lower("name").contains(F.lower("wanted")))
+    near = contains_join(missed, there, "wanted", "name", ["repo_id"])
     rows = exact.unionByName(near)
     return rows.groupBy("repo_id", "wanted").agg(F.min_by("symbol_id", F.struct("name", "symbol_id")).alias("symbol_id"))
 

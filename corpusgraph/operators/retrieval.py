@@ -102,13 +102,20 @@ def duplicate_chunks(chunks: DataFrame) -> DataFrame:
 def contains_join(left: DataFrame, right: DataFrame, needle: str, hay: str, on: list[str]) -> DataFrame:
     """The rows of left and right of equal `on` columns where the text `hay` of right holds the text `needle` of left, case aside.
 
-    Rows meet by the first two letters of the needle, which are among the pairs of letters of every text that holds it. Empty needles find nothing.
+    Rows meet by a gram that every text with the needle has: of its three-letter pieces (a shorter needle is its own) the one that the fewest texts of
+    right have, so a frequent piece is a key only for needles without a rarer one. Empty needles find nothing.
     """
-    low = F.lower(hay)
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
-    grams = F.filter(F.array_distinct(F.concat(cut(2), cut(1))), lambda g: g != "")
-    keyed = right.withColumn("gram_", F.explode(grams))
-    return left.withColumn("gram_", F.left(F.lower(needle), F.lit(2))).join(keyed, ["gram_", *on]).where(low.contains(F.lower(needle))).drop("gram_")
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
+    low, want = F.lower(hay), F.lower("needle_")
+    in_hay = F.filter(F.array_distinct(F.concat(pieces(low, 3), pieces(low, 2), pieces(low, 1))), lambda g: g != "")
+    needles = left.select(F.col(needle).alias("needle_")).distinct().where("needle_ <> ''")
+    asked = needles.select("needle_", F.explode(F.array_distinct(F.when(F.length(want) >= 3, pieces(want, 3)).otherwise(F.array(want)))).alias("gram_"))
+    keyed = right.withColumn("gram_", F.explode(in_hay))
+    counted = keyed.select("gram_").join(asked.select("gram_").distinct(), "gram_", "left_semi").groupBy("gram_").agg(F.count("*").alias("n_"))
+    # a piece that no text has is a needle that no text has
+    rarest = asked.join(counted, "gram_", "left").groupBy("needle_").agg(F.min_by("gram_", F.struct(F.coalesce("n_", F.lit(0)), "gram_")).alias("gram_"))
+    near = left.join(rarest, left[needle] == rarest["needle_"]).drop("needle_")
+    return near.join(keyed, ["gram_", *on]).where(F.lower(hay).contains(F.lower(needle))).drop("gram_")
 
 
 def suggest_symbols(prefixes: DataFrame, symbols: DataFrame, *, most: int = 50) -> DataFrame:

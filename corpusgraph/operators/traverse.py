@@ -138,15 +138,34 @@ def trace_flow(
     return both.select("repo_id", "source", "step", "node", "depth", "name", "path", code.alias("code"))
 
 
-def find_cycles(relations: DataFrame, *, max_len: int = 5, relation_type: str = "imports") -> DataFrame:
-    """(repo_id, length, nodes) of cycles of up to max_len relations of a type, each once, from its smallest node on."""
-    steps = relations.where(F.col("relation_type") == relation_type).select("repo_id", F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
-    paths = steps.where("at < to").select("repo_id", F.array("at", "to").alias("nodes"))
-    closed = None
+def find_cycles(relations: DataFrame, *, max_len: int = 5, relation_type: str = "imports", trims: int = 2) -> DataFrame:
+    """(repo_id, length, nodes) of cycles of up to max_len relations of a type, each once, from its smallest node on.
+
+    Relations that begin where none ends, or end where none begins, are on no cycle; `trims` rounds take them away. A cycle is a way out of its smallest
+    node and a way back of half its length each, which meet in a node; so ways of more than half of max_len are never made.
+    """
+    steps = settled(relations.where(F.col("relation_type") == relation_type).select("repo_id", F.col("src").alias("at"), F.col("dst").alias("to")).where("at <> to").distinct())
+    n = steps.count()
+    for _ in range(trims):
+        ends, begins = steps.select("repo_id", F.col("to").alias("at")), steps.select("repo_id", F.col("at").alias("to"))
+        steps = settled(steps.join(ends, ["repo_id", "at"], "left_semi").join(begins, ["repo_id", "to"], "left_semi"))
+        if steps.count() == n:
+            break
+        n = steps.count()
+
+    def ways(last: str, then: str, most: int) -> list[DataFrame]:
+        """Ways of 1 to `most` steps from a smallest node `start`, along or against the relations, through `inner` nodes to `end`."""
+        own = steps.select("repo_id", F.col(last).alias("end"), F.col(then).alias("next"))
+        found = [settled(own.where("end < next").select("repo_id", F.col("end").alias("start"), F.array().cast("array<string>").alias("inner"), F.col("next").alias("end")))]
+        for _ in range(1, most):
+            longer = found[-1].join(own, ["repo_id", "end"]).where((F.col("next") > F.col("start")) & ~F.array_contains("inner", F.col("next")) & (F.col("next") != F.col("end")))
+            found.append(settled(longer.select("repo_id", "start", F.concat("inner", F.array("end")).alias("inner"), F.col("next").alias("end"))))
+        return found
+
+    out, back = ways("at", "to", (max_len + 1) // 2), ways("to", "at", max(1, max_len // 2))
+    closed = []
     for length in range(2, max_len + 1):
-        end = paths.withColumn("at", F.element_at("nodes", -1)).join(steps, ["repo_id", "at"])
-        done = end.where(F.col("to") == F.col("nodes")[0]).select("repo_id", F.lit(length).alias("length"), "nodes")
-        closed = done if closed is None else closed.unionByName(done)
-        longer = end.where((F.col("to") > F.col("nodes")[0]) & ~F.array_contains("nodes", F.col("to")))
-        paths = longer.select("repo_id", F.concat("nodes", F.array("to")).alias("nodes"))
-    return closed
+        there, home = out[(length + 1) // 2 - 1], back[length // 2 - 1].withColumnRenamed("inner", "inner_")
+        met = there.join(home, ["repo_id", "start", "end"]).where(~F.arrays_overlap("inner", "inner_"))
+        closed.append(met.select("repo_id", F.lit(length).alias("length"), F.concat(F.array("start"), "inner", F.array("end"), F.reverse("inner_")).alias("nodes")))
+    return reduce(DataFrame.unionByName, closed)

@@ -153,9 +153,13 @@ SELECT repo_id, symbol_id, name, path FROM fx_src_symbols s WHERE kind IN ('func
 """)(lambda s, r: graph.unreferenced_symbols(s, r).select("repo_id", "symbol_id", "name", "path"))
 
 query("g30_neighbors", "fx_relations", body="""
+SELECT DISTINCT repo_id, node, direction, relation_type, neighbor FROM (
+  SELECT repo_id, src AS node, 'out' AS direction, relation_type, dst AS neighbor FROM fx_relations UNION ALL SELECT repo_id, dst, 'in', relation_type, src FROM fx_relations) WHERE relation_type IN ('calls', 'extends')
+""")(lambda r: graph.neighbors(r.select("repo_id", F.col("src").alias("node")).union(r.select("repo_id", "dst")).distinct(), r, types=["calls", "extends"]))
+query("g30_neighbor_counts", "fx_relations", body="""
 SELECT repo_id, node, direction, relation_type, count(*) AS n FROM (
   SELECT repo_id, src AS node, 'out' AS direction, relation_type FROM fx_relations UNION ALL SELECT repo_id, dst, 'in', relation_type FROM fx_relations) GROUP BY ALL
-""")(lambda r: graph.neighbors(r.select("repo_id", F.col("src").alias("node")).union(r.select("repo_id", "dst")).distinct(), r))
+""")(lambda r: graph.neighbor_counts(graph.neighbors(r.select("repo_id", F.col("src").alias("node")).union(r.select("repo_id", "dst")).distinct(), r)))
 
 _REACH = """RECURSIVE walk(repo_id, source, node, depth) AS (
   SELECT repo_id, n, n, 0 FROM (SELECT repo_id, src AS n FROM fx_src_relations UNION SELECT repo_id, dst FROM fx_src_relations)
@@ -384,6 +388,12 @@ SELECT file_id, concat('/', array_to_string(list_transform(list_filter(string_sp
   lambda x: regexp_replace(regexp_replace(x, '^\\[\\.\\.\\.(.*)\\]$', ':\\1*'), '^\\[(.*)\\]$', ':\\1')), '/')) AS route FROM i
 """)(lambda f: f.select("file_id", paths.route_path(F.col("path")).alias("route")))
 
+query("z1_quota_decisions", "events", body="""
+WITH e AS (SELECT *, 2 + length(key_prefix) % 3 AS most, epoch_us(ts) // 60000000 AS w FROM (SELECT event_id, ts, user_id, event_type AS key_prefix FROM events)), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, key_prefix, w ORDER BY ts, event_id) AS n FROM e)
+SELECT event_id, user_id, key_prefix, n <= most AS allowed, CAST(greatest(most - n, 0) AS BIGINT) AS remaining, CAST(((w + 1) * 60000000 - epoch_us(ts)) // 1000 AS BIGINT) AS reset_ms FROM n
+""")(lambda e: jobs.quota_decisions(
+    e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("key_prefix")),
+    e.select(F.col("event_type").alias("key_prefix"), (2 + F.length("event_type") % 3).alias("most")).distinct()).drop("ts"))
 query("z1_quota_windows", "events", body="""
 WITH m AS (SELECT event_type, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 1 ELSE 3 END AS most FROM events GROUP BY 1)
 SELECT time_bucket(INTERVAL 60 SECONDS, ts) AS window_start, user_id, e.event_type AS key_prefix, count(*) AS n, most, greatest(most - count(*), 0) AS remaining FROM events e JOIN m ON m.event_type = e.event_type GROUP BY 1, 2, 3, 5

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 
 from ..operators import changes, crossrepo, domains, graph, health, inverted, lexical, relations, reports, retrieval, search, traverse, workspace
+from ..operators.settled import settled
 from ..sources import files as file_tables
+from ..sources import index as source_index
 from ..streaming import jobs
-from .code import _plain
+from .code import _matched, _plain
 from .registry import _HEALTH, _IMPACT, _sources, query
 
 # ---- search
@@ -533,11 +535,38 @@ SELECT CAST(line AS INT) AS line, count(*) AS n FROM (SELECT unnest(range(l_part
 query("s3_drop_binary", "documents", body="SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 OR strlen(text) >= 8192")(
     lambda d: file_tables.drop_binary(d.select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.encode("text", "UTF-8"), F.lit(b"\0"))).otherwise(F.encode("text", "UTF-8")).alias("bytes"))).select("doc_id")
 )
-query("s7_apply_snapshot", "fx_src", "fx_src_symbols", body="""
-SELECT repo_id, symbol_id FROM fx_src_symbols WHERE CAST(file_id AS BIGINT) % 3 <> 0 AND CAST(file_id AS BIGINT) % 4 <> 0 AND CAST(file_id AS BIGINT) % 5 <> 0
-""")(lambda f, s: file_tables.apply_snapshot({"symbols": s.where(F.col("file_id").cast("long") % 3 != 0)}, {}, file_tables.diff_snapshot(
-    f.where(F.col("file_id").cast("long") % 3 != 0).withColumn("content_hash", F.lit("old")),
-    f.where(F.col("file_id").cast("long") % 4 != 0).withColumn("content_hash", F.when(F.col("file_id").cast("long") % 5 == 0, "new").otherwise("old"))))["symbols"].select("repo_id", "symbol_id"))
+
+
+def _snapshots(f):
+    """Two states of fx_src: without every third file and with another first line in every fifth, and as it is."""
+    n = F.col("file_id").cast("long")
+    files = f.select("repo_id", "path", "content")
+    return f.where(n % 3 != 0).select("repo_id", "path", F.when(n % 5 == 0, F.concat(F.lit("// export function old() {}\n"), "content")).otherwise(F.col("content")).alias("content")), files
+
+
+def _second(f, name):
+    """A table of the index after both states."""
+    first, last = _snapshots(f)
+    tables = {k: settled(v) for k, v in source_index.derived(first).items() if k != "chunks"}
+    if name == "relations":
+        tables[name] = settled(source_index.related(tables))
+    fresh, gone = source_index.advance(tables, last)
+    return source_index.applied(tables, fresh, gone)[name]
+
+
+query("s7_apply_snapshot", "fx_src", body=f"""
+WITH {_matched(None, ('import', 'export'))}
+SELECT repo_id, path, name, kind, start_line, trim(line) AS signature FROM (
+ SELECT *, row_number() OVER (PARTITION BY repo_id, file_id, start_line, name ORDER BY ordinal) AS n FROM m WHERE name <> '') WHERE n = 1
+""")(lambda f: _second(f, "symbols").select("repo_id", "path", "name", "kind", "start_line", "signature"))
+query("z2_incremental_relations", "fx_src", body=f"""
+WITH {_matched(None, ('import', 'export'))}, t AS (SELECT DISTINCT repo_id, path, name, start_line, line, concat(path, ':', CAST(start_line AS STRING), ':', name) AS id FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id, file_id, start_line, name ORDER BY ordinal) AS n FROM m WHERE name <> '') WHERE n = 1 AND kind IN ('class', 'interface', 'type')),
+k AS (SELECT repo_id, path, name, regexp_extract(line, '\\bextends\\s+(\\w+)', 1) AS parent FROM t WHERE line LIKE '%class%' AND regexp_extract(line, '\\bextends\\s+(\\w+)', 1) <> '')
+SELECT repo_id, path, src, dst FROM (SELECT k.repo_id, k.path, s.id AS src, d.id AS dst, row_number() OVER (PARTITION BY k.repo_id, s.id, k.parent ORDER BY CASE WHEN d.path = k.path THEN 0
+  WHEN regexp_replace(d.path, '[^/]*$', '') = regexp_replace(k.path, '[^/]*$', '') THEN 1 ELSE 2 END, d.path, d.id) AS n
+ FROM k JOIN t s ON s.repo_id = k.repo_id AND s.path = k.path AND s.name = k.name JOIN t d ON d.repo_id = k.repo_id AND d.name = k.parent WHERE s.id <> d.id) WHERE n = 1
+""")(lambda f: _second(f, "relations").where("relation_type = 'extends'").select("repo_id", "path", "src", "dst"))
 query("s14_manifest_tables", "fx_src", body="""
 SELECT DISTINCT repo_id, concat('@scope/pkg', repo_id[2:]) AS name, concat('@scope/pkg', CAST((CAST(repo_id[2:] AS INT) + 1) % 4 AS STRING)) AS dependency, '^1' AS version FROM fx_src
 """)(lambda f: crossrepo.read_manifests(_manifests(f).withColumn("path", F.lit("package.json")).unionByName(f.select("repo_id", "content", "path"))).select(
