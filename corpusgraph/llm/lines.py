@@ -1,13 +1,13 @@
 """Line dedup that can be undone: sharded cuckoo filters over exact reference-count tables.
 
 A line's key is the line without `[\\x20\\x09-\\x0D]` at its ends, A-Z lower-cased, held as a 128-bit
-digest. The exact table has a row for each key and document, `(shard, key, doc_id)`; the number of a
-key's rows is its reference count. Each shard of the key space has a cuckoo filter with the keys that it
-holds: a batch is probed against the filters first, so that only lines that may be known are joined
-with the exact table. Filters give false positives, which the join settles, and no false negatives.
+digest. An exact table has each key's reference count and owner, the smallest doc_id that holds it; another one has the references, a row for
+each key and document. Each shard of the key space has a cuckoo filter with the keys that it
+holds: a batch is probed against the filters, and only keys that may be known are joined with the exact tables; the others enter
+the counts as new. Filters give false positives, which the join settles, and no false negatives.
 
-Insertion appends references and adds new keys to the filters; deletion of documents removes their
-references and takes keys whose count falls to 0 out of the filters. What `duplicates` then says is the same
+Insertion appends references, brings the counts of the batch's keys up to date and adds new keys to the filters; deletion of documents removes their
+references, lowers counts, and takes keys whose count falls to 0 out of the filters. What `drops` then says, from the counts, is the same
 as if the deleted documents had never come, so a line kept only in a deleted document returns in the next.
 
 Defined results: a null text is one empty line; keys shorter than `least` code points are never
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -171,40 +172,57 @@ def _on_filters(filters: DataFrame, keys: DataFrame, work: str) -> DataFrame:
 class LineIndex:
     """The index after some insertions and deletions.
 
-    references (key, doc_id): the exact table; counts follow from it. filters (shard, level, filter): the cuckoo
-    filters of the keys; an insertion adds filters of its new keys as a level of their own, sized for
-    them, so a filter never has to grow. `shards` should be about the expected keys over 500,000.
+    references (key, doc_id): every document's keys. counts (key, n_docs, owner): the exact reference count of each key, and the smallest doc_id that
+    holds it, kept as a table that each insertion and deletion brings up to date for the keys it meets. filters (shard, filter) with their keys (shard,
+    key): the cuckoo filters; an insertion adds filters of its new keys as a level of their own, sized for them, so a filter never has
+    to grow. The filters decide which keys of a batch are looked up: a key that no filter may hold enters the counts as new without meeting the table.
+    `shards` should be about the expected keys over 500,000.
     """
 
-    def __init__(self, levels: list[tuple[DataFrame, DataFrame]], references: DataFrame | None, *, least: int = 10, shards: int = 16):
-        self.levels, self.references, self.least, self.shards = levels, references, least, shards
+    def __init__(self, levels: list[tuple[DataFrame, DataFrame]], references: DataFrame | None, counts: DataFrame | None, *, least: int = 10, shards: int = 16):
+        self.levels, self.references, self.counts, self.least, self.shards = levels, references, counts, least, shards
 
     @classmethod
     def empty(cls, *, least: int = 10, shards: int = 16) -> LineIndex:
-        return cls([], None, least=least, shards=shards)
+        return cls([], None, None, least=least, shards=shards)
 
     def _sharded(self, keys: DataFrame) -> DataFrame:
         return keys.select(F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"), "key")
 
+    def maybe_known(self, keys: DataFrame) -> DataFrame:
+        """Those of the distinct keys that a filter may hold: all that the index holds, and a few others."""
+        hits = [_on_filters(filters, self._sharded(keys), "probe").select("key") for filters, _ in self.levels]
+        return reduce(DataFrame.unionByName, hits).distinct() if hits else keys.where(F.lit(False))
+
     def known(self, keys: DataFrame) -> DataFrame:
         """Those of the distinct keys that the index holds: the filters say which may be, the exact table which are."""
         if self.references is None:
             return keys.where(F.lit(False))
-        maybe = None
-        for filters, _ in self.levels:
-            hits = _on_filters(filters, self._sharded(keys), "probe").select("key")
-            maybe = hits if maybe is None else maybe.unionByName(hits)
-        held = self.references.select("key").distinct()
-        return maybe.distinct().join(held, "key", "left_semi")
+        return self.maybe_known(keys).join(self.counts.select("key"), "key", "left_semi")
+
+    def _new_filters(self, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        fresh = kept_table(self._sharded(keys))
+        return kept_table(_on_filters(fresh.select("shard", F.lit(b"").alias("filter")).where(F.lit(False)), fresh, "insert")), fresh
 
     def insert(self, references: DataFrame) -> LineIndex:
         """The index with more (key, doc_id), as line_references gives them. Pairs that it has already change nothing."""
-        keys = references.select("key").distinct()
-        fresh = keys if self.references is None else keys.join(self.known(keys), "key", "left_anti")
-        fresh = kept_table(self._sharded(fresh))
-        filters = kept_table(_on_filters(fresh.select("shard", F.lit(b"").alias("filter")).where(F.lit(False)), fresh, "insert"))
-        both = references if self.references is None else self.references.unionByName(references)
-        return LineIndex([*self.levels, (filters, fresh)], both, least=self.least, shards=self.shards)
+        pairs = references.select("key", "doc_id").distinct()
+        counted = lambda df: df.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner"))
+        if self.references is None:
+            counts = kept_table(counted(pairs))
+            return LineIndex([self._new_filters(counts.select("key"))], references, counts, least=self.least, shards=self.shards)
+        batch = kept_table(counted(pairs))
+        maybe = kept_table(self.maybe_known(batch.select("key")))
+        new = batch.join(maybe, "key", "left_anti")
+        # of keys that may be known, the pairs that the index doesn't have yet
+        more = counted(pairs.join(maybe, "key", "left_semi").join(self.references, ["key", "doc_id"], "left_anti"))
+        old = self.counts.select("key", F.col("n_docs").alias("n"), F.col("owner").alias("first"))
+        met = kept_table(more.join(old, "key", "left"))
+        changed = met.select("key", (F.col("n_docs") + F.coalesce("n", F.lit(0))).alias("n_docs"), F.least("owner", "first").alias("owner"))
+        counts = kept_table(self.counts.join(met.select("key"), "key", "left_anti").unionByName(changed).unionByName(new))
+        fresh = new.select("key").unionByName(met.where("n IS NULL").select("key"))
+        levels = [*self.levels, self._new_filters(fresh)]
+        return LineIndex(levels, self.references.unionByName(references), counts, least=self.least, shards=self.shards)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """The index without the documents of the column doc_id."""
@@ -212,23 +230,23 @@ class LineIndex:
             return self
         ids = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
         stay = kept_table(self.references.join(ids, "doc_id", "left_anti").select("key", "doc_id"))
-        dead = self.references.join(ids, "doc_id", "left_semi").select("key").distinct()
-        dead = kept_table(self._sharded(dead.join(stay.select("key").distinct(), "key", "left_anti")))
+        lost = self.references.join(ids, "doc_id", "left_semi").select("key", "doc_id").distinct().groupBy("key").agg(F.count("*").alias("lost"))
+        met = kept_table(self.counts.join(lost, "key").withColumn("n_docs", F.col("n_docs") - F.col("lost")).select("key", "n_docs"))
+        owners = stay.join(met.where("n_docs > 0").select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("owner"))
+        changed = met.where("n_docs > 0").join(owners, "key").select("key", "n_docs", "owner")
+        counts = kept_table(self.counts.join(met.select("key"), "key", "left_anti").unionByName(changed))
+        dead = kept_table(self._sharded(met.where("n_docs = 0")))
         levels = []
         for filters, own in self.levels:
             gone = own.join(dead.select("key"), "key", "left_semi").select("shard", "key")
             levels.append((kept_table(_on_filters(filters, gone, "delete")), own.join(dead.select("key"), "key", "left_anti").select("shard", "key")))
-        return LineIndex(levels, stay, least=self.least, shards=self.shards)
-
-    def counts(self) -> DataFrame:
-        """(key, n_docs, owner): the exact reference counts, and the smallest doc_id that holds the key."""
-        return self.references.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("owner"))
+        return LineIndex(levels, stay, counts, least=self.least, shards=self.shards)
 
     def drops(self, docs_least: int = 2) -> DataFrame:
-        """(doc_id, keys): the keys whose lines each document loses. A key's hot row set is split by the join, by AQE."""
-        repeated = self.counts().where(F.col("n_docs") >= docs_least)
-        lost = self.references.distinct().join(repeated, "key").where(F.col("doc_id") != F.col("owner"))
-        return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+        """(doc_id, keys): the keys whose lines each document loses, by the counts. A key's hot row set is split by the join, by AQE."""
+        repeated = self.counts.where(F.col("n_docs") >= docs_least)
+        lost = self.references.select("key", "doc_id").join(repeated, "key").where(F.col("doc_id") != F.col("owner"))
+        return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
 def drop_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:

@@ -137,6 +137,21 @@ def test_line_dedup_and_its_undoing(spark):
     assert lines.dedup_lines(make([])).count() == 0
 
 
+def test_line_counts_come_through_the_filters(spark, monkeypatch):
+    rows = line_rows()
+    docs = spark.createDataFrame([(i, t, "en", 1.0) for i, t in rows], DOCS)
+    references = lines.line_references(docs).distinct().collect()
+    holders = {}
+    for r in references:
+        holders.setdefault(bytes(r.key), set()).add(r.doc_id)
+    want = {(k, len(own), min(own)) for k, own in holders.items()}
+    read = lambda index: {(bytes(r.key), r.n_docs, r.owner) for r in index.counts.collect()}
+    assert read(lines.line_index(docs, batches=3)) == want
+    # filters that know nothing let known keys in as new ones
+    monkeypatch.setattr(lines.LineIndex, "maybe_known", lambda self, keys: keys.where("false"))
+    assert read(lines.line_index(docs, batches=3)) != want
+
+
 def test_line_dedup_sql(spark):
     connection = duckdb.connect()
     connection.execute("CREATE VIEW documents AS FROM '/root/testdata/sf0.001/documents.parquet'")
