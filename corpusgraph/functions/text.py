@@ -129,9 +129,25 @@ def title_of(text: Column, most: int = 80) -> Column:
     return F.when(F.length(one_line) <= most, one_line).otherwise(F.concat(F.left(one_line, F.lit(most - 3)), F.lit("...")))
 
 
+# Patterns of a check for a signed-in user.
+AUTH_MARKS = [
+    r"requireSession\s*\(",
+    r"getSession\s*\(",
+    r"authenticate\s*\(",
+    r"verifyToken\s*\(",
+    r"jwt\.verify\s*\(",
+    r"(?i:bearerToken)",
+    r"(?i:authorization)",
+    r"isAuthenticated",
+    r"checkAuth",
+    r"authMiddleware",
+    r"Depends\(get_current_user",
+    r"login_required",
+    r"current_user",
+    r"@jwt_required",
+]
+
+
 def requires_auth(code: Column) -> Column:
-    # Marks of a check for a signed-in user.
-    return code.rlike(
-        r"requireSession\s*\(|getSession\s*\(|authenticate\s*\(|verifyToken\s*\(|jwt\.verify\s*\(|(?i:bearerToken)|(?i:authorization)"
-        r"|isAuthenticated|checkAuth|authMiddleware|Depends\(get_current_user|login_required|current_user|@jwt_required"
-    )
+    """Whether a piece of code checks for a signed-in user."""
+    return code.rlike("|".join(AUTH_MARKS))

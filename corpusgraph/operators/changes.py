@@ -27,10 +27,11 @@ MODULES = (
 NAMES = (
     r"\b([A-Z][a-zA-Z0-9]*(?:[A-Z][a-zA-Z0-9]*)*|[a-z][a-zA-Z0-9]*(?:[A-Z][a-zA-Z0-9]+)+|[a-z][a-z0-9]*(?:_[a-z][a-z0-9]*)+|[A-Z][A-Z0-9]*(?:_[A-Z][A-Z0-9]*)+)\b"
 )
-COMMON = (
-    "What If I the The a an in to from into with by for as is are was will would should could can do does did be been have has had"
-    " this that these those my your its our their which who whom when where how why"
-).split()
+COMMON = [
+    "What", "If", "I", "the", "The", "a", "an", "in", "to", "from", "into", "with", "by", "for", "as", "is", "are", "was", "will", "would", "should",
+    "could", "can", "do", "does", "did", "be", "been", "have", "has", "had", "this", "that", "these", "those", "my", "your", "its", "our", "their",
+    "which", "who", "whom", "when", "where", "how", "why",
+]
 # How grave a kind of change is for what depends on the changed thing, and whether it breaks it.
 SEVERITY = {"remove": "break", "replace": "break", "add": "info"}
 BREAKING = ["remove", "move", "split", "replace"]

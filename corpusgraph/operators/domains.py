@@ -42,31 +42,32 @@ FILE_RULES = {
 }
 # Words that point a question to a domain.
 QUESTION_WORDS = {
-    "security": (
-        "auth authentication authorization login logout jwt oauth token session permission role rbac acl encrypt decrypt hash password secret"
-        " csrf cors sanitize xss injection security credential cookie guard policy"
-    ).split(),
-    "frontend": (
-        "component react vue svelte render ui page view hook usestate useeffect props css style layout form button modal frontend client browser dom"
-    ).split(),
-    "backend": (
-        "api endpoint route handler controller service server middleware request response rest graphql grpc rpc backend express fastify koa nest"
-    ).split(),
-    "database": (
-        "database db query sql table column row schema migration index transaction join select insert update delete orm drizzle prisma model entity"
-    ).split(),
+    "security": [
+        "auth", "authentication", "authorization", "login", "logout", "jwt", "oauth", "token", "session", "permission", "role", "rbac", "acl",
+        "encrypt", "decrypt", "hash", "password", "secret", "csrf", "cors", "sanitize", "xss", "injection", "security", "credential", "cookie",
+        "guard", "policy",
+    ],
+    "frontend": [
+        "component", "react", "vue", "svelte", "render", "ui", "page", "view", "hook", "usestate", "useeffect", "props", "css", "style", "layout",
+        "form", "button", "modal", "frontend", "client", "browser", "dom",
+    ],
+    "backend": [
+        "api", "endpoint", "route", "handler", "controller", "service", "server", "middleware", "request", "response", "rest", "graphql", "grpc",
+        "rpc", "backend", "express", "fastify", "koa", "nest",
+    ],
+    "database": [
+        "database", "db", "query", "sql", "table", "column", "row", "schema", "migration", "index", "transaction", "join", "select", "insert",
+        "update", "delete", "orm", "drizzle", "prisma", "model", "entity",
+    ],
     "config": [
-        *"config configuration environment env deploy deployment docker dockerfile compose ci cd pipeline".split(),
-        "github actions",
-        *"yaml yml toml infra infrastructure terraform".split(),
+        "config", "configuration", "environment", "env", "deploy", "deployment", "docker", "dockerfile", "compose", "ci", "cd", "pipeline",
+        "github actions", "yaml", "yml", "toml", "infra", "infrastructure", "terraform",
     ],
     "testing": [
-        *"test spec jest vitest mocha chai assert mock stub fixture".split(),
-        "unit test",
-        "integration test",
-        *"e2e coverage describe it( expect beforeeach".split(),
+        "test", "spec", "jest", "vitest", "mocha", "chai", "assert", "mock", "stub", "fixture", "unit test", "integration test", "e2e", "coverage",
+        "describe", "it(", "expect", "beforeeach",
     ],
-}
+}
 BOOST = 0.2
 
 

@@ -124,10 +124,11 @@ def workspace_repos(repos: DataFrame) -> DataFrame:
 
 
 def bookmarks_by_file(bookmarks: DataFrame, text: str = "") -> DataFrame:
-    """(file_path, n, titles) of bookmarks whose title or path holds the text, newest first."""
-    hit = F.lower(F.concat_ws(" ", "title", "file_path")).contains(text.lower())
+    """(user_id, file_path, n, titles): each user's bookmarks (user_id, file_path, title, note, created_at) whose title, path or note holds the text, case
+    aside, newest first."""
+    hit = F.lower(F.concat_ws("\n", "title", "file_path", "note")).contains(text.lower())
     titles = F.reverse(F.array_sort(F.collect_list(F.struct("created_at", title_of(F.col("title")).alias("title")))))
-    return bookmarks.where(hit).groupBy("file_path").agg(F.count("*").alias("n"), titles.alias("titles"))
+    return bookmarks.where(hit).groupBy("user_id", "file_path").agg(F.count("*").alias("n"), F.transform(titles, lambda t: t["title"]).alias("titles"))
 
 
 def progress(rows: DataFrame, n_steps: int) -> DataFrame:

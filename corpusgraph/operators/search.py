@@ -38,6 +38,10 @@ ROLES = {
     "Architecture": "architecture structure patterns design modules",
     "Performance": "performance caching async database queries optimization",
     "Code Style": "naming conventions types documentation exports",
+    "Authentication": "authentication login session token password jwt oauth",
+    "Authorization": "authorization permission role middleware guard protect",
+    "Data Protection": "encryption sanitize validate input secret api key database query",
+    "Dependency Security": "package.json dependencies config environment docker deployment",
 }
 
 
@@ -327,14 +331,15 @@ def search_across_repos(queries: DataFrame, vectors: DataFrame, repos: DataFrame
 
 
 def role_context(repos: DataFrame, embed, corpus: Corpus, *, roles: dict[str, str] | None = None, budget_chars: int = 32_000) -> DataFrame:
-    """(repo_id, role, context): what a reviewer of each role is shown of repos (repo_id); embed turns a text column into a vector column."""
+    """(repo_id, role, context): what a reviewer of each role is shown of repos (repo_id), an empty text if nothing is found; embed turns a text column into a
+    vector column."""
     named = [F.struct(F.lit(r).alias("role"), F.lit(f"{words} {r}").alias("text")) for r, words in (roles or ROLES).items()]
     queries = repos.select("repo_id", F.inline(F.array(*named))).withColumn("query_id", F.concat_ws("/", "repo_id", "role"))
     ranked, _ = retrieve(queries.withColumn("vector", embed(F.col("text"))), corpus, max_results=12, budget=6_000)
     block = F.format_string("### File: %s (L%d-L%d)\n%s", "file_path", "start_line", "end_line", "content")
     lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("x"))
     text = F.left(F.array_join(F.transform("x", lambda b: b["block"]), "\n\n"), F.lit(budget_chars))
-    return queries.select("query_id", "repo_id", "role").join(lists, "query_id").select("repo_id", "role", text.alias("context"))
+    return queries.select("query_id", "repo_id", "role").join(lists, "query_id", "left").select("repo_id", "role", F.coalesce(text, F.lit("")).alias("context"))
 
 
 def discovery_context(repos: DataFrame, embed, corpus: Corpus, *, most: int = 25, chars: int = 1_500) -> DataFrame:

@@ -498,9 +498,14 @@ query("n2_thread_detail", "lineitem", body="SELECT l_orderkey AS thread_id, coun
     lambda l: reports.thread_detail(l.select(F.col("l_orderkey").alias("thread_id"), F.col("l_shipdate").alias("created_at"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0").alias("author"), F.col("l_linenumber").cast("string").alias("text")))
     .select("thread_id", F.size("comments").cast("long").alias("n"), F.array_join(F.transform("comments", lambda c: c["text"]), ",").alias("lines"))
 )
-query("n5_bookmarks_by_file", "orders", body="SELECT CAST(o_custkey AS STRING) AS file_path, count(*) AS n FROM orders WHERE contains(lower(o_orderpriority), 'high') GROUP BY 1")(
-    lambda o: reports.bookmarks_by_file(o.select(F.col("o_custkey").cast("string").alias("file_path"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("created_at")), "HIGH").select("file_path", "n")
-)
+query("n5_bookmarks_by_file", "orders", "documents", body="""
+WITH b AS (SELECT o_custkey % 50 AS user_id, concat('f', CAST(o_orderkey % 7 AS STRING)) AS file_path, o_orderpriority AS title, CASE WHEN o_orderkey % 3 = 0 THEN text[1:300] END AS note, o_orderkey AS created_at FROM orders LEFT JOIN documents ON doc_id = o_orderkey)
+SELECT user_id, file_path, count(*) AS n, array_to_string(list(title ORDER BY created_at DESC, title DESC), '|') AS titles FROM b
+WHERE contains(lower(title), 'high') OR contains(lower(file_path), 'high') OR contains(lower(coalesce(note, '')), 'high') GROUP BY 1, 2
+""")(lambda o, d: reports.bookmarks_by_file(
+    o.join(d, o["o_orderkey"] == d["doc_id"], "left").select(
+        (F.col("o_custkey") % 50).alias("user_id"), F.concat(F.lit("f"), (F.col("o_orderkey") % 7).cast("string")).alias("file_path"), F.col("o_orderpriority").alias("title"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.substring("text", 1, 300)).alias("note"), F.col("o_orderkey").alias("created_at")), "HIGH").withColumn("titles", F.array_join("titles", "|")))
 query("o6_progress", "lineitem", body="""
 WITH p AS (SELECT l_suppkey AS user_id, arg_max(l_linenumber, (l_shipdate, l_orderkey, l_linenumber)) AS steps FROM lineitem GROUP BY 1) SELECT user_id, CAST(round(steps * 100 / 8.0) AS INT) AS percent FROM p
 """)(lambda l: reports.progress(l.select(
