@@ -129,12 +129,19 @@ def test_pattern_report_has_each_kind(spark):
     rows = registry.QUERIES["p14_detect_patterns"](spark, FOLDER).toPandas()
     assert set(rows.pattern_type) == {"design-pattern", "anti-pattern", "inconsistency"}
     assert {"singleton", "factory", "observer-event", "module-pattern", "repository-service-layer", "circular-dependencies", "deep-nesting", "long-parameter-list", "dead-code",
-            "missing-service-queries-pattern", "inconsistent-error-handling"} <= set(rows.pattern_id)
+            "missing-service-queries-pattern", "inconsistent-error-handling", "naming-convention-mix"} == set(rows.pattern_id)
     assert set(rows.severity) == {"info", "warning", "critical"}
     summary = patterns.pattern_summary(patterns.pattern_report(registry.QUERIES["p14_detect_patterns"](spark, FOLDER))).toPandas()
     assert (summary.critical == 1).all() and (summary.design_patterns >= 4).all()
 
 
+def test_large_files_are_god_classes(spark):
+    files = spark.createDataFrame([("r", f, f"{f}.ts", 900) for f in ("a", "b")], "repo_id string, file_id string, path string, line_count int")
+    symbols = spark.createDataFrame([("r", f, f"{f}{i}", f"{f}.ts", "function") for f, n in (("a", 16), ("b", 11), ("c", 30)) for i in range(n)], "repo_id string, file_id string, symbol_id string, path string, kind string")
+    found = {(r.path, r.pattern_id, r.evidence) for r in patterns.god_classes(files, symbols).collect()}
+    assert found == {("a.ts", "god-class", "16 functions"), ("b.ts", "god-class", "11 functions")}
+
+
 def test_retrieval_finds_the_named_symbol_and_keeps_budget(spark):
     ranked, packed = (registry.QUERIES[n](spark, FOLDER).toPandas() for n in ("r20_retrieve", "r20_packed"))
     assert ranked.final.between(0, 1).all() and (ranked.groupby("query_id").size() <= 15).all()
