@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import is_api_path
 from .settled import settled
@@ -48,6 +52,47 @@ def reach(starts: DataFrame, relations: DataFrame, *, max_depth: int, direction:
     return reduce(DataFrame.unionByName, levels if with_starts else levels[1:] or [levels[0].where("false")])
 
 
+def reach_all(relations: DataFrame, *, max_depth: int = 2, direction: str = "in") -> DataFrame:
+    """(repo_id, source, node, depth): what every node of the relations reaches in up to max_depth steps, each node at its smallest depth, itself left out.
+
+    As reach with all nodes as sources and without the relations passed, for graphs with hubs: a step carries the sets of sources that have come to a node
+    as bitmaps of 32,768 sources each, so its rows are relations by blocks of sources, not by sources, and they are united before and after the
+    shuffle. Pairs are made at the end only.
+    """
+    at, to = ("dst", "src") if direction == "in" else ("src", "dst")
+    steps = settled(relations.select("repo_id", F.col(at).alias("at"), F.col(to).alias("to")).distinct())
+    nodes = steps.select("repo_id", F.col("at").alias("node")).union(steps.select("repo_id", "to")).distinct()
+    nodes = settled(nodes.repartition("repo_id", "node").sortWithinPartitions("repo_id").withColumn("number", F.monotonically_increasing_id() + 1))
+    block, place = F.bitmap_bucket_number("number"), F.bitmap_bit_position("number")
+    levels = [settled(nodes.groupBy("repo_id", "node", block.alias("block")).agg(F.bitmap_construct_agg(place).alias("bits")))]
+    for _ in range(max_depth):
+        met = levels[-1].withColumnRenamed("node", "at").join(steps, ["repo_id", "at"]).select("repo_id", F.col("to").alias("node"), "block", "bits")
+        levels.append(settled(met.groupBy("repo_id", "node", "block").agg(F.bitmap_or_agg("bits").alias("bits"))))
+    tagged = [x.withColumn("depth", F.lit(d)) for d, x in enumerate(levels)]
+    sets = reduce(DataFrame.unionByName, tagged).groupBy("repo_id", "node", "block").agg(F.array_sort(F.collect_list(F.struct("depth", "bits"))).alias("levels"))
+    kinds = {f.name: f.dataType for f in nodes.schema.fields}
+    schema = T.StructType([T.StructField("repo_id", kinds["repo_id"]), T.StructField("node", kinds["node"]), T.StructField("number", T.LongType()), T.StructField("depth", T.IntegerType())])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                before = np.zeros(4096, np.uint8)
+                for level in batch.column(3)[i].as_py():
+                    bits = np.frombuffer(level["bits"], np.uint8)
+                    fresh = np.flatnonzero(np.unpackbits(bits & ~before, bitorder="little"))
+                    before = before | bits
+                    if level["depth"] and len(fresh):
+                        # numbers and blocks begin at 1, places at 0
+                        numbers = fresh + 32768 * (batch.column(2)[i].as_py() - 1) + 1
+                        own = pa.array(np.full(len(fresh), i))
+                        columns = [batch.column(0).take(own), batch.column(1).take(own), pa.array(numbers), pa.array(np.full(len(fresh), level["depth"], np.int32))]
+                        yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    pairs = sets.select("repo_id", "node", "block", "levels").mapInArrow(unpack, schema)
+    sources = nodes.select(F.col("node").alias("source"), "number")
+    return pairs.join(sources, "number").where("source <> node").select("repo_id", "source", "node", "depth")
+
+
 def call_chains(starts: DataFrame, relations: DataFrame, *, max_depth: int = 3, types: tuple[str, ...] = ("calls", "imports", "extends", "implements")) -> DataFrame:
     """(repo_id, source, src, dst, relation_type, depth): the forward relations of four types on the way from sources, up to max_depth steps."""
     some = relations.where(F.col("relation_type").isin(*types))

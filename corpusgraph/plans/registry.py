@@ -199,6 +199,11 @@ query("g17_impact_summary", "fx_src_symbols", "fx_src_relations", body=f"""{_IMP
  count(*) FILTER (depth > 2) AS n_transitive, count(DISTINCT path) AS n_files, count(*) FILTER (risk >= 70) AS n_high_risk FROM scored GROUP BY 1, 2""")(
     lambda s, r: traverse.impact_summary(traverse.impact(_sources(r), s, r))
 )
+query("g12_reach_all", "fx_relations", body="""
+WITH e AS (SELECT DISTINCT repo_id, dst AS a, src AS b FROM fx_relations), one AS (SELECT repo_id, a AS source, b AS node FROM e),
+two AS (SELECT DISTINCT x.repo_id, source, b AS node FROM one x JOIN e ON e.repo_id = x.repo_id AND e.a = x.node)
+SELECT repo_id, source, node, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM one UNION ALL SELECT *, 2 FROM two) WHERE source <> node GROUP BY 1, 2, 3
+""")(lambda r: traverse.reach_all(r, max_depth=2))
 query("g25_find_cycles", "fx_relations", body="""
 WITH e AS (SELECT DISTINCT repo_id, src AS a, dst AS b FROM fx_relations WHERE relation_type = 'imports'),
 p2 AS (SELECT repo_id, [a, b] AS n FROM e WHERE a < b),
