@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import trigrams
 from .settled import settled
 
 
@@ -174,10 +176,57 @@ class _Asked:
         return out.reshape(n_rows, len(self.sizes))
 
 
-def packed_grams(text: Column) -> Column:
-    """A text's distinct trigrams as sorted numbers of 63 bits, 21 for each character."""
-    code = lambda g, i: F.ascii(F.substr(g, F.lit(i), F.lit(1))).cast("long")
-    return F.array_sort(F.transform(trigrams(text), lambda g: F.shiftleft(code(g, 1), 42).bitwiseOR(F.shiftleft(code(g, 2), 21)).bitwiseOR(code(g, 3))))
+@cache
+def _in_words() -> np.ndarray:
+    """Which code points are letters or numbers, the characters of words."""
+    return np.array([unicodedata.category(chr(c))[0] in "LN" for c in range(sys.maxunicode + 1)])
+
+
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and number of each distinct trigram of some lower-cased texts, in order: as functions.text.trigrams cuts them, 21 bits for each character."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    n_chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    chars = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), n_chars)
+    inside = _in_words()[chars]
+    joined = inside[1:] & inside[:-1] & (row[1:] == row[:-1])
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~joined
+    last[:-1] &= ~joined
+    # two blanks before each word, one after it
+    width = inside + 2 * first + last
+    at = np.cumsum(width) - width + 2 * first
+    padded, own = np.full(width.sum(), 32, np.int64), np.repeat(row, width)
+    padded[at[inside]] = chars[inside]
+    # a trigram starts at each place of a padded word but its last two
+    starts = np.ones(len(padded), bool)
+    ends = (at + 1)[last]  # the blanks after words
+    starts[ends] = starts[ends - 1] = False
+    begin = np.flatnonzero(starts)
+    number = (padded[begin] << 42) | (padded[begin + 1] << 21) | padded[begin + 2] if len(begin) else np.zeros(0, np.int64)
+    order = np.lexsort((number, own[begin]))
+    number, own = number[order], own[begin][order]
+    new = np.ones(len(number), bool)
+    new[1:] = (number[1:] != number[:-1]) | (own[1:] != own[:-1])
+    return own[new], number[new]
+
+
+def with_grams(df: DataFrame, text: str) -> DataFrame:
+    """df with the column text replaced by grams: its distinct trigrams as sorted numbers; rows without any are left out."""
+    others = [c for c in df.columns if c != text]
+    schema = T.StructType([*(df.schema[c] for c in others), T.StructField("grams", T.ArrayType(T.LongType()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                some = batch.slice(a, 500)
+                row, number = _grams(some.column(len(others)))
+                count = np.bincount(row, minlength=some.num_rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(number))
+                full = pa.RecordBatch.from_arrays([*some.columns[:-1], lists], schema.names)
+                yield full.filter(pa.array(count > 0))
+
+    return df.select(*others, F.lower(F.col(text)).alias(text)).mapInArrow(work, schema)
 
 
 def trigram_topk(queries: DataFrame, chunks: DataFrame, *, k: int, least: float = 0.1, block: int = 500) -> DataFrame:
@@ -190,9 +239,9 @@ def trigram_topk(queries: DataFrame, chunks: DataFrame, *, k: int, least: float
     """
     same_repo = "repo_id" in queries.columns and "repo_id" in chunks.columns
     repo = F.col("repo_id").cast("string") if same_repo else F.lit(None).cast("string")
-    asked = settled(queries.select("query_id", repo.alias("repo_id"), packed_grams(F.col("text")).alias("grams")).where(F.size("grams") > 0))
+    asked = settled(with_grams(queries.select("query_id", repo.alias("repo_id"), "text"), "text"))
     blocks = -(-asked.count() // block)
-    cut = settled(chunks.select("chunk_id", repo.alias("repo_id"), packed_grams(F.col("content")).alias("grams")).where(F.size("grams") > 0))
+    cut = settled(with_grams(chunks.select("chunk_id", repo.alias("repo_id"), "content"), "content"))
     kind = chunks.schema["chunk_id"].dataType
     schema = T.StructType([T.StructField("q", T.IntegerType()), T.StructField("chunk_id", kind), T.StructField("similarity", T.DoubleType())])
     out = None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import title_of
 from .intervals import overlaps
+from .settled import settled
 
 
 def shared_types(symbols: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def touched_symbols(commit_files: DataFrame, symbols: DataFrame, *, most_files:
     """
     changed = commit_files.select("repo_id", "sha", "path", "change_start", "change_end").distinct()
     rank = F.dense_rank().over(Window.partitionBy("repo_id", "sha").orderBy("path"))
-    first = changed.withColumn("place", rank).where(F.col("place") <= most_files).drop("place")
+    first = settled(changed.withColumn("place", rank).where(F.col("place") <= most_files).drop("place"))
     span = F.struct(F.col("change_start").alias("start"), F.col("change_end").alias("end"))
     spans = first.select("repo_id", "path", span.alias("left_id")).distinct().select("*", "left_id.start", "left_id.end")
     named = symbols.select("repo_id", "path", F.col("name").alias("right_id"), F.col("start_line").alias("start"), F.col("end_line").alias("end")).distinct()
