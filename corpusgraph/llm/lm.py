@@ -49,10 +49,15 @@ def value_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels <= 1, levels, 1.4 * np.exp2(levels - 1.0))
 
 
+def _first_and_step(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's first place at a level and the step to its next ones, to be taken modulo _SEGMENT_BITS, a power of two."""
+    h = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
+    return h, (h >> np.uint64(40)) | np.uint64(1)
+
+
 def _bits(keys: np.ndarray, level: int) -> np.ndarray:
     """The places in its segment of each key at a level: _PROBES columns."""
-    h = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
-    step = (h >> np.uint64(40)) | np.uint64(1)
+    h, step = _first_and_step(keys, level)
     return ((h[:, None] + step[:, None] * np.arange(_PROBES, dtype=np.uint64)) % np.uint64(_SEGMENT_BITS)).astype(np.int64)
 
 
@@ -86,19 +91,31 @@ class FilterPart:
     bits: np.ndarray
 
     def read(self, keys: np.ndarray, lowest: int) -> np.ndarray:
-        """The level stored for each key, 0 if none. Keys of other parts' segments give 0."""
+        """The level stored for each key, 0 if none. Keys of other parts' segments give 0.
+
+        The places are those of _bits, each made only for the keys that no earlier place has ruled out.
+        """
         found = np.zeros(len(keys), np.int64)
         segment = segment_of(keys, self.segments) - self.first
         at = np.flatnonzero((segment >= 0) & (segment < len(self.bits)))
+        data = self.bits.reshape(-1)
+        own, row = keys[at], segment[at] * (_SEGMENT_BITS // 8)
         level = lowest
         while len(at):
-            places, row = _bits(keys[at], level), segment[at]
-            hit = np.ones(len(at), bool)
-            for k in range(_PROBES):
-                some = np.flatnonzero(hit)
-                p = places[some, k]
-                hit[some] = (self.bits[row[some], p >> 3] >> (p & 7).astype(np.uint8)) & 1
-            at = at[hit]
+            place, step = _first_and_step(own, level)
+            start, left = row, None
+            for _ in range(_PROBES):
+                inside = place & np.uint64(_SEGMENT_BITS - 1)
+                byte = data[(inside >> np.uint64(3)).view(np.int64) + start]
+                byte >>= inside.astype(np.uint8) & np.uint8(7)
+                hit = (byte & np.uint8(1)).view(bool)
+                if not hit.all():
+                    some = np.flatnonzero(hit)
+                    place, step, start = place[some], step[some], start[some]
+                    left = some if left is None else left[some]
+                place += step
+            if left is not None:
+                at, own, row = at[left], own[left], row[left]
             found[at] = level
             level += 1
         return found
@@ -223,6 +240,10 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
         return np.where(self.words[at] == tokens, at, -1)
 
+    def levels(self, part: FilterPart) -> np.ndarray:
+        """The unigram level that the part of the filter holds of each."""
+        return part.read(unigram_keys(self.words), 1)
+
 
 def frequent_words(counts: DataFrame, most: int) -> Frequent:
     """The words of counts (key, n, t) of the highest n, as many as whole count classes fit into `most`."""
@@ -320,15 +341,15 @@ def fit_language_model(
 def _read_levels(rows: DataFrame, model: LanguageModel, part: FilterPart) -> DataFrame:
     """rows (id, doc_id, text, levels) with what the part of the filter holds of each token added to levels (2 bytes a token)."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((part, model.lowest_pair))
+    shared = spark.sparkContext.broadcast((part, model.lowest_pair, model.frequent, model.frequent.levels(part)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_part, lowest = shared.value
+        filter_part, lowest, frequent, stored = shared.value
         for batch in batches:
             made = []
             old = batch.column(3).to_pylist()
             for i, tokens, first, begin in _token_runs(batch.column(2)):
-                one, two = read_tokens(filter_part, lowest, tokens, first)
+                one, two = read_tokens(filter_part, lowest, tokens, first, frequent.find(tokens), stored)
                 both = np.stack([one, two], 1).astype(np.uint8)
                 for k in range(len(begin) - 1):
                     own = both[begin[k] : begin[k + 1]]
@@ -340,11 +361,20 @@ def _read_levels(rows: DataFrame, model: LanguageModel, part: FilterPart) -> Dat
     return rows.mapInArrow(tidied(work), "id long, doc_id long, text string, levels binary")
 
 
-def read_tokens(part: FilterPart, lowest: int, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The filter's unigram level of each token, and the level of the bigram with the token before."""
-    words, where = np.unique(tokens, return_inverse=True)
+def read_tokens(
+    part: FilterPart, lowest: int, tokens: np.ndarray, first: np.ndarray, number: np.ndarray, stored: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The filter's unigram level of each token, and the level of the bigram with the token before.
+
+    number: each token's number among the frequent words, whose unigram levels `stored` were read before; -1 for others.
+    """
+    one = np.zeros(len(tokens), np.int64)
+    known = number >= 0
+    one[known] = stored[number[known]]
+    words, where = np.unique(tokens[~known], return_inverse=True)
+    one[~known] = part.read(unigram_keys(words), 1)[where]
     keys, back = np.unique(bigram_keys(before(tokens, first), tokens), return_inverse=True)
-    return part.read(unigram_keys(words), 1)[where], part.read(keys, lowest)[back]
+    return one, part.read(keys, lowest)[back]
 
 
 def pair_probability(value: np.ndarray, share: np.ndarray, kept: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -366,21 +396,23 @@ def score_texts(docs: DataFrame, model: LanguageModel, *, broadcast_bytes: int =
         part = following
     many = "levels" in rows.columns
     base_of_all = model.train_tokens + 0.5 * (model.distinct + 1)
-    shared = spark.sparkContext.broadcast((model.frequent, part, model.lowest_pair))
+    shared = spark.sparkContext.broadcast((model.frequent, model.frequent.levels(part), part, model.lowest_pair))
     seen_of_all, discount = model.filter_tokens + 0.5 * (model.distinct + 1), model.discount
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, filter_part, lowest = shared.value
+        frequent, stored, filter_part, lowest = shared.value
+        end = frequent.find(np.array([END]))
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             old = batch.column(3).to_pylist() if many else None
             for i, tokens, first, begin in _token_runs(batch.column(2)):
-                one, two = read_tokens(filter_part, lowest, tokens, first)
+                number = frequent.find(tokens)
+                one, two = read_tokens(filter_part, lowest, tokens, first, number, stored)
                 if old is not None:
                     levels = np.frombuffer(b"".join(old[i : i + len(begin) - 1]), np.uint8).reshape(-1, 2)
                     one, two = np.maximum(one, levels[:, 0]), np.maximum(two, levels[:, 1])
-                number = frequent.find(tokens)
-                context = frequent.find(before(tokens, first))
+                context = np.concatenate([end, number[:-1]])  # the number of the token before
+                context[first] = end
                 share = (value_of(one) + 0.5) / seen_of_all
                 value = np.where(two > 0, value_of(two) - discount, 0.0)
                 model_log = np.zeros(len(tokens))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -92,6 +93,47 @@ def test_filter_holds_all_levels():
     assert (part.read(keys + np.uint64(10**6), 1) > 0).mean() < 0.01
 
 
+def test_filter_makes_only_the_places_it_looks_at():
+    keys = np.random.default_rng(5).integers(0, 2**63, 60_000).astype(np.uint64)
+    bits = np.zeros((3, lm._SEGMENT_BITS), bool)
+    segment, levels = lm.segment_of(keys, 3), 1 + np.arange(len(keys)) % 4
+    for level in range(1, 5):
+        own = levels >= level
+        bits[segment[own, None], lm._bits(keys[own], level)] = True
+    part = lm.FilterPart(3, 0, np.packbits(bits, axis=1, bitorder="little"))
+    asked = np.concatenate([keys, keys + np.uint64(1)])
+    want, here = np.zeros(len(asked), np.int64), lm.segment_of(asked, 3)[:, None]
+    for level in range(1, 30):
+        want[(want == level - 1) & bits[here, lm._bits(asked, level)].all(1)] = level
+    assert (want[: len(keys)] >= levels).all()
+    tracemalloc.start()
+    found = part.read(asked, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == want).all()
+    assert peak < 100 * len(asked)  # all places of all keys take 96 bytes a key more
+
+
+def test_frequent_words_are_not_read_again_for_each_text():
+    words = np.arange(1, 400, dtype=np.uint64)
+    frequent = lm.Frequent(words[:300], np.ones(300, np.int64), np.zeros(300))
+    asked = []
+
+    class Part(lm.FilterPart):
+        def read(self, keys, lowest):
+            asked.append((lowest, set(keys.tolist())))
+            return (keys % np.uint64(7)).astype(np.int64)
+
+    part = Part(1, 0, np.zeros((1, lm._SEGMENT_BITS // 8), np.uint8))
+    stored = frequent.levels(part)
+    asked.clear()
+    tokens = np.concatenate([words, words[::-1]])
+    first = np.arange(len(tokens)) % 50 == 0
+    one, two = lm.read_tokens(part, 2, tokens, first, frequent.find(tokens), stored)
+    assert (one == lm.unigram_keys(tokens) % np.uint64(7)).all() and (two == lm.bigram_keys(lm.before(tokens, first), tokens) % np.uint64(7)).all()
+    assert [keys for lowest, keys in asked if lowest == 1] == [set(lm.unigram_keys(words[300:]).tolist())]
+
+
 def test_language_model_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     model = lm.fit_language_model(none.select("text"))
