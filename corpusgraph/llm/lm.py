@@ -90,16 +90,21 @@ class FilterPart:
     first: int
     bits: np.ndarray
 
+    def own(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys have their segment in this part, and its row of bits for each of these."""
+        segment = segment_of(keys, self.segments) - self.first
+        at = np.flatnonzero((segment >= 0) & (segment < len(self.bits)))
+        return at, segment[at]
+
     def read(self, keys: np.ndarray, lowest: int) -> np.ndarray:
         """The level stored for each key, 0 if none. Keys of other parts' segments give 0.
 
         The places are those of _bits, each made only for the keys that no earlier place has ruled out.
         """
         found = np.zeros(len(keys), np.int64)
-        segment = segment_of(keys, self.segments) - self.first
-        at = np.flatnonzero((segment >= 0) & (segment < len(self.bits)))
+        at, segment = self.own(keys)
         data = self.bits.reshape(-1)
-        own, row = keys[at], segment[at] * (_SEGMENT_BITS // 8)
+        own, row = keys[at], segment * (_SEGMENT_BITS // 8)
         level = lowest
         while len(at):
             place, step = _first_and_step(own, level)
@@ -349,8 +354,7 @@ def _read_levels(rows: DataFrame, model: LanguageModel, part: FilterPart) -> Dat
             made = []
             old = batch.column(3).to_pylist()
             for i, tokens, first, begin in _token_runs(batch.column(2)):
-                one, two = read_tokens(filter_part, lowest, tokens, first, frequent.find(tokens), stored)
-                both = np.stack([one, two], 1).astype(np.uint8)
+                both = read_own_tokens(filter_part, lowest, tokens, first, frequent, stored)
                 for k in range(len(begin) - 1):
                     own = both[begin[k] : begin[k + 1]]
                     if old[i + k] is not None:
@@ -377,6 +381,24 @@ def read_tokens(
     return one, part.read(keys, lowest)[back]
 
 
+def read_own_tokens(
+    part: FilterPart, lowest: int, tokens: np.ndarray, first: np.ndarray, frequent: Frequent, stored: np.ndarray
+) -> np.ndarray:
+    """Both columns of read_tokens in a byte each, for a part of several: what is of other parts is left at 0 after one hash."""
+    both = np.zeros((len(tokens), 2), np.uint8)
+    at, _ = part.own(unigram_keys(tokens))
+    number = frequent.find(tokens[at])
+    known = number >= 0
+    both[at[known], 0] = stored[number[known]]
+    rare = at[~known]
+    both[rare, 0] = part.read(unigram_keys(tokens[rare]), 1)
+    keys = bigram_keys(before(tokens, first), tokens)
+    at, _ = part.own(keys)
+    own, back = np.unique(keys[at], return_inverse=True)
+    both[at, 1] = part.read(own, lowest)[back]
+    return both
+
+
 def pair_probability(value: np.ndarray, share: np.ndarray, kept: np.ndarray, times: np.ndarray) -> np.ndarray:
     """P(w | h) from the filter's discounted count of the pair, P(w), T(h) and c(h). The same in Spark is in score_texts."""
     times = np.maximum(times, kept + 1)

@@ -134,6 +134,36 @@ def test_frequent_words_are_not_read_again_for_each_text():
     assert [keys for lowest, keys in asked if lowest == 1] == [set(lm.unigram_keys(words[300:]).tolist())]
 
 
+def test_parts_of_the_filter_read_only_their_own_keys():
+    rng = np.random.default_rng(6)
+    words, segments = rng.integers(0, 2**63, 3000).astype(np.uint64), 8
+    tokens = words[(rng.random(20_000) ** 3 * len(words)).astype(int)]
+    first = np.arange(len(tokens)) % 40 == 0
+    keys = np.concatenate([lm.unigram_keys(words), lm.bigram_keys(lm.before(tokens, first), tokens)[::2]])
+    bits = np.zeros((segments, lm._SEGMENT_BITS), bool)
+    for level in (1, 2, 3):
+        bits[lm.segment_of(keys, segments)[:, None], lm._bits(keys, level)] = True
+    packed = np.packbits(bits, axis=1, bitorder="little")
+    frequent = lm.Frequent(np.sort(words[:200]), np.ones(200, np.int64), np.zeros(200))
+    asked = []
+
+    class Part(lm.FilterPart):
+        def read(self, keys, lowest):
+            asked.append(len(keys))
+            return super().read(keys, lowest)
+
+    whole, total = Part(segments, 0, packed), np.zeros((len(tokens), 2), np.uint8)
+    want = np.stack(lm.read_tokens(whole, 2, tokens, first, frequent.find(tokens), frequent.levels(whole)), 1)
+    assert (want[:, 0] == 3).all() and 0.5 <= (want[:, 1] == 3).mean() < 1
+    for k in range(segments):
+        part = Part(segments, k, packed[k : k + 1])
+        stored = frequent.levels(part)
+        asked.clear()
+        total = np.maximum(total, lm.read_own_tokens(part, 2, tokens, first, frequent, stored))
+        assert sum(asked) < len(tokens) / 4
+    assert (total == want).all()
+
+
 def test_language_model_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     model = lm.fit_language_model(none.select("text"))
