@@ -70,8 +70,12 @@ def resolve_targets(changes: DataFrame, files: DataFrame, symbols: DataFrame, *,
     places = paths.where(F.size(parts) > 1).withColumn("module", F.explode(F.array_distinct(stems)))
     by_module = changes.select("change_id", "repo_id", F.explode("modules").alias("module")).join(places, ["repo_id", "module"]).select("change_id", "repo_id", "path")
     names = changes.select("change_id", "repo_id", F.explode("names").alias("name"))
-    there = symbols.select("repo_id", "symbol_id", "path", "start_line", F.lower("name").alias("low"))
-    found = names.withColumn("low", F.lower("name")).join(there, ["repo_id", "low"]).select("change_id", "repo_id", "symbol_id", "path", "start_line").distinct()
+    there = symbols.select("repo_id", "symbol_id", "path", "start_line", F.lower("name").alias("low")).distinct()
+    wanted = names.select("change_id", "repo_id", F.lower("name").alias("low")).distinct()
+    # what is first of all names of a change is first of one of them, so names are cut before they meet the changes that share them
+    of_name = Window.partitionBy("repo_id", "low").orderBy("path", "start_line", "symbol_id")
+    there = there.join(wanted.select("repo_id", "low").distinct(), ["repo_id", "low"]).withColumn("n", F.row_number().over(of_name)).where(F.col("n") <= most_symbols).drop("n")
+    found = wanted.join(there, ["repo_id", "low"]).select("change_id", "repo_id", "symbol_id", "path", "start_line").distinct()
     order = Window.partitionBy("change_id").orderBy("path", "start_line", "symbol_id")
     found = settled(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_symbols).select("change_id", "repo_id", "symbol_id", "path"))
     known = settled(by_file.unionByName(by_module).unionByName(found.select("change_id", "repo_id", "path")).distinct())
@@ -88,11 +92,16 @@ def affected_items(changes: DataFrame, files: DataFrame, symbols: DataFrame, rel
     Indirect dependents of a removal are only warned. breaks: whether a direct dependent must be changed.
     """
     targets, found = resolve_targets(changes, files, symbols)
-    starts = found.select("repo_id", F.col("change_id").alias("source"), F.col("symbol_id").alias("node"))
+    # changes of the same symbols have the same dependents: they are looked for once for each set of symbols
+    aims = found.groupBy("change_id").agg(F.sort_array(F.collect_list(F.struct("repo_id", "symbol_id"))).alias("aims"))
+    sets = settled(aims.groupBy("aims").agg(F.min("change_id").alias("set_id")))
+    of_set = settled(aims.join(sets, "aims").select("change_id", "set_id"))
+    starts = sets.select(F.col("set_id").alias("source"), F.inline("aims")).select("repo_id", "source", F.col("symbol_id").alias("node"))
     reached = traverse.reach(starts, relations, max_depth=max_depth)
     kinds = changes.select("change_id", "change_type")
     place = symbols.select("repo_id", F.col("symbol_id").alias("node"), "path")
-    rows = reached.join(place, ["repo_id", "node"]).withColumnRenamed("source", "change_id").join(kinds, "change_id")
+    reached = settled(reached.join(place, ["repo_id", "node"]).select(F.col("source").alias("set_id"), "node", "depth", "path"))
+    rows = reached.join(of_set.join(kinds, "change_id"), "set_id")
     direct = F.col("depth") == 1
     severity = F.create_map(*(x for k, v in SEVERITY.items() for x in (F.lit(k), F.lit(v))))
     grave = F.when(~direct & (F.col("change_type") == "remove"), "warning").otherwise(F.coalesce(severity[F.col("change_type")], F.lit("warning")))
@@ -100,9 +109,8 @@ def affected_items(changes: DataFrame, files: DataFrame, symbols: DataFrame, rel
         "change_id", F.when(direct, "direct").otherwise("indirect").alias("scope"), "path", F.col("node").alias("symbol_id"), grave.alias("severity"),
         (direct & F.col("change_type").isin(BREAKING)).alias("breaks"),
     )
-    items = settled(items)
-    alone = targets.join(kinds.where("change_type <> 'add'"), "change_id").select("change_id", "path")
-    alone = alone.join(items.where("scope = 'direct'").select("change_id", "path").distinct(), ["change_id", "path"], "left_anti")
+    alone = targets.join(kinds.where("change_type <> 'add'"), "change_id").select("change_id", "path").join(of_set, "change_id", "left")
+    alone = alone.join(reached.where("depth = 1").select("set_id", "path").distinct(), ["set_id", "path"], "left_anti")
     return items.unionByName(
         alone.select("change_id", F.lit("direct").alias("scope"), "path", F.lit(None).cast("string").alias("symbol_id"), F.lit("info").alias("severity"), F.lit(False).alias("breaks"))
     )
